@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from concordis.schemas import RECORD_TYPES
 
-_PLAIN_TEXT = r"^[^\x00-\x1F\"\\]*$"
+_PLAIN_TEXT = r"\A[^\x00-\x1F\"\\]*\z"
 # Control characters whose escape has a hexadecimal letter: the writer must use lower case.
 _LETTER_ESCAPES = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
 
