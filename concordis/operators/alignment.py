@@ -132,9 +132,10 @@ def departures(alignment: Alignment) -> DataFrame:
     """One row per member text and alignment column where it departs from the centre."""
     # The arrays move, not the exploded rows; later groupings start with the same keys.
     placed = spread(alignment.scripts, *alignment.keys)
+    # An outer generator, since a plain one also filters on the script and so solves it twice.
     return placed.select(
-        *alignment.keys, "hyp_index", "hypothesis_count", "member_ranks", F.inline("script")
-    )
+        *alignment.keys, "hyp_index", "hypothesis_count", "member_ranks", F.inline_outer("script")
+    ).where(F.col("slot").isNotNull())
 
 
 def insertion_runs(alignment: Alignment) -> DataFrame:
