@@ -79,7 +79,8 @@ def broken_links(events: DataFrame) -> DataFrame:
     The previous event is found by an equality join on (assertion, sequence), so a long
     chain spreads over tasks.
     """
-    hashed = events.withColumn("own_hash", record_sha256(events))
+    declared = RECORD_TYPES["ground_truth_event"].schema.names
+    hashed = events.withColumn("own_hash", record_sha256(events, declared))
     link = ["assertion_id", "sequence"]
     previous = hashed.groupBy("assertion_id", (F.col("sequence") + 1).alias("sequence")).agg(
         F.min("own_hash").alias("expected_prior"), F.max("own_hash").alias("other_prior")
@@ -132,30 +133,35 @@ def active_heads(assertions: DataFrame, events: DataFrame) -> DataFrame:
     return assertions.join(approved, "assertion_id", "left_semi")
 
 
-def conflicted_units(heads: DataFrame) -> DataFrame:
+def conflicted_units(heads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Units with several active heads for one role and guideline; time never decides."""
     return (
-        heads.groupBy("evaluation_unit_id", "role", "guideline_id")
+        heads.groupBy(*by, "evaluation_unit_id", "role", "guideline_id")
         .agg(F.count(F.lit(1)).alias("heads"))
         .where(F.col("heads") > 1)
-        .select("evaluation_unit_id")
+        .select(*by, "evaluation_unit_id")
         .distinct()
     )
 
 
-def unavailable_units(assertions: DataFrame, heads: DataFrame) -> DataFrame:
-    return assertions.select("evaluation_unit_id").distinct().join(heads, "evaluation_unit_id", "left_anti")
+def unavailable_units(assertions: DataFrame, heads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    unit = [*by, "evaluation_unit_id"]
+    return assertions.select(*unit).distinct().join(heads, unit, "left_anti")
+
 
+def snapshot_entries(assertions: DataFrame, events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Members of the effective snapshot, one row per (kind, id).
 
-def snapshot_entries(assertions: DataFrame, events: DataFrame) -> DataFrame:
-    """Members of the effective snapshot, one row per (kind, id)."""
+    ``by`` names assertion columns that part the journal into snapshots, such as the run.
+    """
     heads = active_heads(assertions, events)
-    entry = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), F.col(column).alias("id")).distinct()
+    used = events.select("assertion_id", "event_id").join(heads.select(*by, "assertion_id"), "assertion_id")
+    entry = lambda df, kind, column: df.select(*by, F.lit(kind).alias("kind"), F.col(column).alias("id")).distinct()
     return (
         entry(heads, "assertion", "assertion_id")
-        .unionByName(entry(events.join(heads, "assertion_id", "left_semi"), "event", "event_id"))
-        .unionByName(entry(conflicted_units(heads), "conflicted_unit", "evaluation_unit_id"))
-        .unionByName(entry(unavailable_units(assertions, heads), "unavailable_unit", "evaluation_unit_id"))
+        .unionByName(entry(used, "event", "event_id"))
+        .unionByName(entry(conflicted_units(heads, by), "conflicted_unit", "evaluation_unit_id"))
+        .unionByName(entry(unavailable_units(assertions, heads, by), "unavailable_unit", "evaluation_unit_id"))
     )
 
 
@@ -168,8 +174,13 @@ _SNAPSHOT_FIELDS = {
 }
 
 
-def snapshot_record(entries: DataFrame, policy: str = RESOLVER_POLICY_VERSION, inline: bool = False) -> DataFrame:
-    """The sealed snapshot.  Each id list is one set digest, or the ids when ``inline``."""
+def snapshot_record(
+    entries: DataFrame, by: tuple[str, ...] = (), policy: str = RESOLVER_POLICY_VERSION, inline: bool = False
+) -> DataFrame:
+    """The sealed snapshot.  Each id list is one set digest, or the ids when ``inline``.
+
+    Ask for ``inline`` only where a snapshot is known to be small, such as one per unit.
+    """
 
     def field(kind):
         member = F.when(F.col("kind") == kind, F.col("id"))
@@ -177,7 +188,7 @@ def snapshot_record(entries: DataFrame, policy: str = RESOLVER_POLICY_VERSION, i
             return F.sort_array(F.collect_set(member))
         return F.when(F.count(member) > 0, F.array(set_digest(member))).otherwise(F.array().cast("array<string>"))
 
-    record = entries.agg(*[field(kind).alias(name) for name, kind in _SNAPSHOT_FIELDS.items()])
+    record = entries.groupBy(*by).agg(*[field(kind).alias(name) for name, kind in _SNAPSHOT_FIELDS.items()])
     return seal(record.withColumn("resolver_policy_version", F.lit(policy)), "effective_gt_snapshot")
 
 
