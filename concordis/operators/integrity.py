@@ -193,11 +193,21 @@ def all_findings(runs, manifests, intents, events, results, consensus, observati
     return no_manifest.unionByName(checked.join(no_manifest.select("run_manifest_id"), "run_manifest_id", "left_anti"))
 
 
-def gates(runs: DataFrame, manifests: DataFrame, intents: DataFrame, results: DataFrame, findings: DataFrame) -> DataFrame:
-    """Gate and completion of every run, with expected and observed counts."""
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """Findings per run and code.  The codes are a fixed set, so this is small."""
+    return findings.groupBy("run_manifest_id", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gates(runs: DataFrame, manifests: DataFrame, intents: DataFrame, results: DataFrame, counts: DataFrame) -> DataFrame:
+    """Gate and completion of every run, with expected and observed counts.
+
+    Takes the counts of ``finding_counts``; they go along as one list per run.
+    """
     run = "stored_run"
-    failed = findings.where(F.col("severity") == "fail").groupBy(F.col("run_manifest_id").alias(run)).agg(
-        F.count(F.lit(1)).alias("finding_count")
+    found = counts.groupBy(F.col("run_manifest_id").alias(run)).agg(
+        F.sum("n").alias("finding_count"),
+        F.bool_or(F.col("severity") == "fail").alias("failed"),
+        F.array_sort(F.collect_list(F.struct("code", "severity", "n"))).alias("finding_counts"),
     )
     known = manifests.select(F.col("run_manifest_id").alias(run), F.lit(True).alias("has_manifest")).distinct()
     expected = intents.select(run, "dispatch_pair_id").distinct().groupBy(run).agg(F.count(F.lit(1)).alias("expected"))
@@ -206,32 +216,23 @@ def gates(runs: DataFrame, manifests: DataFrame, intents: DataFrame, results: Da
     )
     has = F.col("has_manifest").isNotNull()
     count_of = lambda c: F.when(has, F.coalesce(c, F.lit(0))).otherwise(0)
+    none = F.array().cast("array<struct<code:string,severity:string,n:bigint>>")
     return (
         runs.select(run).distinct()
-        .join(known, run, "left").join(failed, run, "left").join(expected, run, "left").join(observed, run, "left")
+        .join(known, run, "left").join(found, run, "left").join(expected, run, "left").join(observed, run, "left")
         .select(
             F.col(run).alias("run_manifest_id"),
-            F.when(F.col("finding_count") > 0, "fail").otherwise("pass").alias("gate_status"),
+            F.when(F.col("failed"), "fail").otherwise("pass").alias("gate_status"),
             F.when(~has | F.coalesce("open", F.lit(False)), "incomplete").otherwise("complete").alias("run_completion_status"),
             count_of("expected").alias("expected_pair_count"),
             count_of("observed").alias("observed_result_count"),
             F.coalesce("finding_count", F.lit(0)).alias("finding_count"),
+            F.coalesce("finding_counts", none).alias("finding_counts"),
         )
     )
 
 
-def reports(gate_rows: DataFrame, findings: DataFrame) -> DataFrame:
-    """One report row per run.  Findings are counted by code (a fixed set of codes); the
-    findings themselves stay rows, since a run may have any number of them."""
-    counts = (
-        findings.groupBy("run_manifest_id", "code", "severity")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("run_manifest_id")
-        .agg(F.array_sort(F.collect_list(F.struct("code", "severity", "n"))).alias("finding_counts"))
-    )
-    none = F.array().cast("array<struct<code:string,severity:string,n:bigint>>")
-    return (
-        gate_rows.join(counts, "run_manifest_id", "left")
-        .withColumn("finding_counts", F.coalesce("finding_counts", none))
-        .withColumn("anomaly_detectors_run", F.lit(False))
-    )
+def reports(gate_rows: DataFrame) -> DataFrame:
+    """One report row per run.  It counts findings by code; the findings stay rows, since a
+    run may have any number of them."""
+    return gate_rows.withColumn("anomaly_detectors_run", F.lit(False))

@@ -38,8 +38,10 @@ def run_manifests(settings: DataFrame, run_units: DataFrame, roster: DataFrame,
     ``inline_units`` only for runs known to be small.
     """
     member_columns = RECORD_TYPES["roster_member_config"].identity_columns
-    ordered = F.array_sort(F.collect_list(F.struct("position", F.struct(*member_columns).alias("m"))))
-    nested = roster.groupBy(run_key).agg(F.transform(ordered, lambda x: x["m"]).alias("roster"))
+    # Settings are maps, which have no order of their own, so the sort names the position.
+    by_position = lambda a, b: a["position"] - b["position"]
+    ordered = F.array_sort(F.collect_list(F.struct(*member_columns)), by_position)
+    nested = roster.groupBy(run_key).agg(ordered.alias("roster"))
     ids = {"evaluation_unit_ids": "evaluation_unit_id", "page_input_variant_ids": "page_input_variant_id"}
     as_set = lambda c: F.sort_array(F.collect_set(c)) if inline_units else F.array(set_digest(F.col(c)))
     units = run_units.groupBy(run_key).agg(*[as_set(c).alias(name) for name, c in ids.items()])

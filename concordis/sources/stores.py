@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concordis.functions.identity import money_text
+from concordis.session import work_folder
 
 _RUN = "run_manifest_id"
 
@@ -90,3 +91,13 @@ def documents(runs: DataFrame, store: DataFrame, key: str = _RUN) -> DataFrame:
     """Single-document stores: one row per run, NULL where the run has no document."""
     payload = F.struct(*[c for c in store.columns if c != key]).alias("document")
     return runs.select(key).distinct().join(store.select(key, payload), key, "left")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared work folder and read it back.
+
+    Cuts the lineage of a result with several readers; survives the loss of executors.
+    """
+    path = work_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
