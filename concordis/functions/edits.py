@@ -20,8 +20,9 @@ from concordis.functions.text import ILLEGIBLE_MARKER
 # Lane of a column that carries a centre token; insertion lanes before it count from 0.
 CENTRE_LANE = 2147483647
 
+_COUNTS = ("substitutions", "insertions", "deletions", "reference_length", "hypothesis_length")
 EDIT_COUNTS = T.StructType(
-    [T.StructField(name, T.IntegerType()) for name in ("substitutions", "insertions", "deletions")]
+    [T.StructField(name, T.IntegerType()) for name in _COUNTS]
 )
 EDIT_SCRIPT = T.ArrayType(
     T.StructType(
@@ -59,7 +60,8 @@ def _count(left, right):
     script = _script(left, right)
     inserted = sum(1 for _, is_insert, _ in script if is_insert)
     deleted = sum(1 for _, is_insert, token in script if not is_insert and token is None)
-    return {"substitutions": len(script) - inserted - deleted, "insertions": inserted, "deletions": deleted}
+    substituted = len(script) - inserted - deleted
+    return dict(zip(_COUNTS, (substituted, inserted, deleted, len(left), len(right))))
 
 
 def _laned(left, right):
@@ -82,7 +84,7 @@ def edit_distance(left: pa.Array, right: pa.Array) -> pa.Array:
 
 @F.arrow_udf(EDIT_COUNTS)
 def edit_counts(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
-    """Substitutions, insertions and deletions; takes texts or arrays of words."""
+    """Edits of each kind and the token counts; takes texts or arrays of words."""
     return pa.array(_solve_batch(reference, hypothesis, _count), to_arrow_type(EDIT_COUNTS))
 
 

@@ -21,6 +21,7 @@ from concordis.functions.edits import CENTRE_LANE, edit_distance, edit_script
 from concordis.functions.identity import json_string, seal
 from concordis.functions.text import char_count, char_tokens, normalize_text, text_sha256
 from concordis.session import spread
+from concordis.sources.stores import stored
 
 KEYS = ("run_manifest_id", "evaluation_unit_id")
 QUORUM = 2
@@ -128,6 +129,15 @@ def align(hypotheses: DataFrame, keys=KEYS) -> Alignment:
     return Alignment(members, centres, scripts, tuple(keys))
 
 
+def materialized(alignment: Alignment) -> Alignment:
+    """The alignment with its centres and scripts as stored tables.
+
+    Use it when several results are taken from one alignment, so each edit script is
+    solved once.
+    """
+    return alignment._replace(centres=stored(alignment.centres), scripts=stored(alignment.scripts))
+
+
 def departures(alignment: Alignment) -> DataFrame:
     """One row per member text and alignment column where it departs from the centre."""
     # The arrays move, not the exploded rows; later groupings start with the same keys.

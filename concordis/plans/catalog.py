@@ -440,7 +440,9 @@ def e2(spark, sf):
         fx.misread(units).join(units.select("evaluation_unit_id", F.col("text").alias("ref_text")), "evaluation_unit_id"),
         "evaluation_unit_id", "position",
     )
-    return pairs.withColumn("c", edit_counts("ref_text", "text")).select(*UNIT, "position", "c.*")
+    return pairs.withColumn("c", edit_counts("ref_text", "text")).select(
+        *UNIT, "position", "c.substitutions", "c.insertions", "c.deletions"
+    )
 
 
 @query(
@@ -576,7 +578,7 @@ def e11(spark, sf):
 
 
 def _sealed_consensus(spark, sf):
-    a = al.align(fx.substituted(fx.turns(spark, sf)))
+    a = al.materialized(al.align(fx.substituted(fx.turns(spark, sf))))
     return al.consensus_records(a, al.alignment_artifacts(a), "artifacts", fx.CREATED_AT)
 
 
@@ -1012,7 +1014,7 @@ def _doc_consensus(spark, sf):
 
 
 def _fused_observations(spark, sf):
-    a = _doc_consensus(spark, sf)
+    a = al.materialized(_doc_consensus(spark, sf))
     fused = al.fused_texts(a).select(
         *UNIT, F.concat(F.lit("fused-"), "evaluation_unit_id").alias("fused_hypothesis_id"), F.col("fused_text").alias("text")
     )

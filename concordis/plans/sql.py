@@ -60,7 +60,7 @@ def jmoney(value: str) -> str:
 
 
 def jdouble(value: str) -> str:
-    return f"coalesce(regexp_replace(round({value}, 12)::DECIMAL(38,12)::VARCHAR, '(\\.\\d+?)0*$', '\\1'), 'null')"
+    return f"coalesce(regexp_replace(printf('%.12f', ({value})::DOUBLE), '(\\.\\d+?)0*$', '\\1'), 'null')"
 
 
 def jlist(value: str) -> str:
