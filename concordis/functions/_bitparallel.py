@@ -12,10 +12,12 @@ back from the end: diagonal first, then a deletion, then an insertion.
 
 from __future__ import annotations
 
+from collections import Counter
+
 # Upper bound on the bytes of bit vectors held while one chunk is walked back.
 _CHUNK_BYTES = 32 << 20
 _MIN_CHUNK = 256
-_MIN_BAND = 128
+_MIN_BAND = 96
 
 
 def _sweep(masks, columns, rows, vp, vn, keep):
@@ -27,7 +29,7 @@ def _sweep(masks, columns, rows, vp, vn, keep):
         match = lookup(token, 0) | vn
         diag = ((((match & vp) + vp) ^ vp) | match) & full
         horizontal = ((vn | (full ^ (diag | vp))) << 1) | 1
-        vp = (((vp & diag) << 1) | (full ^ ((diag | horizontal) & full))) & full
+        vp = (((vp & diag) << 1) | (full ^ (diag | horizontal))) & full
         vn = horizontal & diag
         if keep:
             kept_diag.append(diag)
@@ -43,9 +45,14 @@ def _windows(n, m, band):
         yield start, stop, max(0, start - band), min(n, stop + band)
 
 
-def _banded(a, b, band):
-    """Banded sweep: (cost inside the band, saved state at each chunk start)."""
+def _banded(a, b, band, trace):
+    """Banded sweep: (cost inside the band, saved state at each chunk start).
+
+    With ``trace`` each state also holds its columns' bits, as far as all of them fit the
+    byte bound; otherwise they are swept again on the way back.
+    """
     n, m = len(a), len(b)
+    trace = trace and m * (2 * min(n, 2 * band + _MIN_CHUNK) // 8 + 64) <= _CHUNK_BYTES
     masks: dict = {}
     bit = 1
     for token in a:
@@ -68,18 +75,26 @@ def _banded(a, b, band):
         rows = high - low
         full = (1 << rows) - 1
         window = {token: (mask >> low) & full for token, mask in alphabet.items()}
-        states.append((start, stop, low, rows, vp, vn, window))
-        vp, vn, _, _ = _sweep(window, b[start:stop], rows, vp, vn, False)
+        before = (vp, vn)
+        vp, vn, diags, vps = _sweep(window, b[start:stop], rows, vp, vn, trace)
+        states.append((start, stop, low, rows, *before, window, diags, vps))
         top_cost += stop - start
     return top_cost + vp.bit_count() - vn.bit_count(), states
 
 
-def _solve(a, b):
+def _least_edits(a, b) -> int:
+    """A lower bound of the distance: tokens one side has more of than the other."""
+    left, right = Counter(a), Counter(b)
+    return max((left - right).total(), (right - left).total())
+
+
+def _solve(a, b, trace=False):
     """Exact distance plus the chunk states of a band that holds all optimal paths."""
     n, m = len(a), len(b)
-    band = max(_MIN_BAND, 2 * abs(n - m), max(n, m) // 12)
+    least = _least_edits(a, b)
+    band = max(_MIN_BAND, least + least // 4 + 32)
     while True:
-        cost, states = _banded(a, b, band)
+        cost, states = _banded(a, b, band, trace)
         if cost <= band or band >= max(n, m):
             return cost, states
         band *= 3
@@ -116,10 +131,11 @@ def edit_script(a, b):
     i, j = len(a) - tail, len(b) - tail
     edits = []
     if i and j:
-        _, states = _solve(a[:i], b[:j])
+        _, states = _solve(a[:i], b[:j], trace=True)
         while states and i and j:
-            start, stop, low, rows, vp, vn, window = states.pop()
-            _, _, diags, vps = _sweep(window, b[start:stop], rows, vp, vn, True)
+            start, stop, low, rows, vp, vn, window, diags, vps = states.pop()
+            if not diags:
+                _, _, diags, vps = _sweep(window, b[start:stop], rows, vp, vn, True)
             while i and j > start:
                 if a[i - 1] == b[j - 1]:
                     i -= 1

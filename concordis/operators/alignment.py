@@ -55,11 +55,15 @@ def ranked_members(hypotheses: DataFrame, keys=KEYS) -> DataFrame:
 
 def distinct_texts(members: DataFrame, keys=KEYS) -> DataFrame:
     """One row per distinct text of a unit, with the ranks of the members sharing it."""
-    copies = Window.partitionBy(*keys, "text_sha256")
     return (
         members.select(*keys, "hyp_index", "hypothesis_count", "text", text_sha256(F.col("text")).alias("text_sha256"))
-        .withColumn("member_ranks", F.sort_array(F.collect_list("hyp_index").over(copies)))
-        .where(F.col("hyp_index") == F.col("member_ranks")[0])
+        .groupBy(*keys, "text_sha256")
+        .agg(
+            F.sort_array(F.collect_list("hyp_index")).alias("member_ranks"),
+            F.any_value("text").alias("text"),
+            F.any_value("hypothesis_count").alias("hypothesis_count"),
+        )
+        .withColumn("hyp_index", F.col("member_ranks")[0])
         .drop("text_sha256")
     )
 
