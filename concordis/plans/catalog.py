@@ -17,6 +17,7 @@ from concordis.plans import fixtures as fx
 from concordis.plans import sql
 from concordis.session import spread, work_folder
 from concordis.sources import corpus, stores
+from concordis.streaming import journal_follow
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1223,3 +1224,29 @@ def _four(value: str) -> str:
 )
 def n3(spark, sf):
     return report.report_lines(_summaries(spark, sf)).select("run_manifest_id", "subject_id", "line")
+
+
+# -- streaming -----------------------------------------------------------------------
+
+
+@query(
+    "w1_journal_follow",
+    "WITH ev AS (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN NULL WHEN 'click' THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 90 SECOND END AS fts, event_type FROM events), "
+    "wm AS (SELECT least(max(ts), max(fts)) - INTERVAL 10 MINUTE AS w FROM ev) "
+    "SELECT event_id AS attempt_id, CASE WHEN event_type IN ('signup', 'click') THEN 'indeterminate' ELSE event_type END AS state FROM ev, wm "
+    "WHERE event_type NOT IN ('signup', 'click') OR ts + INTERVAL 1 HOUR < w",
+)
+def w1(spark, sf):
+    """Every event is an attempt: sign-ups never finish and clicks finish too late."""
+    schema = fx.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    started = events.select(F.col("event_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("started_ts"))
+    wait = F.when(F.col("event_type") == "click", F.expr("interval 2 hours")).otherwise(F.expr("interval 90 seconds"))
+    finished = events.where(F.col("event_type") != "signup").select(
+        F.col("event_id").alias("attempt_id"), (F.col("ts").cast("timestamp") + wait).alias("finished_ts"),
+        F.col("event_type").alias("outcome"),
+    )
+    path = work_folder(spark, "follow")
+    followed = journal_follow.follow_attempts(started, finished).select("attempt_id", "state")
+    journal_follow.drain(followed, path, work_folder(spark, "follow-checkpoint"))
+    return stores.read_table(spark, path, followed.schema)

@@ -24,3 +24,12 @@ def follow_attempts(starts: DataFrame, finishes: DataFrame, patience: str = "1 h
         *starts.columns, "finished_ts",
         F.coalesce("outcome", F.lit("indeterminate")).alias("state"),
     )
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process everything available now, appending to a Parquet table."""
+    query = (
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
