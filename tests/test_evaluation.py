@@ -7,7 +7,7 @@ from concordis.functions.identity import attempt_id, seal
 from concordis.operators import ground_truth, manifest, report
 from concordis.plans import evaluation as ev
 from concordis.schemas import ATTEMPT_EVENTS
-from concordis.sources import corpus
+from concordis.sources import corpus, stores
 
 TEXTS = ["the quick brown fox", "the quick brown fax"]
 AT = "2026-08-31T00:00:00Z"
@@ -155,6 +155,7 @@ def test_each_fault_is_found(spark, run):
             copy = stored.withColumns({"stored_run": F.lit(code), "run_manifest_id": F.lit(code)})
             copy = damage(copy) if table == damaged_table else copy
             copies[table] = copies[table].unionByName(copy) if table in copies else copy
+        copies[table] = stores.stored(copies[table].coalesce(2))
     runs = spark.createDataFrame([(code,) for code in FAULTS], "run_manifest_id string")
     gates = {r.run_manifest_id: r for r in ev.validate(spark, root, runs, copies).collect()}
     for code in FAULTS:
