@@ -17,7 +17,7 @@ from collections import Counter
 # Upper bound on the bytes of bit vectors held while one chunk is walked back.
 _CHUNK_BYTES = 32 << 20
 _MIN_CHUNK = 256
-_MIN_BAND = 96
+_MIN_BAND = 48
 
 
 def _sweep(masks, columns, rows, vp, vn, keep):
@@ -89,15 +89,20 @@ def _least_edits(a, b) -> int:
 
 
 def _solve(a, b, trace=False):
-    """Exact distance plus the chunk states of a band that holds all optimal paths."""
+    """Exact distance plus the chunk states of a band that holds all optimal paths.
+
+    A path of cost c that strays k off the main diagonal, with s the difference of the
+    lengths, has at least 2k - s insertions and deletions, so k is at most (c + s) / 2.
+    """
     n, m = len(a), len(b)
+    shift = abs(n - m)
     least = _least_edits(a, b)
-    band = max(_MIN_BAND, least + least // 4 + 32)
+    band = max(_MIN_BAND, (least + least // 2 + shift) // 2 + 16)
     while True:
         cost, states = _banded(a, b, band, trace)
-        if cost <= band or band >= max(n, m):
+        if cost + shift <= 2 * band or band >= max(n, m):
             return cost, states
-        band *= 3
+        band *= 2
 
 
 def _shared_tail(a, b):

@@ -34,6 +34,7 @@ EDIT_SCRIPT = T.ArrayType(
         ]
     )
 )
+_SCRIPT_FIELDS = tuple(to_arrow_type(EDIT_SCRIPT.elementType))
 _MARKER_OR_CHAR = re.compile(f"(?s){ILLEGIBLE_MARKER}|.")
 
 
@@ -65,15 +66,18 @@ def _count(left, right):
 
 
 def _laned(left, right):
-    rows, last_slot, lane = [], -1, 0
-    for slot, is_insert, token in _script(left, right):
+    """The script as four parallel lists: slots, lanes, symbols, centre symbols."""
+    script = _script(left, right)
+    lanes, last_slot, lane = [], -1, 0
+    for slot, is_insert, _ in script:
         if is_insert:
             lane = lane + 1 if slot == last_slot else 0
             last_slot = slot
-            rows.append({"slot": slot, "lane": lane, "symbol": token, "centre_symbol": None})
+            lanes.append(lane)
         else:
-            rows.append({"slot": slot, "lane": CENTRE_LANE, "symbol": token, "centre_symbol": left[slot]})
-    return rows
+            lanes.append(CENTRE_LANE)
+    slots, symbols = [e[0] for e in script], [e[2] for e in script]
+    return slots, lanes, symbols, [None if e[1] else left[e[0]] for e in script]
 
 
 @F.arrow_udf(T.IntegerType())
@@ -91,4 +95,16 @@ def edit_counts(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
 @F.arrow_udf(EDIT_SCRIPT)
 def edit_script(centre: pa.Array, other: pa.Array) -> pa.Array:
     """Where ``other`` departs from ``centre``: one entry per differing alignment column."""
-    return pa.array(_solve_batch(centre, other, _laned), to_arrow_type(EDIT_SCRIPT))
+    columns, offsets = ([], [], [], []), [0]
+    missing = []
+    for solved in _solve_batch(centre, other, _laned):
+        missing.append(solved is None)
+        for column, values in zip(columns, solved or ()):
+            column.extend(values)
+        offsets.append(len(columns[0]))
+    entries = pa.StructArray.from_arrays(
+        [pa.array(values, f.type) for values, f in zip(columns, _SCRIPT_FIELDS)], fields=list(_SCRIPT_FIELDS)
+    )
+    return pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), entries, type=pa.list_(pa.struct(_SCRIPT_FIELDS)), mask=pa.array(missing, pa.bool_())
+    )
