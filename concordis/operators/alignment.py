@@ -440,7 +440,7 @@ def consensus_records(alignment: Alignment, artifacts: DataFrame, artifact_root:
             *keys, "eligible_page_model_result_ids", F.lit(quorum).alias("quorum_size"),
             F.col("hypothesis_count").alias("eligible_hypothesis_count"), "consensus_entropy",
             "alignment_artifact_sha256",
-            F.concat(F.lit(artifact_root.rstrip("/") + "/alignment-"), digest, F.lit(".json")).alias("alignment_artifact_uri"),
+            F.concat(F.lit(artifact_root.rstrip("/") + "#"), digest).alias("alignment_artifact_uri"),
             F.lit(TEXT_POLICY_ID).alias("text_policy_id"),
             F.lit(ALIGNMENT_POLICY_ID).alias("alignment_policy_id"),
             F.lit(created_at).alias("created_at"),

@@ -1,7 +1,7 @@
 """Order-free digest of a set of ids.
 
-The reference record shapes list every member id in one array.  A set that spans a whole
-run has no size bound, so here such a field holds one entry, ``set_sha256:<hex>``, and
+Some record fields are made to list every member id in one array.  A set that spans a
+whole run has no size bound, so such a field holds one entry, ``set_sha256:<hex>``, and
 the ids stay rows of a table.  The digest adds up slices of each id's SHA-256, so it
 combines on the map side and never gathers the ids.
 """

@@ -1,8 +1,8 @@
 """Integrity checks over stored runs and the pass/fail gate.
 
 Every check yields rows of ``(run_manifest_id, code, severity, subject)``.  All runs are
-checked at once.  The reference reads one run from one folder, so it takes the run from
-the folder; here a row's ``stored_run`` says which run it was stored under.
+checked at once; ``stored_run`` says which run a row was stored under, whatever run the
+row itself names.
 """
 
 from __future__ import annotations

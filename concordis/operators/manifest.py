@@ -18,7 +18,8 @@ def roster_members(members: DataFrame) -> DataFrame:
 def dataset_splits(assignments: DataFrame, keys: tuple[str, ...], settings: DataFrame) -> DataFrame:
     """One sealed split per key; its assignments enter as the digest of (unit, role) pairs."""
     pair = F.concat_ws("\t", "evaluation_unit_id", "role")
-    digests = assignments.groupBy(*keys).agg(F.array(F.array(set_digest(pair))).alias("assignments"))
+    pairs = assignments.select(*keys, pair.alias("pair")).distinct()
+    digests = pairs.groupBy(*keys).agg(F.array(F.array(set_digest(F.col("pair")))).alias("assignments"))
     return seal(settings.join(digests, list(keys)), "dataset_split")
 
 
@@ -44,8 +45,11 @@ def run_manifests(settings: DataFrame, run_units: DataFrame, roster: DataFrame,
     nested = roster.groupBy(run_key).agg(ordered.alias("roster"))
     ids = {"evaluation_unit_ids": "evaluation_unit_id", "page_input_variant_ids": "page_input_variant_id"}
     as_set = lambda c: F.sort_array(F.collect_set(c)) if inline_units else F.array(set_digest(F.col(c)))
-    units = run_units.groupBy(run_key).agg(*[as_set(c).alias(name) for name, c in ids.items()])
-    return seal(settings.join(nested, run_key).join(units, run_key), "run_manifest")
+    record = settings.join(nested, run_key)
+    for name, c in ids.items():
+        distinct = run_units.select(run_key, c).distinct()
+        record = record.join(distinct.groupBy(run_key).agg(as_set(c).alias(name)), run_key)
+    return seal(record, "run_manifest")
 
 
 def dispatch_intents(variants: DataFrame, roster: DataFrame, planned_max_attempts: int = MAX_ATTEMPTS) -> DataFrame:

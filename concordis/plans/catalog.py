@@ -207,7 +207,7 @@ def _member_json(position: str, hyper: str) -> str:
 _SETTINGS = "'{\"mode\":\"exact\",\"top_p\":\"0.9\"}'"
 _ROSTER_JSON = " || ',' || ".join(_member_json(str(p), _SETTINGS if p == 1 else "'{}'") for p in range(3))
 _FIXED = {
-    "schema_version": "v2", "dataset_id": "documents", "dataset_version": "v1", "corpus_evidence_kind": "havi_natural",
+    "schema_version": "v2", "dataset_id": "documents", "dataset_version": "v1", "corpus_evidence_kind": "natural",
     "dataset_split_id": "split-1", "split_role": "diagnostic", "config_snapshot_sha256": "2" * 64, "taxonomy_registry_id": "taxonomy_v1",
     "assessment_policy_id": "assessment_v1", "alignment_policy_id": "alignment_v1", "eligibility_policy_id": "eligibility_v1",
     "fusion_policy_id": "fusion_v1", "metric_policy_id": "metric_v1", "anomaly_policy_id": "anomaly_v1", "analysis_policy_id": "analysis_v1",
@@ -664,10 +664,10 @@ def p2(spark, sf):
 
 _PAGE_JSON = sql.obj(
     dataset_id=sql.js("'pages'"), dataset_item_id=sql.js("dataset_item_id"), dataset_version=sql.js("'v1'"),
-    schema_version=sql.js("'ocr-ensemble-schema/v2'"), source_sha256=sql.js("sha256(content)"),
+    schema_version=sql.js("'v2'"), source_sha256=sql.js("sha256(content)"),
 )
 _UNIT_JSON = sql.obj(
-    layout_complexity=sql.js("'linear'"), reading_order_policy_id=sql.js("'reading_order_v1'"), schema_version=sql.js("'ocr-ensemble-schema/v2'"),
+    layout_complexity=sql.js("'linear'"), reading_order_policy_id=sql.js("'reading_order_v1'"), schema_version=sql.js("'v2'"),
     selector="'null'", source_page_id=sql.js("source_page_id"),
 )
 _DECODE_JSON = sql.obj(
@@ -677,7 +677,7 @@ _DECODE_JSON = sql.obj(
 _VARIANT_JSON = sql.obj(
     artifact_sha256=sql.js("digest"), byte_size=sql.jn("bytes"), decode_provenance_id=sql.js(sql.cid("decode_provenance", _DECODE_JSON)),
     evaluation_unit_id=sql.js("unit"), height_px=sql.jn("n"), media_type=sql.js("'image/png'"), perturbation_provenance="'null'",
-    preprocess_policy_id=sql.js("'preprocess_v1'"), schema_version=sql.js("'ocr-ensemble-schema/v2'"), source_page_id=sql.js("source_page_id"),
+    preprocess_policy_id=sql.js("'preprocess_v1'"), schema_version=sql.js("'v2'"), source_page_id=sql.js("source_page_id"),
     transform_chain="'[]'", variant_kind=sql.js("'natural_baseline'"), width_px=sql.jn("page_id + 100"),
 )
 
@@ -1035,7 +1035,7 @@ _V = {
 }
 _MEMBER_SETTINGS = "CASE WHEN position = 1 THEN sha256('[(''mode'', ''exact''), (''top_p'', ''0.9'')]') END"
 _MEMBER_JSON = sql.obj(
-    run_manifest_id=sql.js("run_manifest_id"), dataset_id=sql.js("'documents'"), dataset_version=sql.js("'v1'"), corpus_evidence_kind=sql.js("'havi_natural'"),
+    run_manifest_id=sql.js("run_manifest_id"), dataset_id=sql.js("'documents'"), dataset_version=sql.js("'v1'"), corpus_evidence_kind=sql.js("'natural'"),
     split=sql.js("'diagnostic'"), evaluation_unit_id=sql.js("evaluation_unit_id"), source_page_id=sql.js("'page-' || doc_id"), source_sha256=sql.js("sha256(ref)"),
     page_input_variant_id=sql.js("'variant-' || doc_id"), input_variant_sha256=sql.js("sha256(source)"), subject_kind=sql.js("'page_model_result'"),
     subject_id=sql.js("page_model_result_id"), roster_member_config_id=sql.js("member"), exact_model_id=sql.js("'reader-' || position"), provider=sql.js("'stub'"),

@@ -414,7 +414,7 @@ def doc_manifests(spark, sf_dir) -> DataFrame:
     return documents(spark, sf_dir).select("run_manifest_id").distinct().withColumns(
         {
             "dataset_id": F.lit("documents"), "dataset_version": F.lit("v1"),
-            "corpus_evidence_kind": F.lit("havi_natural"), "split_role": F.lit("diagnostic"),
+            "corpus_evidence_kind": F.lit("natural"), "split_role": F.lit("diagnostic"),
         }
     )
 

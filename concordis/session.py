@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -28,22 +29,25 @@ def build_session(master: str | None = None, app_name: str = "concordis", **over
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     Only a session without ``spark.checkpoint.dir`` (a local test) gets a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows by ``keys`` over enough tasks for work whose cost is CPU, not bytes.
 
-    A stated count keeps adaptive execution from merging the small partitions again.
+    A stated count keeps adaptive execution from merging the small partitions again.  It
+    follows ``spark.sql.shuffle.partitions``, which a large cluster sets from its data.
     """
     spark = df.sparkSession
     tasks = max(

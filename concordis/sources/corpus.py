@@ -18,7 +18,7 @@ SEED_FAMILIES = (
 MEDIA_TYPES = {
     ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".tif": "image/tiff", ".tiff": "image/tiff",
 }
-SCHEMA_VERSION = "ocr-ensemble-schema/v2"
+SCHEMA_VERSION = "v2"  # default; pass the version of records already stored to keep their ids
 READING_ORDER_POLICY_ID = "reading_order_v1"
 PREPROCESS_POLICY_ID = "preprocess_v1"
 
@@ -108,7 +108,7 @@ def source_pages(files: DataFrame, settings: dict[str, str | None]) -> DataFrame
     text = lambda name: F.lit(settings.get(name)).cast("string")
     described = files.withColumn("_h", header).withColumns(
         {
-            "schema_version": F.lit(SCHEMA_VERSION),
+            "schema_version": F.lit(settings.get("schema_version", SCHEMA_VERSION)),
             "dataset_id": text("dataset_id"),
             "dataset_version": text("dataset_version"),
             "source_uri": F.col("path"),
@@ -132,7 +132,7 @@ def evaluation_units(pages: DataFrame, settings: dict[str, str | None]) -> DataF
     return seal(
         pages.select("source_page_id").withColumns(
             {
-                "schema_version": F.lit(SCHEMA_VERSION),
+                "schema_version": F.lit(settings.get("schema_version", SCHEMA_VERSION)),
                 "selector": F.lit(None).cast("map<string,string>"),
                 "layout_complexity": F.lit(settings.get("layout_complexity", "linear")),
                 "reading_order_policy_id": F.lit(READING_ORDER_POLICY_ID),

@@ -43,7 +43,7 @@ def build_inputs(spark):
     }
     settings = spark.range(1).select(F.lit("run").alias("run_key")).withColumns(
         {
-            **fixed, "created_at": text(AT), "corpus_evidence_kind": text("havi_natural"), "split_role": text("diagnostic"),
+            **fixed, "created_at": text(AT), "corpus_evidence_kind": text("natural"), "split_role": text("diagnostic"),
             "calibration_selection_id": text(None), "budget_policy": F.create_map(F.lit("run_ceiling_usd"), F.lit("1.00")),
             "model_corpus_match": F.lit(False), "model_corpus_match_policy_id": text(None), "human_override_ids": F.array().cast("array<string>"),
         }
