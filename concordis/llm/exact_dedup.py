@@ -22,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concordis.llm.common import saved, table
+from concordis.llm.common import DOCUMENT_COLUMNS, saved, table
 
 CAPACITY = 16384
 MAX_DEPTH = 20
@@ -144,6 +144,22 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     return resolve(build_index(docs, capacity, max_depth, key_bits))
 
 
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows that stay, with the columns of documents; of repeated rows one."""
+
+    @F.arrow_udf("string")
+    def digest(texts: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256((t.as_py() or "").encode().lower()).hexdigest() for t in texts], pa.string())
+
+    winners = exact_dedup(docs, **options).where("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")
+    )
+    rows = docs.select(*DOCUMENT_COLUMNS, digest("text").alias("text_sha256"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_sha256") == F.col("kept_sha256"))
+    copies = Window.partitionBy("kept_id", "kept_sha256").orderBy(F.lit(0))
+    return rows.join(winners, same).withColumn("copy_no", F.row_number().over(copies)).where("copy_no = 1").select(*DOCUMENT_COLUMNS)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
