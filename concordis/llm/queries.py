@@ -3,10 +3,20 @@
 from __future__ import annotations
 
 from concordis.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from concordis.llm.fingerprint import op9_fingerprint
+from concordis.llm.mixing import op7_mixing
+from concordis.llm.packing import op8_packing
+from concordis.llm.quality import op1_quality
+from concordis.llm.sharding import op3_sharding
 from concordis.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sharding": op3_sharding,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+    "op9_fingerprint": op9_fingerprint,
     "op10_simhash": op10_simhash,
 }
 
