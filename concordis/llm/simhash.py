@@ -23,10 +23,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concordis.llm.common import saved, table
+from concordis.llm.common import DOCUMENT_COLUMNS, saved, table
 
 SHINGLE = 4
 DISTANCE = 4
@@ -62,14 +62,16 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, a hash of the text and the fingerprint as a signed long."""
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
         found = np.array([simhash(t.as_py(), shingle) for t in texts], dtype=np.uint64)
         return pa.array(found.view(np.int64), pa.int64())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("fp"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), of("text").alias("fp")
+    )
 
 
 def _remainder(word: int) -> int:
@@ -250,8 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id, the smallest id reachable over links."""
+def clusters(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_hash, fp and component_id, the smallest id reachable over links."""
     prints = saved(fingerprints(docs, shingle), "prints")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     pairs = links(distinct, distance, block)
@@ -261,10 +263,28 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
     labelled = distinct.join(found, F.col("first_id") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "first_id").alias("component_id")
     )
-    return prints.join(labelled, "fp").select(
+    return prints.join(labelled, "fp")
+
+
+def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id."""
+    return clusters(docs, distance, shingle, block).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group, that of the smallest id, with the columns of documents."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    apart = F.when(F.col("component_id").isNull(), F.col("fp"))  # groups without any id
+    winners = clusters(docs, **options).groupBy("component_id", apart).agg(first).select(
+        F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")
+    )
+    rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    copies = Window.partitionBy("kept_id", "kept_hash").orderBy(F.lit(0))
+    return rows.join(winners, same).withColumn("copy_no", F.row_number().over(copies)).where("copy_no = 1").select(*DOCUMENT_COLUMNS)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
