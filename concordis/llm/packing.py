@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -40,7 +41,7 @@ WINDOW = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RUN_TOKENS = 1 << 20
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 1_000_000
 SENTENCE_PENALTY = 24.0
 FORCED_PENALTY = 96.0
 
@@ -66,7 +67,7 @@ class Encoder:
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding("packing", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self._after_space: dict[str, bytes] = {}
+        self._after_space = _Parts(self._whole)
         #: Ids after which a sentence can end.
         self.sentence_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
         for part, number in ranks.items():
@@ -74,21 +75,26 @@ class Encoder:
                 self.sentence_end[number] = True
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        return array("I", self._encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text or _UNSAFE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        known, out = self._after_space, [self._whole(first)]
-        for part in rest:
-            ids = known.get(part)
-            if ids is None:
-                ids = self._whole(" " + part)
-                if len(known) < CACHE_ENTRIES and len(part) < 64:
-                    known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self._whole(first) + b"".join(map(self._after_space.__getitem__, rest))
+
+
+class _Parts(dict):
+    """Ids of parts of text that follow a space, kept while there are few enough of them."""
+
+    def __init__(self, encode):
+        self._encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self._encode(" " + part)
+        if len(self) < CACHE_ENTRIES and len(part) < 64:
+            self[part] = ids
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -102,26 +108,29 @@ def encoder(vocabulary: str) -> Encoder:
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, and the penalty of ending there."""
-    sentences = np.flatnonzero(sentence_end[ids]) + 1
-    places = np.union1d(doc_ends, sentences)
+    kinds = sentence_end[ids].astype(np.uint8)
+    kinds[doc_ends - 1] = 2
+    places = np.flatnonzero(kinds) + 1
+    penalty = np.where(kinds[places - 1] == 2, 0.0, SENTENCE_PENALTY)
     starts = np.concatenate(([0], places[:-1]))
     long = np.flatnonzero(places - starts > window)
-    forced = [np.arange(starts[i] + window, places[i], window) for i in long]
-    points = np.union1d(places, np.concatenate(forced)) if forced else places
-    penalty = np.full(len(points), FORCED_PENALTY)
-    penalty[np.isin(points, sentences)] = SENTENCE_PENALTY
-    penalty[np.isin(points, doc_ends)] = 0.0
-    return points, penalty
+    if long.size:
+        forced = np.concatenate([np.arange(starts[i] + window, places[i], window) for i in long])
+        at = np.searchsorted(places, forced)
+        places, penalty = np.insert(places, at, forced), np.insert(penalty, at, FORCED_PENALTY)
+    return places, penalty
 
 
 def choose_cuts(points: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """Window ends of least total cost, in order; the stream starts at 0."""
     places = np.concatenate(([0], points))
+    number = np.full(places[-1] + 1, -1, dtype=np.int64)
+    number[places] = np.arange(len(places))
     tries: dict[int, list[int]] = {}
     size = 1
     while size < window:
-        back = np.searchsorted(places, points - size)
-        for k in np.flatnonzero((points >= size) & (places[np.minimum(back, len(places) - 1)] == points - size)).tolist():
+        back = np.where(points >= size, number[np.maximum(points - size, 0)], -1)
+        for k in np.flatnonzero(back >= 0).tolist():
             tries.setdefault(k + 1, []).append(int(back[k]))
         size *= 2
     at, costs = places.tolist(), [0.0, *penalty.tolist()]
