@@ -134,7 +134,8 @@ def assign_blocks(plans: DataFrame, counts: DataFrame, block_words: int = BLOCK_
         .otherwise(F.lit(block_words)).alias("block_limit"),
     )
     slots = _counted(counts, "slot_count", "at").select(*SOURCE, "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
-    return ranked.join(slots, [*SOURCE, "slot"])
+    # Both sides are as long as the output, whatever a planner makes of the few rows they spring from.
+    return ranked.join(slots.hint("merge"), [*SOURCE, "slot"])
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, limit=LIMIT, block_words=BLOCK_WORDS, shard_slots=SHARD_SLOTS, seed=SEED):
@@ -154,7 +155,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, limit=LIMIT, block_words=
     start = F.greatest(F.col("first_word"), F.col("block") * block_words)
     end = F.least(F.col("first_word") + F.col("size"), F.col("block") * block_words + F.col("block_limit"))
     pieces = (
-        parts.join(taken, [*SOURCE, "block"])
+        parts.join(taken.hint("merge"), [*SOURCE, "block"])
         .select(
             *SOURCE, "doc_id", "text_hash", "row_no", "size", "shard", "slot", "pass_no", "block",
             (start - F.col("first_word")).alias("from_word"), (end - start).alias("words"),
