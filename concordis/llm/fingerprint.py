@@ -115,40 +115,38 @@ def shown(packed: Column) -> Column:
     return F.lower(F.array_join(F.transform(packed, lambda v: F.lpad(F.hex(v), 16, "0")), ""))
 
 
+#: A row's key: whether it has no id, its id, and a hash of its text; none of these is null.
+KEY = ("no_id", "id", "text_hash")
+
+
 def edited_texts(docs: DataFrame) -> DataFrame:
     """row_no, next_no, doc_id, n_chars, text and edited text, in order of id.
 
-    Only ids and lengths are ordered; of the next document just the characters that are needed move.
+    Only ids and lengths are ordered.  Texts are dealt by key once, for both uses; of the next
+    document just the characters that are needed move on.
     """
     keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), whole(F.col("text")).alias("text")
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"),
+        F.xxhash64("text").alias("text_hash"), whole(F.col("text")).alias("text"),
     )
-    narrow = saved(keyed.select("doc_id", "text_hash", F.char_length("text").cast("long").alias("n_chars")), "lengths")
-    count = narrow.count()
-    rows = saved(numbered(narrow, ("doc_id", "text_hash")), "order")
-    replaced = F.floor(F.col("n_chars") / 4).cast("int")
+    narrow = saved(keyed.select((~F.col("no_id")).alias("has_id"), *KEY, F.char_length("text").cast("long").alias("n_chars")), "lengths")
+    count = F.lit(max(narrow.count(), 1))
+    rows = saved(numbered(narrow, ("has_id", "id", "text_hash")).drop("has_id"), "order")
     # What row r gives away goes to the row before it.
     before = rows.select(
-        F.pmod(F.col("row_no") + 1, F.lit(max(count, 1))).alias("row_no"), F.col("doc_id").alias("before_id"),
-        F.col("text_hash").alias("before_hash"), F.col("row_no").alias("before_no"), replaced.alias("wanted"),
-    )
-    places = (
-        rows.join(before, "row_no")
-        .groupBy(F.col("doc_id").alias("place_id"), F.col("text_hash").alias("place_hash"))
-        .agg(F.collect_list(F.struct("row_no", "n_chars", "before_id", "before_hash", "before_no", "wanted")).alias("places"))
+        F.pmod(F.col("row_no") + 1, count).alias("row_no"), F.col("row_no").alias("before_no"),
+        F.struct(*KEY).alias("before"), F.floor(F.col("n_chars") / 4).cast("int").alias("replaced"),
     )
-    copies = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
-    once = keyed.withColumn("copy_no", F.row_number().over(copies)).where("copy_no = 1").drop("copy_no")
-    same = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.col("text_hash") == F.col("place_hash"))
-    placed = once.join(places, same).select("doc_id", "text_hash", "text", F.inline("places"))
-    heads = placed.select(
-        "before_id", "before_hash", "before_no", F.left("text", F.col("wanted")).alias("head")
+    wanted = rows.join(before, "row_no").groupBy(*KEY).agg(F.collect_list(F.struct("before", "before_no", "replaced")).alias("wanted"))
+    # Repeated rows have one key and one text.
+    once = keyed.withColumn("copy_no", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))).where("copy_no = 1").drop("copy_no")
+    heads = once.join(wanted, list(KEY)).select("text", F.inline("wanted")).select(
+        "before.*", "before_no", "replaced", F.left("text", F.col("replaced")).alias("head")
     )
-    own = placed.select("doc_id", "text_hash", "row_no", "n_chars", "text")
-    meets = F.col("doc_id").eqNullSafe(F.col("before_id")) & (F.col("text_hash") == F.col("before_hash")) & (F.col("row_no") == F.col("before_no"))
-    return own.join(heads, meets).select(
-        "row_no", F.pmod(F.col("row_no") + 1, F.lit(max(count, 1))).alias("next_no"), "doc_id", "n_chars", "text",
-        F.concat(F.left("text", (F.col("n_chars") - replaced).cast("int")), "head").alias("edited"),
+    return once.join(heads, list(KEY)).select(
+        F.col("before_no").alias("row_no"), F.pmod(F.col("before_no") + 1, count).alias("next_no"),
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"), "text",
+        F.concat(F.left("text", F.char_length("text") - F.col("replaced")), "head").alias("edited"),
     )
 
 
