@@ -35,7 +35,7 @@ def json_string(value: Column) -> Column:
 
 def money_text(value: Column) -> Column:
     """An exact decimal as text, without trailing zeros."""
-    return F.regexp_replace(value.cast(T.DecimalType(18, 6)).cast("string"), r"\.?0+$", "")
+    return F.regexp_replace(value.cast(T.DecimalType(28, 6)).cast("string"), r"\.?0+$", "")
 
 
 def number_text(value: Column) -> Column:

@@ -174,35 +174,33 @@ _SNAPSHOT_FIELDS = {
 }
 
 
-def snapshot_record(
-    entries: DataFrame, by: tuple[str, ...] = (), policy: str = RESOLVER_POLICY_VERSION, inline: bool = False
-) -> DataFrame:
-    """The sealed snapshot.  Each id list is one set digest, or the ids when ``inline``.
-
-    Ask for ``inline`` only where a snapshot is known to be small, such as one per unit.
-    """
+def snapshot_record(entries: DataFrame, by: tuple[str, ...] = (), policy: str = RESOLVER_POLICY_VERSION) -> DataFrame:
+    """The sealed snapshot.  Each id list is one set digest; its members are the entries."""
 
     def field(kind):
         member = F.when(F.col("kind") == kind, F.col("id"))
-        if inline:
-            return F.sort_array(F.collect_set(member))
         return F.when(F.count(member) > 0, F.array(set_digest(member))).otherwise(F.array().cast("array<string>"))
 
     record = entries.groupBy(*by).agg(*[field(kind).alias(name) for name, kind in _SNAPSHOT_FIELDS.items()])
     return seal(record.withColumn("resolver_policy_version", F.lit(policy)), "effective_gt_snapshot")
 
 
-def gt_references(units: DataFrame, assertions: DataFrame, events: DataFrame) -> DataFrame:
-    """The one usable reference of every unit, or why there is none."""
+def gt_references(units: DataFrame, assertions: DataFrame, events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The one usable reference of every unit, or why there is none.
+
+    ``by`` names columns of units and assertions that part them, such as the run: runs over the
+    same units then do not see each other's assertions.
+    """
     heads = active_heads(assertions, events)
+    unit = [*by, "evaluation_unit_id"]
     chosen = (
-        heads.groupBy("evaluation_unit_id", "role", "guideline_id")
-        .agg(F.count(F.lit(1)).alias("heads"), F.min("assertion_id").alias("assertion_id"))
-        .groupBy("evaluation_unit_id")
+        heads.groupBy(*unit, "role", "guideline_id")
+        .agg(F.countDistinct("assertion_id").alias("heads"), F.min("assertion_id").alias("assertion_id"))
+        .groupBy(*unit)
         .agg(F.max("heads").alias("heads"), F.min("assertion_id").alias("assertion_id"))
     )
     usable = F.col("heads") == 1
-    texts = assertions.select("assertion_id", "target_state", "text")
+    texts = assertions.select(*by, "assertion_id", "target_state", "text").dropDuplicates([*by, "assertion_id"])
     availability = (
         F.when(F.col("heads") > 1, "conflicted")
         .when(F.col("heads").isNull(), "unavailable")
@@ -210,12 +208,12 @@ def gt_references(units: DataFrame, assertions: DataFrame, events: DataFrame) ->
         .otherwise("available")
     )
     return (
-        units.select("evaluation_unit_id").distinct()
-        .join(chosen, "evaluation_unit_id", "left")
+        units.select(*unit).distinct()
+        .join(chosen, unit, "left")
         .withColumn("assertion_id", F.when(usable, F.col("assertion_id")))
-        .join(texts, "assertion_id", "left")
+        .join(texts, [*by, "assertion_id"], "left")
         .select(
-            "evaluation_unit_id", availability.alias("gt_availability"),
+            *unit, availability.alias("gt_availability"),
             F.when(availability == "available", F.coalesce("text", F.lit(""))).alias("gt_text"),
             F.col("assertion_id").alias("gt_assertion_id"),
         )

@@ -47,7 +47,7 @@ def attempts(events: DataFrame) -> DataFrame:
             F.col("finish.outcome").alias("finish_outcome"),
             F.col("finish.parsed_output").alias("parsed_output"),
             F.coalesce(F.when(cost["availability"] == "reported", cost["value"]), F.lit(0))
-            .cast("decimal(18,6)").alias("cost_usd"),
+            .cast("decimal(28,6)").alias("cost_usd"),
             F.coalesce("finish.measured_duration_ms", F.lit(0.0)).alias("duration_ms"),
         )
     )
@@ -99,7 +99,7 @@ def outcomes(events: DataFrame) -> DataFrame:
         F.bool_and(~is_attempt | F.coalesce(F.col("finish_outcome").isin(*RETRIABLE), F.lit(False))).alias("only_retriable"),
         F.sum("cost_usd").alias("cost_usd"),
         # Summed exactly, so the total does not depend on arrival order.
-        F.sum(F.col("duration_ms").cast("decimal(18,6)")).alias("duration_ms"),
+        F.sum(F.col("duration_ms").cast("decimal(28,6)")).alias("duration_ms"),
         F.collect_list(F.when(is_attempt, F.struct("attempt_number", "attempt_id"))).alias("tried"),
     )
     outcome = (
@@ -120,7 +120,7 @@ def outcomes(events: DataFrame) -> DataFrame:
         "dispatch_intent_id", outcome.alias("terminal_outcome"),
         kept["attempt_id"].alias("selected_attempt_id"), kept["text"].alias("parsed_text"),
         F.transform(F.array_sort("tried"), lambda t: t["attempt_id"]).alias("attempt_ids"),
-        F.coalesce("cost_usd", F.lit(0)).cast("decimal(18,6)").alias("total_cost_usd"),
+        F.coalesce("cost_usd", F.lit(0)).cast("decimal(28,6)").alias("total_cost_usd"),
         F.coalesce(F.col("duration_ms").cast("double"), F.lit(0.0)).alias("total_measured_duration_ms"),
     )
 
@@ -137,7 +137,7 @@ def page_model_results(intents: DataFrame, events: DataFrame, created_at: str) -
         {
             "terminal_outcome": F.coalesce("terminal_outcome", F.lit("budget_refused")),
             "attempt_ids": F.coalesce("attempt_ids", F.array().cast("array<string>")),
-            "total_cost_usd": F.coalesce("total_cost_usd", F.lit(0)).cast("decimal(18,6)"),
+            "total_cost_usd": F.coalesce("total_cost_usd", F.lit(0)).cast("decimal(28,6)"),
             "total_measured_duration_ms": F.coalesce("total_measured_duration_ms", F.lit(0.0)),
             "created_at": F.lit(created_at),
         }

@@ -23,20 +23,11 @@ def dataset_splits(assignments: DataFrame, keys: tuple[str, ...], settings: Data
     return seal(settings.join(digests, list(keys)), "dataset_split")
 
 
-def inline_splits(assignments: DataFrame, keys: tuple[str, ...], settings: DataFrame) -> DataFrame:
-    """As ``dataset_splits`` with the pairs listed; for splits known to be small."""
-    listed = assignments.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.array("evaluation_unit_id", "role"))).alias("assignments")
-    )
-    return seal(settings.join(listed, list(keys)), "dataset_split")
-
-
-def run_manifests(settings: DataFrame, run_units: DataFrame, roster: DataFrame, run_key: str = "run_key", inline_units: bool = False) -> DataFrame:
+def run_manifests(settings: DataFrame, run_units: DataFrame, roster: DataFrame, run_key: str = "run_key") -> DataFrame:
     """One sealed manifest per run.
 
     ``roster`` (a few configured members per run) is nested in position order by identity
-    columns.  ``run_units`` has no size bound, so its ids enter as set digests; ask for
-    ``inline_units`` only for runs known to be small.
+    columns.  ``run_units`` has no size bound, so its ids enter as set digests at every size.
     """
     member_columns = RECORD_TYPES["roster_member_config"].identity_columns
     # Settings are maps, which have no order of their own, so the sort names the position.
@@ -44,7 +35,7 @@ def run_manifests(settings: DataFrame, run_units: DataFrame, roster: DataFrame,
     ordered = F.array_sort(F.collect_list(F.struct(*member_columns)), by_position)
     nested = roster.groupBy(run_key).agg(ordered.alias("roster"))
     ids = {"evaluation_unit_ids": "evaluation_unit_id", "page_input_variant_ids": "page_input_variant_id"}
-    as_set = lambda c: F.sort_array(F.collect_set(c)) if inline_units else F.array(set_digest(F.col(c)))
+    as_set = lambda c: F.array(set_digest(F.col(c)))
     record = settings.join(nested, run_key)
     for name, c in ids.items():
         distinct = run_units.select(run_key, c).distinct()

@@ -144,7 +144,7 @@ def journal_intents(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("intent-"), "user_id", F.lit("-"), F.to_date("ts").cast("string")).alias("dispatch_intent_id")
     ).distinct()
     every = busy.unionByName(idle_turns(spark, sf_dir).select("dispatch_intent_id"))
-    tail = F.substring("dispatch_intent_id", 8, 200)
+    tail = F.substring("dispatch_intent_id", 8, 2147483647)
     return every.select(
         "dispatch_intent_id", F.lit("run-journal").alias("run_manifest_id"),
         F.concat(F.lit("variant-"), tail).alias("page_input_variant_id"),

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-MONEY = "DECIMAL(18,6)"
+MONEY = "DECIMAL(28,6)"
 
 
 @dataclass(frozen=True)

@@ -37,9 +37,15 @@ def _local_folder() -> str:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a temporary one.
+    Only a local session without ``spark.checkpoint.dir`` (a test) gets a temporary one; on a
+    cluster such a folder would be another one on every node.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

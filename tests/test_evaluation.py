@@ -48,7 +48,7 @@ def build_inputs(spark):
             "model_corpus_match": F.lit(False), "model_corpus_match_policy_id": text(None), "human_override_ids": F.array().cast("array<string>"),
         }
     )
-    manifests = manifest.run_manifests(settings, run_units, roster, inline_units=True)
+    manifests = manifest.run_manifests(settings, run_units, roster)
     run_id = manifests.head().run_manifest_id
     in_run = lambda df: df.withColumn("run_manifest_id", F.lit(run_id))
     intents = manifest.dispatch_intents(in_run(variants), in_run(roster))
@@ -115,7 +115,7 @@ def test_clean_run_passes_and_reports(spark, run, tmp_path):
 
 def test_observations_name_their_inputs(spark, run):
     root, _ = run
-    obs = spark.read.parquet(f"{root}/benchmark_observations")
+    obs = stores.live(spark.read.parquet(f"{root}/benchmark_observations"))
     fused = obs.where("subject_kind = 'fused_hypothesis'").head()
     assert fused.quorum_size == 2 and fused.eligible_hypothesis_count == 2 and fused.roster_member_config_id is None
     assert str(fused.attributed_cost_usd) == "0.010000" and fused.attributed_latency_ms == 10.0
@@ -150,7 +150,7 @@ def test_each_fault_is_found(spark, run):
     tables = ("run_manifests", "dispatch_intents", "attempt_events", "page_model_results", "consensus_results", "benchmark_observations")
     copies = {}
     for table in tables:
-        stored = spark.read.parquet(f"{root}/{table}")
+        stored = stores.live(spark.read.parquet(f"{root}/{table}"))
         for code, (damaged_table, damage) in FAULTS.items():
             copy = stored.withColumns({"stored_run": F.lit(code), "run_manifest_id": F.lit(code)})
             copy = damage(copy) if table == damaged_table else copy
@@ -170,7 +170,7 @@ def test_refused_runs_say_why(spark, run):
     reports = ev.validate(spark, root, runs).withColumn("gate_status", F.lit("fail"))
     summaries, refused = ev.analyze(spark, root, reports)
     assert summaries.count() == 0 and refused.head().reason == "gate_status=fail"
-    known = spark.read.parquet(f"{root}/run_manifests")
+    known = stores.live(spark.read.parquet(f"{root}/run_manifests"))
     no_report = report.refused_runs(runs, known, reports.limit(0)).head()
     assert no_report.reason == "missing_postprocess_report"
     assert report.refused_runs(runs, known.limit(0), reports).head().reason == "missing_run_manifest"
