@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into smaller ones, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared work folder: computed once, safe when executors go."""
     path = work_folder(df.sparkSession, purpose)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concordis.llm.common import DOCUMENT_COLUMNS, saved, table
+from concordis.llm.common import DOCUMENT_COLUMNS, saved, slices, table
 
 CAPACITY = 16384
 MAX_DEPTH = 20
@@ -36,7 +36,7 @@ def _keyed(docs: DataFrame, key_bits: int, with_text: bool) -> DataFrame:
     """doc_id, key and, if wanted, the normalised text and its digest."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             bodies = [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
             digests = [hashlib.sha256(b) for b in bodies]
             keys = [int.from_bytes(d.digest()[:8], "big") >> (64 - key_bits) for d in digests]

@@ -41,7 +41,7 @@ WINDOW = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RUN_TOKENS = 1 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 SENTENCE_PENALTY = 24.0
 FORCED_PENALTY = 96.0
 

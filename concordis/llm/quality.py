@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concordis.llm.common import DOCUMENT_COLUMNS, saved, table, whole
+from concordis.llm.common import DOCUMENT_COLUMNS, saved, slices, table, whole
 
 ORDER = 4
 SYMBOLS = 48
@@ -42,7 +42,7 @@ KEEP = 0.995
 BIN = 0.002
 MARGIN = 0.05
 LEAST = 50
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 #: Fixed symbols besides a-z (1 to 26) and other letters (27 to 34): white space, line end, digit, marks.
 SPACE, LINE, DIGIT, UPPER_RUN, STOP, COMMA, QUOTE, OTHER = 0, 35, 36, 37, 38, 39, 40, 41
@@ -130,10 +130,9 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         symbols, counts = symbol_table(), np.zeros(SYMBOLS**ORDER, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, part in _chunks(batch):
-                codes, _ = gram_codes(part, symbols)
-                counts += np.bincount(codes, minlength=counts.size)
+                np.add.at(counts, gram_codes(part, symbols)[0], 1)
         grams = np.flatnonzero(counts)
         for at in range(0, len(grams), 50_000):
             part = grams[at : at + 50_000]
@@ -149,16 +148,17 @@ class Model:
         self.orders = orders
 
     def log_probabilities(self) -> np.ndarray:
-        probabilities = np.full(SYMBOLS, 1.0 / SYMBOLS)
+        probabilities = np.full(SYMBOLS, 1.0 / SYMBOLS, dtype=np.float32)
         for order, (grams, shares, contexts, left) in enumerate(self.orders, start=1):
             # A context that was never seen leaves everything to the shorter one.
-            weights = np.ones(SYMBOLS ** (order - 1))
+            weights = np.ones(SYMBOLS ** (order - 1), dtype=np.float32)
             weights[contexts] = left
-            size = SYMBOLS**order
-            shorter = np.tile(probabilities, size // len(probabilities))
-            probabilities = np.repeat(weights, SYMBOLS) * shorter
-            probabilities[grams] += shares
-        return np.log(probabilities).astype(np.float32)
+            # Rows are contexts; those that differ in their first symbol share the shorter contexts.
+            shorter = probabilities.reshape(-1, SYMBOLS)
+            longer = weights.reshape(-1, len(shorter), 1) * shorter
+            probabilities = longer.reshape(-1)
+            probabilities[grams] += shares.astype(np.float32)
+        return np.log(probabilities, out=probabilities)
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -198,7 +198,7 @@ def _scored(docs: DataFrame, model: Model, limits: dict | None = None) -> DataFr
 
     def run(batches):
         symbols, logs = symbol_table(), Model(held.value).log_probabilities()
-        for batch in batches:
+        for batch in slices(batches):
             scores = np.full(batch.num_rows, np.nan)
             for start, part in _chunks(batch):
                 codes, lengths = gram_codes(part, symbols)

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordis.llm.common import table
+from concordis.llm.common import slices, table
 
 SAMPLE = 3000
 STRETCH = 32
 STRETCHES = 3000
 EPOCHS = 60
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 KINDS = ("assign", "access", "hex", "crf")
 
 # Base patterns, fixed by contract.  Letters of the first match in either case, ASCII only.
@@ -326,7 +326,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows, start, held = [], 0, 0
             for i, text in enumerate(texts):
