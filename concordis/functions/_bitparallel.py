@@ -12,7 +12,7 @@ back from the end: diagonal first, then a deletion, then an insertion.
 
 from __future__ import annotations
 
-from collections import Counter
+import numpy as np
 
 # Upper bound on the bytes of bit vectors held while one chunk is walked back.
 _CHUNK_BYTES = 32 << 20
@@ -45,20 +45,45 @@ def _windows(n, m, band):
         yield start, stop, max(0, start - band), min(n, stop + band)
 
 
+def _numbered(a, b):
+    """Both token sequences as integer arrays; equal tokens have equal numbers."""
+    if isinstance(a, str):
+        codes = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in (a, b))
+        return tuple(codes)
+    numbers: dict = {}
+    return tuple(np.fromiter((numbers.setdefault(t, len(numbers)) for t in x), dtype=np.int64, count=len(x)) for x in (a, b))
+
+
+def _window_masks(rows, columns):
+    """For each symbol of the columns that occurs in the window of rows: its rows as bits."""
+    order = np.argsort(rows, kind="stable")
+    symbols, starts = np.unique(rows[order], return_index=True)
+    ends = np.append(starts[1:], len(rows))
+    wanted = set(columns.tolist())
+    bits = np.zeros(len(rows), dtype=np.uint8)
+    masks = {}
+    for symbol, start, end in zip(symbols.tolist(), starts.tolist(), ends.tolist()):
+        if symbol not in wanted:
+            continue
+        places = order[start:end]
+        if end - start <= 4:
+            masks[symbol] = sum(1 << p for p in places.tolist())
+        else:
+            bits[places] = 1
+            masks[symbol] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            bits[places] = 0
+    return masks
+
+
 def _banded(a, b, band, trace):
-    """Banded sweep: (cost inside the band, saved state at each chunk start).
+    """Banded sweep over number arrays: (cost inside the band, saved state at each chunk start).
 
-    With ``trace`` each state also holds its columns' bits, as far as all of them fit the
-    byte bound; otherwise they are swept again on the way back.
+    Masks are built for each chunk's window of rows alone and dropped after it.  With ``trace``
+    each state also holds its columns' bits, as far as all of them fit the byte bound;
+    otherwise they are swept again on the way back.
     """
     n, m = len(a), len(b)
     trace = trace and m * (2 * min(n, 2 * band + _MIN_CHUNK) // 8 + 64) <= _CHUNK_BYTES
-    masks: dict = {}
-    bit = 1
-    for token in a:
-        masks[token] = masks.get(token, 0) | bit
-        bit <<= 1
-    alphabet = {token: masks[token] for token in set(b) if token in masks}
     states = []
     vp = vn = 0
     top_row, bottom_row, top_cost = 0, 0, 0
@@ -72,20 +97,20 @@ def _banded(a, b, band, trace):
         if high > bottom_row:
             vp |= ((1 << (high - bottom_row)) - 1) << (bottom_row - low)
         top_row, bottom_row = low, high
-        rows = high - low
-        full = (1 << rows) - 1
-        window = {token: (mask >> low) & full for token, mask in alphabet.items()}
         before = (vp, vn)
-        vp, vn, diags, vps = _sweep(window, b[start:stop], rows, vp, vn, trace)
-        states.append((start, stop, low, rows, *before, window, diags, vps))
+        columns = b[start:stop]
+        vp, vn, diags, vps = _sweep(_window_masks(a[low:high], columns), columns.tolist(), high - low, vp, vn, trace)
+        states.append((start, stop, low, high, *before, diags, vps))
         top_cost += stop - start
     return top_cost + vp.bit_count() - vn.bit_count(), states
 
 
 def _least_edits(a, b) -> int:
     """A lower bound of the distance: tokens one side has more of than the other."""
-    left, right = Counter(a), Counter(b)
-    return max((left - right).total(), (right - left).total())
+    # Stray characters of either side can have wide codes, so they are counted by rank.
+    symbols, ranks = np.unique(np.concatenate((a, b)), return_inverse=True)
+    more = np.bincount(ranks[: len(a)], minlength=len(symbols)) - np.bincount(ranks[len(a) :], minlength=len(symbols))
+    return int(max(more[more > 0].sum(), -more[more < 0].sum()))
 
 
 def _solve(a, b, trace=False):
@@ -120,7 +145,7 @@ def edit_distance(a, b) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
         return len(a) + len(b)
-    return _solve(a, b)[0]
+    return _solve(*_numbered(a, b))[0]
 
 
 def edit_script(a, b):
@@ -136,11 +161,13 @@ def edit_script(a, b):
     i, j = len(a) - tail, len(b) - tail
     edits = []
     if i and j:
-        _, states = _solve(a[:i], b[:j], trace=True)
+        rows, columns = _numbered(a[:i], b[:j])
+        _, states = _solve(rows, columns, trace=True)
         while states and i and j:
-            start, stop, low, rows, vp, vn, window, diags, vps = states.pop()
+            start, stop, low, high, vp, vn, diags, vps = states.pop()
             if not diags:
-                _, _, diags, vps = _sweep(window, b[start:stop], rows, vp, vn, True)
+                part = columns[start:stop]
+                _, _, diags, vps = _sweep(_window_masks(rows[low:high], part), part.tolist(), high - low, vp, vn, True)
             while i and j > start:
                 if a[i - 1] == b[j - 1]:
                     i -= 1
