@@ -196,7 +196,10 @@ def _points(script: Column) -> Column:
 
 
 def pair_alignments(alignment: Alignment) -> DataFrame:
-    """Centre row and other row of each pairwise alignment; NULL is a gap."""
+    """Centre row and other row of each pairwise alignment; NULL is a gap.
+
+    Members with the centre's own text are aligned with it symbol by symbol.
+    """
     keys = list(alignment.keys)
     placed = alignment.scripts.join(alignment.centres.select(*keys, "centre_index", "centre_text"), keys)
     tokens = char_tokens(F.col("centre_text"))
@@ -204,11 +207,16 @@ def pair_alignments(alignment: Alignment) -> DataFrame:
         F.filter("script", lambda e: e["lane"] != CENTRE_LANE),
         lambda e: _point(e["slot"], e["lane"], F.lit(None).cast("string")),
     )
-    return placed.withColumn("tokens", tokens).select(
+    others = placed.withColumn("tokens", tokens).select(
         *keys, "centre_index", F.explode("member_ranks").alias("hyp_index"),
         _splice(F.col("tokens"), inserted).alias("centre_symbols"),
         _splice(F.col("tokens"), _points(F.col("script"))).alias("other_symbols"),
     )
+    copies = alignment.centres.select(
+        *keys, "centre_index", F.explode(F.filter("centre_ranks", lambda r: r != F.col("centre_index"))).alias("hyp_index"),
+        tokens.alias("centre_symbols"), tokens.alias("other_symbols"),
+    )
+    return others.unionByName(copies)
 
 
 def aligned_rows(alignment: Alignment) -> DataFrame:
@@ -347,6 +355,26 @@ def fusion_columns(alignment: Alignment) -> DataFrame:
     )
 
 
+def all_fusion_columns(alignment: Alignment) -> DataFrame:
+    """As ``fusion_columns`` with the unanimous columns too: one row per column of the matrix."""
+    keys = list(alignment.keys)
+    disputed = fusion_columns(alignment)
+    settled = disputed.where(F.col("lane") == CENTRE_LANE).select(*keys, "slot")
+    everyone = F.sequence(F.lit(0), F.col("hypothesis_count") - 1)
+    candidate = F.struct(
+        F.lit(0).alias("first_index"), F.col("symbol"), F.col("hypothesis_count").cast("int").alias("votes"), everyone.alias("supporters")
+    )
+    unanimous = (
+        alignment.centres.select(*keys, "hypothesis_count", F.posexplode(char_tokens(F.col("centre_text"))).alias("slot", "symbol"))
+        .join(settled, [*keys, "slot"], "left_anti")
+        .select(
+            *keys, "slot", F.lit(CENTRE_LANE).alias("lane"), F.array(candidate).alias("candidates"),
+            F.col("symbol").alias("winning_symbol"), F.lit(False).alias("tie"), F.lit(True).alias("emitted"),
+        )
+    )
+    return disputed.unionByName(unanimous)
+
+
 def indexed_columns(columns: DataFrame, keys=KEYS) -> DataFrame:
     """Add each listed column's index in the full alignment matrix."""
     so_far = Window.partitionBy(*keys).orderBy("slot", "lane").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordis.sources.stores import stored
+
 MONEY = "decimal(28,6)"
-LEDGER_BLOCK = 1 << 20
 
 
 def admit_batches(requests: DataFrame, headrooms: DataFrame) -> DataFrame:
@@ -88,29 +89,31 @@ def current_balances(events: DataFrame, ledgers: DataFrame) -> DataFrame:
     )
 
 
-def running_balances(events: DataFrame, ledgers: DataFrame, block: int = LEDGER_BLOCK) -> DataFrame:
+def running_balances(events: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Balance of each ledger after each of its events.
 
-    A run-wide ledger sees every event, so the running sum is taken in two levels:
-    within blocks of the event sequence, plus the total of all earlier blocks.
+    A run-wide ledger sees every event, so the running sum is taken in two levels: changes are
+    dealt by range over ledger and sequence into parts of like row counts, however the sequence
+    numbers lie, and stored with their part; each part sums up alone and adds what earlier
+    parts of its ledger hold.
     """
-    changes = _changes(events).withColumn("block", F.expr(f"seq div {int(block)}"))
-    before = Window.partitionBy("ledger").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored(_changes(events).repartitionByRange("ledger", "seq").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("ledger").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(MONEY)
     carried = (
-        changes.groupBy("ledger", "block")
+        parts.groupBy("ledger", "part")
         .agg(F.sum("reserved_change").alias("r"), F.sum("settled_change").alias("s"))
         .select(
-            "ledger", "block",
+            "ledger", "part",
             F.coalesce(F.sum("r").over(before), zero).alias("reserved_before"),
             F.coalesce(F.sum("s").over(before), zero).alias("settled_before"),
         )
     )
-    inside = Window.partitionBy("ledger", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("ledger", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     reserved = (F.col("reserved_before") + F.sum("reserved_change").over(inside)).cast(MONEY)
     settled = (F.col("settled_before") + F.sum("settled_change").over(inside)).cast(MONEY)
     return (
-        changes.join(carried, ["ledger", "block"])
+        parts.join(carried, ["ledger", "part"])
         .select("seq", "ledger", "reservation_id", "kind", reserved.alias("reserved_usd"), settled.alias("settled_usd"))
         .join(ledgers, "ledger", "left")
         .withColumn("headroom_usd", (F.col("ceiling_usd") - F.col("reserved_usd") - F.col("settled_usd")).cast(MONEY))

@@ -26,6 +26,38 @@ def follow_attempts(starts: DataFrame, finishes: DataFrame, patience: str = "1 h
     )
 
 
+def open_attempts(starts: DataFrame, followed: DataFrame) -> DataFrame:
+    """Stored starts that the stream has put nothing out for: still waiting, or behind the watermark."""
+    seen = followed.select("attempt_id").distinct()
+    return starts.join(seen, "attempt_id", "left_anti").withColumn("state", F.lit("open"))
+
+
+def corrections(starts: DataFrame, finishes: DataFrame, followed: DataFrame) -> DataFrame:
+    """Attempts whose stored finish the stream did not take, with their true outcome.
+
+    The stream drops a finish that comes after ``patience`` or behind the watermark; the journal
+    keeps it.  Laid over what the stream put out, these rows give what the whole journal says.
+    """
+    taken = followed.where(F.col("state") != "indeterminate").select("attempt_id").distinct()
+    return (
+        finishes.join(starts.select("attempt_id", "started_ts"), "attempt_id")
+        .join(taken, "attempt_id", "left_anti")
+        .select("attempt_id", "started_ts", "finished_ts", F.col("outcome").alias("state"))
+    )
+
+
+def settled(starts: DataFrame, finishes: DataFrame, followed: DataFrame) -> DataFrame:
+    """One state for each stored start: the stream's, its correction, or ``open``."""
+    late = corrections(starts, finishes, followed).select("attempt_id", F.col("state").alias("late_state"))
+    streamed = followed.select("attempt_id", F.col("state").alias("stream_state"))
+    return (
+        starts.select("attempt_id")
+        .join(streamed, "attempt_id", "left")
+        .join(late, "attempt_id", "left")
+        .select("attempt_id", F.coalesce("late_state", "stream_state", F.lit("open")).alias("state"))
+    )
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available now, appending to a Parquet table."""
     query = (

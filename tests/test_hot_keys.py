@@ -2,8 +2,11 @@
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from concordis.functions.identity import money_text
+
 from concordis.operators import alignment as al
 from concordis.operators import budget, journal
 
@@ -39,11 +42,16 @@ def test_repeated_starts_and_finishes_of_one_attempt(spark):
     assert len(rows) == 1 and rows[0].finish_outcome == "timeout" and rows[0].duration_ms == 1.0
 
 
-def test_one_ledger_with_every_event(spark):
+@pytest.mark.parametrize("step", [1, 1_700_000_001])
+def test_one_ledger_with_every_event(spark, step):
+    """Dense and sparse sequence numbers (such as timestamps) are dealt alike; amounts go beyond 10^12."""
     events = spark.range(5000).select(
-        F.col("id").alias("seq"), F.lit("run").alias("ledger"), F.concat(F.lit("x"), "id").alias("reservation_id"),
-        F.lit("reserve").alias("kind"), F.lit(Decimal("0.01")).cast("decimal(18,6)").alias("amount_usd"),
+        (F.col("id") * step).alias("seq"), F.lit("run").alias("ledger"), F.concat(F.lit("x"), "id").alias("reservation_id"),
+        F.lit("reserve").alias("kind"), F.lit(Decimal("1000000000.01")).cast("decimal(18,6)").alias("amount_usd"),
     )
-    ledgers = spark.createDataFrame([("run", Decimal("100"))], "ledger string, ceiling_usd decimal(18,6)")
-    rows = {r.seq: r.reserved_usd for r in budget.running_balances(events, ledgers, 256).collect()}
-    assert all(rows[i] == Decimal(i + 1) / 100 for i in range(5000))
+    ledgers = spark.createDataFrame([("run", Decimal("100"))], "ledger string, ceiling_usd decimal(28,6)")
+    balances = budget.running_balances(events, ledgers)
+    rows = {r.seq // step: r.reserved_usd for r in balances.collect()}
+    assert all(rows[i] == Decimal("1000000000.01") * (i + 1) for i in range(5000))
+    shown = balances.select(money_text(F.col("reserved_usd")).alias("m")).agg(F.count("m")).head()[0]
+    assert shown == 5000

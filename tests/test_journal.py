@@ -108,8 +108,8 @@ def test_balances_and_violations(spark):
     now = {r.ledger: r for r in budget.current_balances(frame, ledgers).collect()}
     assert (now["run"].reserved_usd, now["run"].settled_usd, now["run"].headroom_usd) == (d("3"), d("1.5"), d("5.5"))
     assert now["idle"].reserved_usd == 0 and now["idle"].headroom_usd is None
-    for block in (1, 2, 4, 1 << 20):
-        rows = sorted(budget.running_balances(frame, ledgers, block).collect(), key=lambda r: r.seq)
+    for tasks in (1, 3):
+        rows = sorted(budget.running_balances(frame.repartition(tasks), ledgers).collect(), key=lambda r: r.seq)
         assert [(r.seq, r.reserved_usd, r.settled_usd) for r in rows] == [
             (1, d("2"), d("0")), (2, d("5"), d("0")), (4, d("3"), d("1.5")), (7, d("0"), d("1.5")), (9, d("1"), d("1.5")), (10, d("3"), d("1.5")),
         ]
