@@ -120,3 +120,14 @@ def test_approval_rules(spark):
     assert {r.event_id: r.problem for r in gt.authorization_violations(events).collect()} == {
         "c/1": "missing_authorization", "e/0": "forbidden_authorization",
     }
+
+
+def test_runs_over_the_same_units_do_not_see_each_other(spark):
+    assertions, events = references(spark)
+    run = lambda name, df: df.withColumn("run_manifest_id", F.lit(name))
+    both = run("a", assertions).unionByName(run("b", assertions))
+    units = spark.createDataFrame([(r, u) for r in "ab" for u in ("u-ok", "u-conflict")], "run_manifest_id string, evaluation_unit_id string")
+    rows = gt.gt_references(units, both, events, ("run_manifest_id",)).collect()
+    assert sorted((r.run_manifest_id, r.evaluation_unit_id, r.gt_availability) for r in rows) == [
+        (r, u, "conflicted" if u == "u-conflict" else "available") for r in "ab" for u in ("u-conflict", "u-ok")
+    ]

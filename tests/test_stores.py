@@ -102,3 +102,21 @@ def test_item_ids_and_roots(spark):
     for bad in ("/data/in", "/data/in/", "file:/data/in/out"):
         with pytest.raises(ValueError):
             corpus.check_output_root("/data/in", bad)
+
+
+def test_a_run_without_rows_replaces_its_old_rows(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "run_manifest_id string, n int")
+    runs = spark.createDataFrame([("a",)], "run_manifest_id string")
+    stores.write_table(rows, path, runs=runs)
+    stores.write_table(rows.limit(0), path, runs=runs)
+    assert [r.n for r in stores.read_table(spark, path, rows.schema).collect()] == [3]
+    assert stores.live(spark.read.parquet(path)).count() == 1
+
+
+def test_money_inside_arrays_and_maps_is_text(spark, tmp_path):
+    schema = "id string, parts array<struct<cost:decimal(18,6)>>, by map<string,decimal(18,6)>"
+    rows = spark.createDataFrame([("a", [(Decimal("0.5"),), (None,)], {"x": Decimal("1.25")})], schema)
+    stores.write_jsonl(rows, str(tmp_path / "j"))
+    assert '{"cost":"0.5"}' in spark.read.text(str(tmp_path / "j")).head().value
+    assert stores.read_jsonl(spark, str(tmp_path / "j"), schema).collect() == rows.collect()
