@@ -7,8 +7,8 @@ neighbours, and features of the file (share of tokens with digits, presence of c
 decoded by Viterbi over the whole text.  A text in which no token can gain from leaving O, whatever its
 neighbours, has the all-O path as its best one and is not searched; the bound is exact.
 
-The field is trained by likelihood (forward-backward over stretches of ``STRETCH`` tokens) on at most ``SAMPLE``
-documents, those of least id hash, labelled by the base patterns.  All their stretches with a secret take part, and
+The field is trained by likelihood (forward-backward over stretches of ``STRETCH`` tokens) on about ``SAMPLE``
+documents, those of small id hash, labelled by the base patterns.  All their stretches with a secret take part, and
 every k-th of the others, counted k times, so that there are about ``STRETCHES``.  These bounds are parameters; all
 texts are decoded whole.
 
@@ -288,16 +288,19 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.2, decay: floa
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field trained in one task on at most ``sample`` documents."""
+    """A field trained in one task on about ``sample`` documents, those of small id hash, and never over twice as many."""
 
     def run(batches):
-        texts = [t or "" for batch in batches for t in batch.column("text").to_pylist()]
+        texts = sorted(t or "" for batch in batches for t in batch.column("text").to_pylist())
         field = train(texts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([field.weights.tobytes()], pa.binary()), pa.array([field.moves.tobytes()], pa.binary())], ["weights", "moves"]
         )
 
-    chosen = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text")
+    # Each task keeps its share of the sample, so what comes together does not grow with their number.
+    steps = 1 << 40
+    share = min(steps, steps * sample // max(docs.count(), 1) + 1)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select("text").limit(2 * sample)
     rows = chosen.mapInArrow(run, "weights binary, moves binary").collect()  # one row of about 20 kB
     if not rows:
         return Field(np.zeros((sum(FEATURES), 3)), np.zeros((3, 3)))
