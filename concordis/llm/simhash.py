@@ -13,6 +13,12 @@ owner task, and only a spanning forest of the links leaves it, never all pairs.
 more than ``BLOCK`` fingerprints is dealt into blocks whose pairs are separate groups.
 Components come from the forest by alternating stars, each round stored in the shared folder.
 
+The pipeline's stage (``kept_documents``) asks for another nearness: five words and a Jaccard similarity of
+0.8.  There the fingerprints of 64 bits differ in about ten, further than keys of Golay words reach without
+joining unrelated texts, so candidates share one of ``BANDS`` keys of ``ROWS`` least shingles each and are
+compared by SimHash of ``STAGE_BITS`` bits inside the key.  Their links make coarse components; inside those every
+pair within the radius is verified by its whole shingle sets, unless other verified links connect it already.
+
 Cases: a null text counts as empty; its fingerprint is zero and links like any other.
 Repeated rows share a component.  A null id is no candidate for the smallest id.  An empty
 table gives no rows.  Other columns are ignored.
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concordis.llm.common import DOCUMENT_COLUMNS, saved, table
+from concordis.llm.common import DOCUMENT_COLUMNS, saved, slices, table
 
 SHINGLE = 4
 DISTANCE = 4
@@ -37,6 +43,16 @@ SEGMENTS = (23, 23, 18)
 SEGMENT_PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
+#: The pipeline's stage: five words, a similarity of 0.8, and fingerprints wide enough to tell it.
+STAGE_SHINGLE = 5
+SIMILARITY = 0.8
+STAGE_BITS = 256
+#: At a similarity of 0.8 about 39 of 256 bits differ, with a deviation of 6; of unrelated texts 128.
+STAGE_RADIUS = 64
+#: A pair of similarity 0.8 shares none of the keys with probability (1 - 0.8^5)^25 = 0.00005.
+BANDS, ROWS = 25, 5
+SET_BLOCK, SET_BLOCKS = 64, 32
+STAGE_WORDS = 300_000
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -273,17 +289,248 @@ def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE
     )
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group, that of the smallest id, with the columns of documents."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
-    apart = F.when(F.col("component_id").isNull(), F.col("fp"))  # groups without any id
-    winners = clusters(docs, **options).groupBy("component_id", apart).agg(first).select(
-        F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")
+class _Words(dict):
+    """Hashes of words, kept while there are few enough of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        number = xxh64_intdigest(word, SEED)
+        if len(self) < STAGE_WORDS and len(word) < 64:
+            self[word] = number
+        return number
+
+
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    numbers = (numbers ^ (numbers >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    numbers = (numbers ^ (numbers >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return numbers ^ (numbers >> np.uint64(31))
+
+
+def shingle_set(text: str | None, known: dict, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The different shingles of a text as sorted hashes; fewer words than ``shingle`` are one shingle."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    span = min(shingle, len(words))
+    hashes = np.full(len(words) - span + 1, span, dtype=np.uint64)
+    for i in range(span):
+        hashes = _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + numbers[i : len(words) - span + 1 + i])
+    return np.unique(hashes)
+
+
+def wide_simhash(grams: np.ndarray) -> bytes:
+    """SimHash of ``STAGE_BITS`` bits over the different shingles, each with weight one."""
+    ones, places = np.zeros(STAGE_BITS, np.int64), 256 * np.arange(STAGE_BITS // 8)
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+    salts = np.arange(1, STAGE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for at in range(0, len(grams), 8192):
+        part = np.ascontiguousarray(_mixed(grams[at : at + 8192, None] ^ salts)).view(np.uint8)
+        counts = np.bincount((part + places).ravel(), minlength=32 * STAGE_BITS).reshape(-1, 256)
+        ones += (counts @ bits).ravel()
+    return np.packbits((ones * 2 > len(grams)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """One key per band: texts of Jaccard similarity s share it with probability s^ROWS."""
+    factors = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(grams), 2048):
+        turned = grams[at : at + 2048] * factors[:, None]
+        least = np.minimum(least, (turned ^ (turned >> np.uint64(32))).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys.view(np.int64)
+
+
+def stage_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, a 128-bit digest of the shingle set, its wide fingerprint and its band keys."""
+
+    def run(batches):
+        from xxhash import xxh128_digest
+
+        known = _Words()
+        for batch in slices(batches):
+            digests, fps, keys = [], [], []
+            for text in batch.column("text"):
+                grams = shingle_set(text.as_py(), known)
+                digests.append(xxh128_digest(grams.tobytes()))
+                fps.append(wide_simhash(grams))
+                keys.append(band_keys(grams))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "digest", "fp", "keys"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, digest binary, fp binary, keys array<long>")
+
+
+def near_forest(fps: np.ndarray, alike=None, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of one group's pairs within ``STAGE_RADIUS`` for which ``alike`` holds, if given.
+
+    With ``apart`` (a side of each row) only pairs of different sides count.
+    """
+    parent, found, words = np.arange(len(fps)), [], fps.view(np.uint64)
+    for i in range(1, len(fps)):
+        near = np.bitwise_count(words[:i] ^ words[i]).sum(axis=1) <= STAGE_RADIUS
+        if apart is not None:
+            near &= apart[:i] != apart[i]
+        for j in np.flatnonzero(near).tolist():
+            if parent[j] != parent[i] and (alike is None or alike(j, i)):
+                found.append((j, i))
+                parent[parent == parent[j]] = parent[i]
+    return found
+
+
+def candidates(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of digests: a spanning forest of each band key's pairs within the radius."""
+    keyed = distinct.select(F.explode("keys").alias("key"), "digest", "fp").repartition("key")
+    large = keyed.groupBy("key").count().where(F.col("count") > block)
+    blocks = large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    placed = keyed.join(blocks, "key", "left")
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    plain = placed.where(F.col("blocks").isNull()).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "digest", "fp")
+    dealt = (
+        placed.where(F.col("blocks").isNotNull())
+        .select("key", own.alias("own"), other.alias("other"), "digest", "fp")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "fp")
+        .repartition("key", "i", "j")
     )
+
+    def compare(batches):
+        group, digests, fps = None, [], []
+
+        def pairs():
+            if len(digests) < 2:
+                return None
+            found = near_forest(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
+            if not found:
+                return None
+            return pa.RecordBatch.from_arrays(
+                [pa.array([digests[i] for i, _ in found], pa.binary()), pa.array([digests[j] for _, j in found], pa.binary())], ["a", "b"]
+            )
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "digest", "fp")]
+            for key, i, j, digest, fp in zip(*columns):
+                if group != (key, i, j):
+                    if (rows := pairs()) is not None:
+                        yield rows
+                    group, digests, fps = (key, i, j), [], []
+                if not digests or digests[-1] != digest:
+                    digests.append(digest)
+                    fps.append(fp)
+        if (rows := pairs()) is not None:
+            yield rows
+
+    found = [
+        part.sortWithinPartitions("key", "i", "j", "digest").mapInArrow(compare, "a binary, b binary") for part in (plain, dealt)
+    ]
+    return found[0].unionByName(found[1]).distinct()
+
+
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of documents for each (kept_id, kept_hash, ...) of ``chosen``, with its columns."""
     rows = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("text_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
     copies = Window.partitionBy("kept_id", "kept_hash").orderBy(F.lit(0))
-    return rows.join(winners, same).withColumn("copy_no", F.row_number().over(copies)).where("copy_no = 1").select(*DOCUMENT_COLUMNS)
+    return rows.join(chosen, same).withColumn("copy_no", F.row_number().over(copies)).where("copy_no = 1")
+
+
+def verified(docs: DataFrame, distinct: DataFrame, coarse: DataFrame, similarity: float = SIMILARITY, block: int = SET_BLOCK) -> DataFrame:
+    """Pairs (a, b) of digests: a forest of the pairs of one coarse component whose whole sets are similar enough.
+
+    A component of more than ``block`` sets is dealt into at most ``SET_BLOCKS`` blocks whose pairs are groups of their own.
+    """
+
+    def sets(batches):
+        known = _Words()
+        for batch in slices(batches):
+            grams = [shingle_set(t.as_py(), known).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("component", "digest", "fp")), pa.array(grams, pa.binary())], ["component", "digest", "fp", "grams"]
+            )
+
+    chosen = distinct.join(coarse, F.col("digest") == F.col("node")).select("component", "digest", "fp", "kept_id", "kept_hash")
+    members = _texts(docs, chosen).select("component", "digest", "fp", "text")
+    members = saved(members.mapInArrow(sets, "component binary, digest binary, fp binary, grams binary"), "sets")
+    large = members.groupBy("component").count().where(F.col("count") > block)
+    blocks = large.select("component", F.least(F.ceil(F.col("count") / block), F.lit(SET_BLOCKS)).cast("int").alias("blocks"))
+    count = F.coalesce("blocks", F.lit(1))
+    dealt = (
+        members.join(blocks, "component", "left")
+        .select("*", F.pmod(F.xxhash64("digest"), count).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "fp", "grams")
+        .repartition("component", "i", "j")
+        .sortWithinPartitions("component", "i", "j", "digest")
+    )
+
+    def compare(batches):
+        group, held = None, []
+
+        def pairs():
+            if len(held) < 2:
+                return None
+            own, digests, fps, grams = zip(*held)
+            arrays = [np.frombuffer(g, np.uint64) for g in grams]
+
+            def alike(j, i):
+                a, b = arrays[j], arrays[i]
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    return False
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                return both >= similarity * (len(a) + len(b) - both)
+
+            apart = np.array(own) if group[1] != group[2] else None
+            found = near_forest(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), alike, apart)
+            if not found:
+                return None
+            return pa.RecordBatch.from_arrays(
+                [pa.array([digests[j] for j, _ in found], pa.binary()), pa.array([digests[i] for _, i in found], pa.binary())], ["a", "b"]
+            )
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "own", "digest", "fp", "grams")]
+            for component, i, j, *row in zip(*columns):
+                if group != (component, i, j):
+                    if (rows := pairs()) is not None:
+                        yield rows
+                    group, held = (component, i, j), []
+                held.append(row)
+        if (rows := pairs()) is not None:
+            yield rows
+
+    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def kept_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pipeline's stage: one row of each component of near copies, that of the smallest id, with the columns of documents.
+
+    Two texts are near if their sets of five-word shingles have a Jaccard similarity of at least 0.8.
+    """
+    prints = saved(stage_prints(docs), "stage_prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    distinct = saved(
+        prints.groupBy("digest").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys")).select(
+            "digest", "fp", "keys", F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")
+        ),
+        "stage_distinct",
+    )
+    pairs = candidates(distinct, block)
+    coarse = components(pairs)
+    inner = coarse.unionByName(coarse.select(F.col("component").alias("node"), "component")).distinct()
+    pairs = verified(docs, distinct, inner)
+    # Nodes order like ids, those without one last, so the least node of a component is the row that stays.
+    node = F.struct(F.col("kept_id").isNull().alias("unnamed"), F.coalesce("kept_id", F.lit(0)).alias("id"), "digest")
+    nodes = lambda side: distinct.select(F.col("digest").alias(side), node.alias(f"{side}_node"))
+    edges = pairs.join(nodes("a"), "a").join(nodes("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    dropped = components(edges).select(F.col("node.digest").alias("digest"))
+    return _texts(docs, distinct.join(dropped, "digest", "left_anti").select("kept_id", "kept_hash")).select(*DOCUMENT_COLUMNS)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,58 @@ def test_odd_rows(documents, odd_texts):
 
 def test_empty_table(documents):
     assert sh.near_dedup(documents([])).collect() == []
+
+
+def plain_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_kept(rows, similarity=0.8):
+    """Smallest ids of the components of all pairs with at least this similarity of five-word sets."""
+    sets, parent = {i: plain_set(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            both = len(sets[i] & sets[j])
+            if j < i and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i for i in ids if root(i) == i}
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_stage_finds_all_pairs_of_similarity(documents, block):
+    """Edited copies from near 1 down to below 0.8, chains and a large group, against all pairs by brute force."""
+    rng, rows = random.Random(11), []
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(150, 400))]
+        rows.append(" ".join(words))
+        rows += [edited(rng, words, max(1, len(words) * k // 400)) for k in (1, 4, 8, 9, 10)]
+    words = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    rows += [edited(rng, words, 1 + i % 4) for i in range(80)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    kept = {r.doc_id for r in sh.kept_documents(documents(rows), block=block).collect()}
+    assert kept == plain_kept(rows)
+
+
+def test_wide_fingerprints_tell_the_similarity():
+    grams = np.unique(np.random.default_rng(3).integers(0, 2**63, 9000).astype(np.uint64))
+    bits = lambda g: np.frombuffer(sh.wide_simhash(g), np.uint64)
+    near = int(np.bitwise_count(bits(grams[:8000]) ^ bits(grams[889:8889])).sum())
+    far = int(np.bitwise_count(bits(grams[:4000]) ^ bits(grams[4000:8000])).sum())
+    assert near <= sh.STAGE_RADIUS < far
