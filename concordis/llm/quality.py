@@ -1,14 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Texts are read as symbols of a fixed alphabet of ``SYMBOLS`` classes (letters, folded accents and
-case marks, digits, kinds of punctuation), so a model of order ``ORDER`` has at most SYMBOLS^ORDER entries.
-That is the proven bound of what is sent to the tasks (48^4 = 5.3 million steps of at most 8 bytes),
-however much text the counts come from.
+Symbols are the code points of a text, none folded, so the model grows with the text it is trained on.  An n-gram is
+its code points in three bytes each.
 
 Training: each task counts the n-grams of its share of the trusted texts, counts are added up by
 n-gram shard, and each order is joined with its contexts' totals (both sharded by context) to give the discounted
 share of every n-gram and the weight each context leaves to the shorter order.  Lower orders count different
-left neighbours.  Discounts D1, D2, D3+ come from the numbers of n-grams seen once to four times.
+left neighbours.  Discounts D1, D2, D3+ come from the numbers of n-grams seen once to four times.  These tables stay
+sharded; nothing of the model passes through the driver but the discounts.
+
+Scoring: documents are dealt into slices of about ``SLICE_CHARS`` characters.  Tasks list the different n-grams of
+each slice; all different n-grams are joined with shares and weights, order by order, and each slice gets the
+probabilities of its own n-grams back, next to its texts, where they are summed by document.
 
 Trusted texts are the labelled documents of good quality that are not toxic.  A hash of the id puts one in
 ``HOLD_OUT`` aside: those do not train the model but set the thresholds.  Each language's threshold is the
@@ -31,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from concordis.llm.common import DOCUMENT_COLUMNS, saved, slices, table, whole
 
@@ -43,7 +45,11 @@ BIN = 0.002
 MARGIN = 0.05
 LEAST = 50
 CHUNK = 1 << 20
+#: Code points there are; characters of a slice of documents.
+POINTS = 0x110000
+SLICE_CHARS = 1 << 24
 
+#: Folded classes, for the small model that the tests hold against plain code.
 #: Fixed symbols besides a-z (1 to 26) and other letters (27 to 34): white space, line end, digit, marks.
 SPACE, LINE, DIGIT, UPPER_RUN, STOP, COMMA, QUOTE, OTHER = 0, 35, 36, 37, 38, 39, 40, 41
 MARKS = {".": STOP, "!": STOP, "?": STOP, ",": COMMA, ";": COMMA, ":": COMMA, "'": QUOTE, '"': QUOTE, "-": QUOTE,
@@ -169,54 +175,174 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(k - (k + 1) * base * seen[k] / seen[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
 
 
-def train(texts: DataFrame) -> Model | None:
-    counts = saved(count_grams(texts), "grams")
-    if counts.isEmpty():
-        return None
-    orders = []
+def steps(counts: DataFrame, context, shorter):
+    """From the highest order down: (gram, share) and (context, left); ``context`` and ``shorter`` give columns for an order."""
     for order in range(ORDER, 0, -1):
         d1, d2, d3 = discounts(counts)
-        context = F.floor(F.col("gram") / SYMBOLS).cast("long")
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        placed = counts.withColumns({"context": context, "cut": discount})
+        placed = counts.withColumns({"context": context(order), "cut": discount})
         totals = placed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cut_total"))
-        shares = placed.join(totals, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share")).toPandas()
-        left = totals.select("context", (F.col("cut_total") / F.col("total")).alias("left")).toPandas()
-        orders.append((shares["gram"].to_numpy(), shares["share"].to_numpy(), left["context"].to_numpy(), left["left"].to_numpy()))
+        shares = placed.join(totals, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
+        yield shares, totals.select("context", (F.col("cut_total") / F.col("total")).alias("left"))
         # The next shorter order counts in how many contexts, that is after how many symbols, an n-gram was seen.
         if order > 1:
-            counts = saved(
-                counts.groupBy(F.pmod("gram", F.lit(SYMBOLS ** (order - 1))).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams"
-            )
+            counts = saved(counts.groupBy(shorter(order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+
+
+def train(texts: DataFrame) -> Model | None:
+    """The model over the folded classes, gathered: small enough to be held against plain code."""
+    counts = saved(count_grams(texts), "grams")
+    if counts.isEmpty():
+        return None
+    orders = []
+    context = lambda order: F.floor(F.col("gram") / SYMBOLS).cast("long")
+    for shares, left in steps(counts, context, lambda order: F.pmod("gram", F.lit(SYMBOLS ** (order - 1)))):
+        shares, left = shares.toPandas(), left.toPandas()
+        orders.append((shares["gram"].to_numpy(), shares["share"].to_numpy(), left["context"].to_numpy(), left["left"].to_numpy()))
     return Model(orders[::-1])
 
 
-def _scored(docs: DataFrame, model: Model, limits: dict | None = None) -> DataFrame:
-    """Rows with their log perplexity; with ``limits`` (by language) also whether they stay."""
-    held = docs.sparkSession.sparkContext.broadcast(model.orders)  # at most SYMBOLS^ORDER steps
-    names = docs.columns
+def point_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different n-grams of code points (bytes), the number of the one that ends at each character, and the texts' lengths."""
+    pad = " " * (ORDER - 1)
+    codes = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    first = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1  # where each window of a text's first character starts
+    starts = np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
+    present = np.zeros(POINTS, dtype=bool)
+    present[codes] = True
+    points = np.flatnonzero(present)
+    numbers = np.zeros(POINTS, dtype=np.int64)
+    numbers[points] = np.arange(len(points))
+    base, small = len(points), numbers[codes]
+    if base**ORDER < 1 << 63:
+        keys = np.zeros(len(starts), dtype=np.int64)
+        for i in range(ORDER):
+            keys = keys * base + small[starts + i]
+        grams, inverse = np.unique(keys, return_inverse=True)
+        columns = [points[grams // base ** (ORDER - 1 - i) % base] for i in range(ORDER)]
+    else:
+        grams, inverse = np.unique(np.stack([codes[starts + i] for i in range(ORDER)], axis=1), axis=0, return_inverse=True)
+        columns = list(grams.T)
+    wide = np.empty((len(grams), ORDER, 3), dtype=np.uint8)
+    for i, column in enumerate(columns):
+        for byte in range(3):
+            wide[:, i, byte] = column >> (16 - 8 * byte) & 255
+    return wide.reshape(-1).view(f"S{3 * ORDER}"), inverse.reshape(-1), lengths
+
+
+def _binary(grams: np.ndarray) -> pa.Array:
+    """Fixed-width bytes as an Arrow column; closing zero bytes belong to them."""
+    width = grams.dtype.itemsize
+    offsets = np.arange(0, width * len(grams) + 1, width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(grams))])
+
+
+def count_points(texts: DataFrame) -> DataFrame:
+    """gram, n: counts of the highest order over code points, over all rows of ``texts``."""
 
     def run(batches):
-        symbols, logs = symbol_table(), Model(held.value).log_probabilities()
-        for batch in slices(batches):
-            scores = np.full(batch.num_rows, np.nan)
-            for start, part in _chunks(batch):
-                codes, lengths = gram_codes(part, symbols)
-                ends = np.cumsum(lengths)
-                sums = np.concatenate(([0.0], np.cumsum(logs[codes], dtype=np.float64)))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    scores[start : start + len(part)] = -(sums[ends] - sums[ends - lengths]) / lengths
-            column = pa.array(scores, pa.float64(), from_pandas=True)
-            if limits is None:
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, "log_perplexity"])
-                continue
-            limit = [limits["by"].get(x, limits["all"]) for x in batch.column("lang").to_pylist()]
-            with np.errstate(invalid="ignore"):
-                stays = scores <= np.array(limit, dtype=float)
-            yield batch.filter(pa.array(stays))
+        for batch in batches:
+            for _, part in _chunks(batch):
+                grams, inverse, _ = point_grams(part)
+                counts = np.bincount(inverse, minlength=len(grams))
+                for at in range(0, len(grams), 50_000):
+                    yield pa.RecordBatch.from_arrays(
+                        [_binary(grams[at : at + 50_000]), pa.array(counts[at : at + 50_000], pa.int64())], ["gram", "n"]
+                    )
+
+    return texts.select("text").mapInArrow(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _context(order: int):
+    return F.substring("gram", 1, 3 * (order - 1))
+
+
+def _shorter(order: int):
+    return F.substring("gram", 4, 3 * (order - 1))
+
+
+def train_points(texts: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
+    """Shares and weights of each order, shortest first, as stored tables."""
+    counts = saved(count_points(texts), "grams")
+    if counts.isEmpty():
+        return None
+    return [(saved(shares, "shares"), saved(left, "left")) for shares, left in steps(counts, _context, _shorter)][::-1]
+
+
+def log_probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, log_p of different n-grams of the highest order."""
+    wanted = [grams]
+    for order in range(ORDER, 1, -1):
+        wanted.append(wanted[-1].select(_shorter(order).alias("gram")).distinct())
+    known = None
+    for order, (shares, left) in enumerate(model, start=1):
+        rows = wanted[ORDER - order].withColumns({"context": _context(order), "shorter": _shorter(order)})
+        rows = rows.join(shares, "gram", "left").join(left, "context", "left")
+        if known is None:
+            rows = rows.withColumn("shorter_p", F.lit(1.0 / POINTS))
+        else:
+            rows = rows.join(known.select(F.col("gram").alias("shorter"), F.col("p").alias("shorter_p")), "shorter")
+        # A context that was never seen leaves everything to the shorter one.
+        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("shorter_p")
+        known = rows.select("gram", p.alias("p"))
+    return known.select("gram", F.log("p").alias("log_p"))
+
+
+def _scored(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """doc_id, lang, text_hash and log perplexity of every row."""
+    total = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    text_hash = F.xxhash64("text")
+    sliced = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", text_hash.alias("text_hash"),
+        F.pmod(F.xxhash64("doc_id", text_hash), F.lit(1 + total // SLICE_CHARS)).alias("slice"),
+    )
 
-    added = [] if limits is not None else [T.StructField("log_perplexity", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    def listed(batches):
+        held, size = {}, 0
+
+        def rows():
+            for number, texts in held.items():
+                grams = point_grams(texts)[0]
+                for at in range(0, len(grams), 50_000):
+                    part = grams[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number), pa.int64()), _binary(part)], ["slice", "gram"])
+
+        for batch in batches:
+            for number, text in zip(batch.column("slice").to_pylist(), batch.column("text")):
+                text = text.as_py() or ""
+                held.setdefault(number, []).append(text)
+                size += len(text)
+                if size >= SLICE_CHARS:
+                    yield from rows()
+                    held, size = {}, 0
+        yield from rows()
+
+    wanted = saved(sliced.select("slice", "text").mapInArrow(listed, "slice long, gram binary").distinct(), "wanted")
+    known = saved(log_probabilities(wanted.select("gram").distinct(), model), "known")
+    own = wanted.join(known, "gram")
+
+    def summed(texts: pa.Table, table: pa.Table) -> pa.Table:
+        grams = np.frombuffer(b"".join(table.column("gram").to_pylist()), dtype=f"S{3 * ORDER}")
+        order = np.argsort(grams)
+        grams, logs = grams[order], table.column("log_p").to_numpy()[order]
+        scores = np.full(texts.num_rows, np.nan)
+        for start, part in _chunks(texts):
+            found, inverse, lengths = point_grams(part)
+            if not len(found):
+                continue
+            values = logs[np.searchsorted(grams, found)][inverse]
+            ends = np.cumsum(lengths)
+            sums = np.concatenate(([0.0], np.cumsum(values)))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores[start : start + len(part)] = -(sums[ends] - sums[ends - lengths]) / lengths
+        column = pa.array(scores, pa.float64(), from_pandas=True)
+        return texts.select(["doc_id", "lang", "text_hash"]).append_column("log_perplexity", column)
+
+    scores = sliced.groupBy("slice").cogroup(own.groupBy("slice")).applyInArrow(
+        summed, "doc_id long, lang string, text_hash long, log_perplexity double"
+    )
+    return saved(scores, "scores")
 
 
 def thresholds(scores: DataFrame, keep: float = KEEP, margin: float = MARGIN, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -240,12 +366,12 @@ def thresholds(scores: DataFrame, keep: float = KEEP, margin: float = MARGIN, le
     return by_language, quantile([]).where(F.col("total") > 0).select("threshold")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
     """A model of the trusted documents that were not set aside."""
     known = trusted_ids(labels).where(~F.col("held_out")).select("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Labels grow with the documents: the join is the same at every size.
-    return train(rows.join(known.hint("merge"), "doc_id", "left_semi"))
+    return train_points(rows.join(known.hint("merge"), "doc_id", "left_semi"))
 
 
 def _limits(scores: DataFrame, labels: DataFrame) -> dict:
@@ -269,7 +395,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             "doc_id", "lang", none.alias("log_perplexity"), none.alias("threshold"),
             (F.length(whole(F.col("text"))) > 0).alias("kept"),
         )
-    scores = saved(_scored(rows, model).drop("text"), "scores")
+    scores = _scored(rows, model)
     limits = _limits(scores, labels)
     own = docs.sparkSession.createDataFrame(list(limits["by"].items()), "known_lang string, own double")
     joined = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("known_lang")), "left")  # one row per language
@@ -281,13 +407,24 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of documents; scored again where they lie, without a join."""
+    """The rows that stay, with the columns of documents."""
     model = fit(docs, labels)
     rows = docs.select(*DOCUMENT_COLUMNS)
     if model is None:
         return rows.where(F.length("text") > 0)
-    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), model).drop("text")
-    return _scored(rows, model, _limits(saved(scored, "scores"), labels))
+    scores = _scored(docs, model)
+    limits = _limits(scores, labels)
+    own = docs.sparkSession.createDataFrame(list(limits["by"].items()), "known_lang string, own double")
+    judged = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("known_lang")), "left")  # one row per language
+    good = F.coalesce(F.col("log_perplexity") <= F.coalesce("own", F.lit(limits["all"])), F.lit(False))
+    left_out = judged.where(~good).select(
+        F.col("doc_id").alias("out_id"), F.col("lang").alias("out_lang"), F.col("text_hash").alias("out_hash")
+    ).distinct()
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("out_id")) & F.col("lang").eqNullSafe(F.col("out_lang"))
+        & (F.xxhash64("text") == F.col("out_hash"))
+    )
+    return rows.join(left_out, same, "left_anti")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,59 @@ def test_without_labels_or_rows(spark, documents, odd_texts):
     assert all(r.kept == (r.doc_id not in (3, 4)) for r in rows)
     assert q.kept_documents(documents(odd_texts), none).count() == len(odd_texts) - 2
     assert q.classify(documents([]), none).collect() == []
+
+
+def test_unfolded_model_equals_plain_one(spark, documents):
+    """Scores by joins equal those of dictionaries over code points, whatever the script."""
+    trained = ["the cat sat on the mat.", "AБВГ где кот?", "你好世界，你好", "a\x00b \U0001f600"]
+    texts = [*trained, "THE CAT", "кот сидит", "世界好", "", "zq\x00"]
+    points = 0x110000
+    plain = plain_points(trained)
+    model = q.train_points(documents(list(enumerate(trained))))
+    found = {r.doc_id: r.log_perplexity for r in q._scored(documents(list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        line = [32] * (q.ORDER - 1) + [ord(c) for c in text]
+        logs = [math.log(plain(line[j - q.ORDER + 1 : j], line[j], points)) for j in range(q.ORDER - 1, len(line))]
+        assert found[i] == (pytest.approx(-sum(logs) / len(logs)) if logs else None)
+
+
+def plain_points(texts):
+    counts = {q.ORDER: Counter()}
+    for text in texts:
+        line = [32] * (q.ORDER - 1) + [ord(c) for c in text]
+        counts[q.ORDER].update(tuple(line[i - q.ORDER + 1 : i + 1]) for i in range(q.ORDER - 1, len(line)))
+    for order in range(q.ORDER - 1, 0, -1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    steps = {}
+    for order, grams in counts.items():
+        seen = [max(1, sum(n == k for n in grams.values())) for k in (1, 2, 3, 4)]
+        y = seen[0] / (seen[0] + 2 * seen[1])
+        cut = [min(max(k - (k + 1) * y * seen[k] / seen[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+        total, left = Counter(), defaultdict(float)
+        for g, n in grams.items():
+            total[g[:-1]] += n
+            left[g[:-1]] += cut[min(n, 3) - 1]
+        steps[order] = (grams, cut, total, left)
+
+    def probability(context, symbol, points):
+        p = 1 / points
+        for order in range(1, q.ORDER + 1):
+            grams, cut, total, left = steps[order]
+            c = tuple(context[q.ORDER - order :])
+            if total[c]:
+                n = grams.get((*c, symbol), 0)
+                p = (n - cut[min(n, 3) - 1] if n else 0) / total[c] + left[c] / total[c] * p
+        return p
+
+    return probability
+
+
+def test_scrambled_scripts_go(spark, documents):
+    rng = np.random.default_rng(8)
+    words = "мама мыла раму а папа читал новую книгу про дальние страны и большие города".split()
+    prose = lambda: " ".join(rng.choice(words, 60))
+    rows = [(i, prose(), "ru") for i in range(400)]
+    rows += [(1000 + i, "".join(rng.permutation(list(rows[i][1]))), "ru") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in q.kept_documents(documents(rows), labels).collect()}
+    assert len(kept & set(range(400))) >= 390 and not kept & set(range(1000, 1040))
