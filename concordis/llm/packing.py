@@ -15,7 +15,7 @@ Apart from powers of two the padding is window - p[k] + p[i], so the minimum is
 monotone queue of best[i] + p[i] over a sliding range; the few cuts at a distance of a power of two
 are tried on top.
 
-Ids are those of the tokenizer file; text is cut at single spaces, where that vocabulary
+Ids are those of the tokenizer file, its added tokens included; other text is cut at single spaces, where that vocabulary
 always starts a new token, and each distinct part is tokenised once while a bounded cache lasts.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each; a null id comes
@@ -40,6 +40,7 @@ from concordis.llm.common import table
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 RUN_TOKENS = 1 << 20
 CACHE_ENTRIES = 300_000
 SENTENCE_PENALTY = 24.0
@@ -60,6 +61,7 @@ class Encoder:
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -68,8 +70,17 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding("packing", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._after_space = _Parts(self._whole)
+        #: Added tokens of the tokenizer file beside the ranks, longest first, which always stand alone.
+        self._added: dict[str, bytes] = {}
+        numbers = set(ranks.values())
+        if vocabulary == VOCABULARY:
+            with open(public_tokenizers.path(TOKENIZER)) as file:
+                added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+            self._added = {t: array("I", [added[t]]).tobytes() for t in sorted(added, key=len, reverse=True)}
+            numbers |= set(added.values())
+        self._borders = re.compile("(" + "|".join(map(re.escape, self._added)) + ")") if self._added else None
         #: Ids after which a sentence can end.
-        self.sentence_end = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.sentence_end = np.zeros(max(numbers) + 1, dtype=bool)
         for part, number in ranks.items():
             if part[-1:] in b".!?" or b"\n" in part:
                 self.sentence_end[number] = True
@@ -78,6 +89,11 @@ class Encoder:
         return array("I", self._encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self._borders is None or not self._borders.search(text):
+            return self._ordinary(text)
+        return b"".join(self._added[part] if part in self._added else self._ordinary(part) for part in self._borders.split(text))
+
+    def _ordinary(self, text: str) -> bytes:
         if not text or _UNSAFE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")

@@ -105,3 +105,19 @@ def test_runs_end_with_a_document(documents, tokenizer, monkeypatch):
 
 def test_empty_table(documents):
     assert packing.pack(documents([])).collect() == []
+
+
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.just("<|endoftext|>"), st.sampled_from(["<|endoftext", "|>", " ", "  ", "\n", "a", " b.", "é"])), max_size=12))
+def test_added_tokens_equal_the_tokenizer_file(parts):
+    text = "".join(parts)
+    ids = np.frombuffer(packing.encoder(packing.VOCABULARY).encode(text), dtype="<u4").tolist()
+    assert ids == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_texts_with_added_tokens(documents):
+    rows = [(1, "a<|endoftext|>b"), (2, "One. <|endoftext|> Two. " * 700), (3, "<|endoftext|>")]
+    check_pieces(rows, packing.pack(documents(rows)).collect(), PLAIN)
