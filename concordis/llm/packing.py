@@ -4,8 +4,8 @@ Documents are dealt by ranges of their id and read in order.  Each is tokenised,
 end id and appended to a stream; the stream is handled in runs of about ``RUN_TOKENS`` that
 end with a document, so a task holds one run and no more.
 
-Cuts may fall after documents, after sentences, and, where a sentence is longer than a sequence,
-every ``window`` tokens inside it.  A window costs its padding (none when its length is a power of
+Cuts may fall after documents, after sentences, and, at a higher penalty, every ``window / FORCED_PARTS``
+tokens inside a sentence longer than that.  A window costs its padding (none when its length is a power of
 two, else up to ``window``) plus a penalty for truncating a document at its end.  With
 ``best[k]`` the least cost of packing the stream up to cut k,
 
@@ -45,6 +45,8 @@ RUN_TOKENS = 1 << 20
 CACHE_ENTRIES = 300_000
 SENTENCE_PENALTY = 24.0
 FORCED_PENALTY = 96.0
+#: Inside sentences a window may end at every such part of its length.
+FORCED_PARTS = 32
 
 #: White space around a single space, or doubled: cutting at that space could change tokens.
 _UNSAFE = re.compile(r"\s \s|  | $")
@@ -129,9 +131,10 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
     places = np.flatnonzero(kinds) + 1
     penalty = np.where(kinds[places - 1] == 2, 0.0, SENTENCE_PENALTY)
     starts = np.concatenate(([0], places[:-1]))
-    long = np.flatnonzero(places - starts > window)
+    step = max(1, window // FORCED_PARTS)
+    long = np.flatnonzero(places - starts > step)
     if long.size:
-        forced = np.concatenate([np.arange(starts[i] + window, places[i], window) for i in long])
+        forced = np.concatenate([np.arange(starts[i] + step, places[i], step) for i in long])
         at = np.searchsorted(places, forced)
         places, penalty = np.insert(places, at, forced), np.insert(penalty, at, FORCED_PENALTY)
     return places, penalty

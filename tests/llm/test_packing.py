@@ -121,3 +121,10 @@ def test_added_tokens_equal_the_tokenizer_file(parts):
 def test_pieces_of_texts_with_added_tokens(documents):
     rows = [(1, "a<|endoftext|>b"), (2, "One. <|endoftext|> Two. " * 700), (3, "<|endoftext|>")]
     check_pieces(rows, packing.pack(documents(rows)).collect(), PLAIN)
+
+
+def test_documents_without_sentences_fill_windows():
+    """A run of documents of 2,100 tokens without any sentence end leaves little padding."""
+    bodies = [np.zeros(2100, "<u4").tobytes()] * 200
+    _, used = packing.pack_run(list(range(200)), bodies, np.zeros(1, bool), 2048, 0)
+    assert used * 2048 < 1.05 * 200 * 2100
