@@ -20,7 +20,7 @@ compared by SimHash of ``STAGE_BITS`` bits inside the key.  Their links make coa
 pair within the radius is verified by its whole shingle sets, unless other verified links connect it already.
 
 Cases: a null text counts as empty; its fingerprint is zero and links like any other.
-Repeated rows share a component.  A null id is no candidate for the smallest id.  An empty
+Repeated rows share a component.  A null id is no candidate for the smallest id, but its text links others.  An empty
 table gives no rows.  Other columns are ignored.
 """
 
@@ -273,12 +273,12 @@ def clusters(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE,
     prints = saved(fingerprints(docs, shingle), "prints")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     pairs = links(distinct, distance, block)
-    ids = lambda side: distinct.select(F.col("fp").alias(side), F.col("first_id").alias(f"{side}_id"))
-    edges = pairs.join(ids("a"), "a").join(ids("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    found = components(edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    labelled = distinct.join(found, F.col("first_id") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "first_id").alias("component_id")
-    )
+    # Nodes order like ids, those without one last, so the least node of a component has the smallest id reachable.
+    node = F.struct(F.col("first_id").isNull().alias("unnamed"), F.coalesce("first_id", F.lit(0)).alias("id"), "fp")
+    nodes = lambda side: distinct.select(F.col("fp").alias(side), node.alias(f"{side}_node"))
+    edges = pairs.join(nodes("a"), "a").join(nodes("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    found = components(edges).select(F.col("node.fp").alias("fp"), F.when(~F.col("component.unnamed"), F.col("component.id")).alias("component_id"))
+    labelled = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return prints.join(labelled, "fp")
 
 

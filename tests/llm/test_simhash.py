@@ -166,3 +166,14 @@ def test_wide_fingerprints_tell_the_similarity():
     near = int(np.bitwise_count(bits(grams[:8000]) ^ bits(grams[889:8889])).sum())
     far = int(np.bitwise_count(bits(grams[:4000]) ^ bits(grams[4000:8000])).sum())
     assert near <= sh.STAGE_RADIUS < far
+
+
+def test_texts_without_id_link_others(documents, monkeypatch):
+    """Two texts six bits apart are joined by one between them that has no id."""
+    prints = {"left": 0, "between": 0b111, "right": 0b111111}
+    rows = [(7, "left"), (None, "between"), (9, "right")]
+    monkeypatch.setattr(sh, "fingerprints", lambda docs, shingle: docs.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"),
+        F.coalesce(*[F.when(F.col("text") == k, F.lit(v)) for k, v in prints.items()]).cast("long").alias("fp"),
+    ))
+    assert {r.doc_id: r.component_id for r in sh.near_dedup(documents(rows)).collect()} == {7: 7, None: 7, 9: 7}
