@@ -16,7 +16,7 @@ Archives live in the shared work folder (``session.work_folder``) and are reache
 
 Cases: a null html is an empty payload; empty payloads equal each other, so they are deduplicated too.  Repeated rows of
 the largest id are all responses.  A null page id sorts below all others; when no row of a group has one,
-all are responses.  Urls may be null or hold line breaks (percent-encoded in the header).  An empty table gives no rows.
+all are responses.  Urls may be null, of any length, or hold line breaks (percent-encoded in the header).  An empty table gives no rows.
 Other columns are ignored.
 """
 
@@ -36,7 +36,6 @@ from concordis.session import work_folder
 
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 16
-HEADER_LIMIT = 1 << 20
 _END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2025-01-01T00:00:00Z"
@@ -107,9 +106,9 @@ class _Inflated:
         return True
 
     def until(self, mark: bytes) -> bytes:
-        while (at := self._ready.find(mark)) < 0:
-            if len(self._ready) > HEADER_LIMIT:
-                raise CorruptArchive("a record header has no end")
+        searched = 0
+        while (at := self._ready.find(mark, searched)) < 0:
+            searched = max(0, len(self._ready) - len(mark) + 1)
             if not self._fill():
                 raise CorruptArchive("a member ends inside a record header")
         found = bytes(self._ready[:at])

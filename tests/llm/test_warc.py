@@ -90,3 +90,8 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_url_longer_than_a_megabyte():
+    data = warc.record(1, "http://a/" + " é" * 600_000, b"body", None) + warc.record(2, "b", b"other", None)
+    assert len(list(warc.records(io.BytesIO(data)))) == 2
