@@ -86,16 +86,37 @@ def targets(rows: DataFrame, weights=WEIGHTS, ratio: float = RATIO, limit: float
     )
 
 
-def plan_slots(sources: DataFrame, block_words: int) -> DataFrame:
-    """Blocks, whole passes and slots of each source with words."""
+def _place(pass_no, block, seed: int):
+    """The keyed hash whose order is that of a source's blocks in one pass."""
+    return F.xxhash64(F.lit(seed), F.lit("order"), *SOURCE, pass_no, block)
+
+
+def plan_slots(sources: DataFrame, block_words: int, seed: int = SEED) -> DataFrame:
+    """Blocks, whole passes and slots of each source with words.
+
+    The partial pass ends where the real lengths of its blocks, in their order, reach the rest; only
+    the source's last block is shorter than others, so its rank in that pass decides.
+    """
     wanted = F.round("target").cast("long")
-    return (
+    plans = (
         sources.where(F.col("source_size") > 0)
         .withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
         .withColumn("passes", F.floor(wanted / F.col("source_size")).cast("long"))
         .withColumn("rest", wanted - F.col("passes") * F.col("source_size"))
-        .withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block_words).cast("long"))
-        .withColumn("last_words", F.pmod(F.col("rest") - 1, F.lit(block_words)) + 1)
+    )
+    own, short = _place(F.col("passes"), F.col("block"), seed), _place(F.col("passes"), F.col("blocks") - 1, seed)
+    earlier = (own < short) | ((own == short) & (F.col("block") < F.col("blocks") - 1))
+    ranks = _counted(plans, "blocks", "block").groupBy(*SOURCE).agg(F.count_if(earlier).alias("short_rank"))
+    lacking = F.col("blocks") * block_words - F.col("source_size")
+    full = F.ceil(F.col("rest") / block_words).cast("long")
+    most = F.ceil((F.col("rest") + lacking) / block_words).cast("long")
+    return (
+        plans.join(ranks, list(SOURCE))
+        .withColumn("part", F.when(F.col("short_rank") < full, most).otherwise(full))
+        .withColumn("slots", F.col("passes") * F.col("blocks") + F.col("part"))
+        .withColumn("missing", F.when(F.col("short_rank") < F.col("part") - 1, lacking).otherwise(F.lit(0)))
+        .withColumn("last_words", F.col("rest") - (F.col("part") - 1) * block_words + F.col("missing"))
+        .drop("short_rank", "part", "missing")
     )
 
 
@@ -127,7 +148,7 @@ def assign_blocks(plans: DataFrame, counts: DataFrame, block_words: int = BLOCK_
         *SOURCE, "blocks", "slots", "last_words", "block",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_passes") - 1)).alias("pass_no"),
     )
-    keyed = blocks.withColumn("place", F.xxhash64(F.lit(seed), F.lit("order"), *SOURCE, "pass_no", "block"))
+    keyed = blocks.withColumn("place", _place(F.col("pass_no"), F.col("block"), seed))
     ranked = numbered(keyed, ("place", "block"), (*SOURCE, "pass_no")).select(
         *SOURCE, "block", "pass_no", (F.col("pass_no") * F.col("blocks") + F.col("row_no")).alias("slot"),
         F.when(F.col("pass_no") * F.col("blocks") + F.col("row_no") == F.col("slots") - 1, F.col("last_words"))
@@ -145,7 +166,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, limit=LIMIT, block_words=
     """
     rows = sized(docs)
     sources = saved(targets(rows, weights, ratio, limit), "targets")
-    plans = plan_slots(sources, block_words)
+    plans = saved(plan_slots(sources, block_words, seed), "plans")
     taken = assign_blocks(plans, draw_counts(plans, shard_slots, seed), block_words, seed)
     last = F.floor((F.col("first_word") + F.col("size") - 1) / block_words)
     parts = rows.where(F.col("size") > 0).select(
