@@ -11,6 +11,7 @@ from concordis.llm.quality import op1_quality
 from concordis.llm.secrets import op4_secrets
 from concordis.llm.sharding import op3_sharding
 from concordis.llm.simhash import op10_simhash
+from concordis.llm.url_rules import op11_url_rules
 from concordis.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_fingerprint": op9_fingerprint,
     "op10_simhash": op10_simhash,
+    "op11_url_rules": op11_url_rules,
 }
 
 ORACLES = {
