@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concordis.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from concordis.llm.fingerprint import op9_fingerprint
+from concordis.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from concordis.llm.line_dedup import OP6_SQL, op6_line_dedup
 from concordis.llm.mixing import op7_mixing
 from concordis.llm.packing import op8_packing
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_simhash": op10_simhash,
     "op11_url_rules": op11_url_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op5_warc": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
