@@ -8,6 +8,7 @@ from concordis.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from concordis.llm.line_dedup import OP6_SQL, op6_line_dedup
 from concordis.llm.mixing import op7_mixing
 from concordis.llm.packing import op8_packing
+from concordis.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from concordis.llm.quality import op1_quality
 from concordis.llm.secrets import op4_secrets
 from concordis.llm.sharding import op3_sharding
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_simhash": op10_simhash,
     "op11_url_rules": op11_url_rules,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op5_warc": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
