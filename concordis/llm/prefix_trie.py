@@ -35,7 +35,7 @@ from concordis.llm.common import WORD, numbered, saved, table, whole
 from concordis.session import spread
 
 #: Weight up to which a component is finished inside a task.
-SMALL = 4096
+SMALL = 256
 CHUNK = 4096
 PARTS = ("part_1", "part_2", "part_3", "part_4")
 #: Conversations of one block share the beginning of its first one, up to this many turns less one.
@@ -177,7 +177,8 @@ def rollup(nodes: DataFrame, path: DataFrame, names: list[str], small: int = SMA
     all nodes at least 1) and ``names``.  ``path``: conv_id, depth, node and parent of at least all owners.
     """
     state = ["node", "parent", "depth", "owner", "weight", "component", *names]
-    open_, found, ready = nodes.withColumn("component", F.lit("root")), [], []
+    # Stored, or the planner would take the one component's name for a constant and drop the join key.
+    open_, found, ready = saved(nodes.withColumn("component", F.lit("root")), "components"), [], []
     owners = nodes.select(F.col("owner").alias("conv_id")).distinct()
     path = saved(path.select("conv_id", "depth", "node", "parent").join(owners, "conv_id", "left_semi"), "owner_paths")
     while True:
