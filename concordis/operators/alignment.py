@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordis.functions.edits import CENTRE_LANE, edit_distance, edit_script
-from concordis.functions.identity import json_string, seal
+from concordis.functions.identity import seal
 from concordis.functions.text import char_count, char_tokens, normalize_text, text_sha256
 from concordis.session import spread
 from concordis.sources.stores import stored
@@ -404,57 +404,11 @@ def fused_texts(alignment: Alignment) -> DataFrame:
     )
 
 
-def alignment_artifacts(alignment: Alignment, contributor_column: str = "page_model_result_id") -> DataFrame:
-    """Canonical JSON and digest of each unit's matrix, with the contributing result ids."""
-    keys = list(alignment.keys)
-    rows = aligned_rows(alignment).join(
-        alignment.members.select(*keys, "hyp_index", F.col(contributor_column).alias("contributor")),
-        [*keys, "hyp_index"], "left",
-    )
-    units = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("hyp_index", "symbols", "contributor"))).alias("rows"),
-        F.max("centre_index").alias("centre_index"),
-        F.max("hypothesis_count").alias("hypothesis_count"),
-    )
-    # Object keys sort as text, so member 10 comes before member 2.
-    labels = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("hypothesis_count") - 1), lambda i: i.cast("string")))
-
-    def column_json(index):
-        cell = lambda label: F.concat(
-            F.lit('"'), label, F.lit('":'),
-            F.coalesce(json_string(F.get(F.get("rows", label.cast("int"))["symbols"], index)), F.lit("null")),
-        )
-        return F.concat(
-            F.lit('{"index":'), index.cast("string"), F.lit(',"symbols":{'),
-            F.array_join(F.transform("labels", cell), ","), F.lit("}}"),
-        )
-
-    width = F.size(F.col("rows")[0]["symbols"])
-    indexes = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
-    contributors = F.array_join(
-        F.transform("rows", lambda r: F.coalesce(json_string(r["contributor"]), F.lit("null"))), ","
-    )
-    payload = F.concat(
-        F.lit('{"center_index":'), F.col("centre_index").cast("string"),
-        F.lit(',"columns":['), F.array_join(F.transform(indexes, column_json), ","),
-        F.lit('],"contributor_result_ids":['), contributors,
-        F.lit('],"hypothesis_count":'), F.col("hypothesis_count").cast("string"),
-        F.lit(f',"text_policy_id":"{TEXT_POLICY_ID}"}}'),
-    )
-    return (
-        units.withColumn("labels", labels)
-        .withColumn("artifact_json", payload)
-        .select(
-            *keys, "hypothesis_count", width.alias("column_count"), "artifact_json",
-            # A matrix is complete when every member has a result id.
-            (F.size(F.filter("rows", lambda r: r["contributor"].isNotNull())) == F.col("hypothesis_count")).alias("complete"),
-            F.sha2("artifact_json", 256).alias("alignment_artifact_sha256"),
-        )
-    )
-
-
 def consensus_records(alignment: Alignment, artifacts: DataFrame, artifact_root: str, created_at: str, quorum: int = QUORUM):
-    """Sealed consensus results and fused hypotheses; both name the same artifact."""
+    """Sealed consensus results and fused hypotheses; both name the same artifact.
+
+    Units without an artifact (``artifacts`` are header rows) are refused ones and get neither.
+    """
     keys = list(alignment.keys)
     eligible = alignment.members.groupBy(*keys).agg(
         F.sort_array(F.collect_list("page_model_result_id")).alias("eligible_page_model_result_ids")

@@ -12,7 +12,7 @@ from concordis.functions import identity as ident
 from concordis.functions import text as txt
 from concordis.functions.edits import edit_counts, edit_distance
 from concordis.operators import alignment as al
-from concordis.operators import budget, ground_truth, integrity, journal, manifest, report, scoring
+from concordis.operators import artifacts, budget, ground_truth, integrity, journal, manifest, report, scoring
 from concordis.plans import fixtures as fx
 from concordis.plans import sql
 from concordis.session import spread, work_folder
@@ -135,21 +135,16 @@ def s8(spark, sf):
     return corpus.split_unsafe(fx.corpus_files(spark, sf))[1].select("dataset_item_id")
 
 
-_ARTIFACT = sql.with_(sql.TURNS) + (
-    "SELECT run_manifest_id, evaluation_unit_id, length(text)::INT AS column_count, sha256('{\"center_index\":' || c || ',\"columns\":[' || "
-    "array_to_string(list_transform(range(1, length(text) + 1), lambda i: '{\"index\":' || (i - 1) || ',\"symbols\":{\"0\":' || "
-    "to_json(translate(text[i], 'a', '@'))::VARCHAR || ',\"1\":' || to_json(translate(text[i], 'ai', '@!'))::VARCHAR || ',\"2\":' || "
-    "to_json(translate(text[i], 'n', '#'))::VARCHAR || '}}'), ',') || '],\"contributor_result_ids\":[\"result-' || evaluation_unit_id || '-0\",\"result-' "
-    "|| evaluation_unit_id || '-1\",\"result-' || evaluation_unit_id || '-2\"],\"hypothesis_count\":3,\"text_policy_id\":\"text_policy_v1\"}') "
-    "AS alignment_artifact_sha256 FROM (SELECT *, CASE WHEN i + an <= least(i + i + an, an + i + an) THEN 0 WHEN i + i + an <= an + i + an THEN 1 ELSE 2 END AS c FROM "
-    f"(SELECT *, {sql.occurrences('text', 'i')} AS i, {sql.occurrences('text', 'an')} AS an FROM turns))"
-)
+_VARIED = sql.with_(sql.DOCS, sql.varied("docs", "doc_id % 4"), sql.artifact_ctes())
 
 
-@query("s9_alignment_artifact", _ARTIFACT)
+@query(
+    "s9_alignment_artifact",
+    _VARIED + "SELECT run_manifest_id, evaluation_unit_id, column_count, departure_count, alignment_artifact_sha256 FROM art",
+)
 def s9(spark, sf):
-    a = al.align(fx.substituted(fx.turns(spark, sf)))
-    return al.alignment_artifacts(a).select(*UNIT, "column_count", "alignment_artifact_sha256")
+    made = artifacts.build(al.align(fx.varied_documents(spark, sf)))
+    return made.headers.select(*UNIT, "column_count", "departure_count", "alignment_artifact_sha256")
 
 
 # -- identity ------------------------------------------------------------------------
@@ -578,32 +573,96 @@ def e11(spark, sf):
     )
 
 
-def _sealed_consensus(spark, sf):
-    a = al.materialized(al.align(fx.substituted(fx.turns(spark, sf))))
-    return al.consensus_records(a, al.alignment_artifacts(a), "artifacts", fx.CREATED_AT)
+_GAP = "\ue004"
+
+
+def _varied_rows() -> str:
+    g, (p, q), (r, s) = _GAP, fx.INSERTED, fx.REPLACING
+    after = lambda text, tail: f"replace({text}, 'o', 'o{tail}')"
+    put = lambda old, new: f"replace(text, '{old}', '{new}')"
+    lines = (
+        [after("text", g + g), after("text", p + g), after("text", p + q), after(put("a", g), g + g)],
+        ["text", put("e", r), put("e", s)], ["text", put("a", g)],
+        [after("text", g), *[after("text", p)] * 3, after(put("a", g), g)],
+    )
+    return (
+        "SELECT run_manifest_id, evaluation_unit_id, (p - 1)::INT AS hyp_index, length(line)::INT AS columns, md5(line) AS row_digest FROM "
+        "(SELECT *, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS p FROM (SELECT *, CASE doc_id % 4 "
+        + " ".join(f"WHEN {k} THEN [{', '.join(members)}]" for k, members in enumerate(lines)) + " END AS lines FROM docs))"
+    )
+
+
+@query("e8_varied_rows", sql.with_(sql.DOCS) + _varied_rows())
+def e8_varied(spark, sf):
+    shown = F.array_join(F.transform("symbols", lambda s: F.coalesce(s, F.lit(_GAP))), "")
+    return al.aligned_rows(al.align(fx.varied_documents(spark, sf))).select(
+        *UNIT, F.col("hyp_index").cast("int").alias("hyp_index"), F.size("symbols").alias("columns"), F.md5(shown).alias("row_digest")
+    )
+
+
+@query(
+    "e9_varied_entropy",
+    _VARIED + "SELECT run_manifest_id, evaluation_unit_id, k AS hypothesis_count, centre_index, column_count, disputed::BIGINT AS disputed_columns, round(ce, 9) AS consensus_entropy FROM art",
+)
+def e9_varied(spark, sf):
+    a = al.align(fx.varied_documents(spark, sf))
+    return al.consensus_entropy(a).select(
+        *UNIT, "hypothesis_count", F.col("centre_index").cast("int").alias("centre_index"), "column_count", "disputed_columns",
+        F.round("consensus_entropy", 9).alias("consensus_entropy"),
+    )
+
+
+@query(
+    "e10_varied_fusion",
+    _VARIED + "SELECT run_manifest_id, evaluation_unit_id, tied::BIGINT AS tied_columns, sha256(fused) AS fused_sha256 FROM art",
+)
+def e10_varied(spark, sf):
+    a = al.align(fx.varied_documents(spark, sf))
+    return al.fused_texts(a).select(*UNIT, "tied_columns", F.sha2("fused_text", 256).alias("fused_sha256"))
+
+
+@query(
+    "e11_varied_columns",
+    sql.with_(sql.TURNS, sql.varied("turns", "(conv_id + turn) % 4"))
+    + ", votes AS (SELECT run_manifest_id, evaluation_unit_id, slot, lane, symbol, list_sort(flatten(list(string_split(ranks, ',')::INT[]))) AS who FROM entries GROUP BY ALL), "
+    "left_over AS (SELECT v.*, centre_index, k, CASE WHEN lane = 2147483647 THEN regexp_extract_all(centre, '(?s).')[slot + 1] END AS stays FROM "
+    "(SELECT run_manifest_id, evaluation_unit_id, slot, lane, flatten(list(who)) AS gone FROM votes GROUP BY ALL) v JOIN cent c USING (run_manifest_id, evaluation_unit_id)), "
+    "cand AS (SELECT * FROM votes UNION ALL SELECT run_manifest_id, evaluation_unit_id, slot, lane, stays, list_filter(range(k)::INT[], lambda p: NOT list_contains(gone, p)) FROM left_over) "
+    "SELECT run_manifest_id, evaluation_unit_id, slot::INT AS slot, lane::INT AS lane, string_agg(coalesce(symbol, '-') || ':' || array_to_string(who, ','), ' ' ORDER BY who[1]) AS candidates, "
+    "arg_max(coalesce(symbol, '-'), len(who) * 10 - who[1]) AS winner, arg_max(symbol IS NOT NULL, len(who) * 10 - who[1]) AS emitted, "
+    "count_if(len(who) = m) > 1 AS tie FROM (SELECT *, max(len(who)) OVER (PARTITION BY run_manifest_id, evaluation_unit_id, slot, lane) AS m FROM cand) GROUP BY ALL",
+)
+def e11_varied(spark, sf):
+    gap = lambda s: F.coalesce(s, F.lit("-"))
+    shown = F.transform(
+        "candidates", lambda c: F.concat_ws(":", gap(c["symbol"]), F.array_join(F.transform(c["supporters"], lambda p: p.cast("string")), ","))
+    )
+    return al.fusion_columns(al.align(fx.varied_turns(spark, sf))).select(
+        *UNIT, "slot", "lane", F.array_join(shown, " ").alias("candidates"), gap(F.col("winning_symbol")).alias("winner"), "emitted", "tie"
+    )
 
 
 _CONSENSUS_JSON = sql.obj(
-    alignment_artifact_sha256=sql.js("x.alignment_artifact_sha256"), alignment_policy_id=sql.js("'alignment_v1'"),
-    consensus_entropy=sql.jdouble(f"{sql.occurrences('t.text', 'ain')} * {_SHARE} / length(t.text)"),
-    eligible_hypothesis_count="'3'", evaluation_unit_id=sql.js("t.evaluation_unit_id"), quorum_size="'2'",
-    eligible_page_model_result_ids=sql.jlist("list_transform([0, 1, 2], lambda p: 'result-' || t.evaluation_unit_id || '-' || p)"),
-    run_manifest_id=sql.js("t.run_manifest_id"), text_policy_id=sql.js("'text_policy_v1'"),
+    alignment_artifact_sha256=sql.js("alignment_artifact_sha256"), alignment_policy_id=sql.js("'alignment_v1'"),
+    consensus_entropy=sql.jdouble("ce"), eligible_hypothesis_count=sql.jn("k"), evaluation_unit_id=sql.js("evaluation_unit_id"), quorum_size="'2'",
+    eligible_page_model_result_ids=sql.jlist("list_transform(range(k), lambda p: 'result-' || evaluation_unit_id || '-' || p)"),
+    run_manifest_id=sql.js("run_manifest_id"), text_policy_id=sql.js("'text_policy_v1'"),
 )
 _FUSED_JSON = sql.obj(
     alignment_artifact_sha256=sql.js("alignment_artifact_sha256"), consensus_result_id=sql.js("consensus_result_id"),
-    evaluation_unit_id=sql.js("evaluation_unit_id"), fusion_policy_id=sql.js("'fusion_v1'"), run_manifest_id=sql.js("run_manifest_id"), text=sql.js("text"),
+    evaluation_unit_id=sql.js("evaluation_unit_id"), fusion_policy_id=sql.js("'fusion_v1'"), run_manifest_id=sql.js("run_manifest_id"), text=sql.js("fused"),
 )
 
 
 @query(
     "e12_sealed_consensus",
-    f"WITH art AS ({_ARTIFACT}), {sql.TURNS}, con AS (SELECT t.run_manifest_id, t.evaluation_unit_id, translate(t.text, 'a', '@') AS text, x.alignment_artifact_sha256, "
-    f"{sql.cid('consensus_result', _CONSENSUS_JSON)} AS consensus_result_id FROM turns t JOIN art x USING (evaluation_unit_id)) "
+    _VARIED.rstrip() + f", con AS (SELECT *, {sql.cid('consensus_result', _CONSENSUS_JSON)} AS consensus_result_id FROM art) "
     f"SELECT evaluation_unit_id, consensus_result_id, {sql.cid('fused_hypothesis', _FUSED_JSON)} AS fused_hypothesis_id FROM con",
 )
 def e12(spark, sf):
-    _, fused = _sealed_consensus(spark, sf)
+    a = al.materialized(al.align(fx.varied_documents(spark, sf)))
+    headers = stores.stored(artifacts.build(a).headers)
+    _, fused = al.consensus_records(a, headers, "artifacts", fx.CREATED_AT)
     return fused.select("evaluation_unit_id", "consensus_result_id", "fused_hypothesis_id")
 
 

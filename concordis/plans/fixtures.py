@@ -70,6 +70,40 @@ def substituted(units: DataFrame) -> DataFrame:
     )
 
 
+#: Symbols that no given text holds: two that are inserted, two that are substituted.
+INSERTED, REPLACING = ("\ue000", "\ue001"), ("\ue002", "\ue003")
+
+
+def varied(units: DataFrame, kind: Column) -> DataFrame:
+    """Two to five members by kind of unit: insertions, deletions, copies, two-way and three-way ties.
+
+    Inserted and substituted symbols occur nowhere else and deleted ones are deleted throughout, so
+    every pair with the centre has a single best alignment.
+    """
+    text = F.col("text")
+    first, both = (replaced("text", "o", "o" + "".join(INSERTED[:n])) for n in (1, 2))
+    gone = replaced("text", "a", "")
+    members = (
+        F.when(kind == 0, F.array(text, first, both, gone))
+        .when(kind == 1, F.array(text, F.translate("text", "e", REPLACING[0]), F.translate("text", "e", REPLACING[1])))
+        .when(kind == 2, F.array(text, gone))
+        .otherwise(F.array(text, first, first, first, gone))
+    )
+    return units.select("run_manifest_id", "evaluation_unit_id", F.posexplode(members).alias("position", "text")).select(
+        "run_manifest_id", "evaluation_unit_id",
+        F.concat(F.lit("result-"), "evaluation_unit_id", F.lit("-"), "position").alias("page_model_result_id"),
+        "position", "text",
+    )
+
+
+def varied_documents(spark, sf_dir) -> DataFrame:
+    return varied(documents(spark, sf_dir), F.pmod("doc_id", F.lit(4)))
+
+
+def varied_turns(spark, sf_dir) -> DataFrame:
+    return varied(turns(spark, sf_dir), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)))
+
+
 def scored_texts(units: DataFrame) -> DataFrame:
     """Members whose edit counts have a closed form at character and word level."""
     return _hypotheses(

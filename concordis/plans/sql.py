@@ -36,6 +36,48 @@ def substituted(source: str) -> str:
     return stacked("hyps", source, "translate(text,'a','@')", "translate(text,'ai','@!')", "translate(text,'n','#')")
 
 
+_P, _Q, _R, _S = "\ue000", "\ue001", "\ue002", "\ue003"
+
+
+def varied(source: str, kind: str) -> str:
+    """CTEs ``cent`` (a unit's kind, counts, centre, size, fused text and entropy) and ``entries`` (its departures)."""
+    share = lambda k, *votes: f"((ln({k}) - ({' + '.join(f'{n} * ln({n})' for n in votes)}) / {k}) / ln({k}))"
+    entry = lambda slot, lane, ranks, symbol: f"{{'slot': {slot}, 'lane': {lane}, 'ranks': '{ranks}', 'symbol': {symbol}}}"
+    quoted = "'{}'".format
+    gap, centre = "NULL::VARCHAR", "2147483647"
+    at = lambda ranks, symbol: entry("pos", centre, ranks, symbol)
+    return (
+        f"vary AS (SELECT *, ({kind})::INT AS kind, {occurrences('text', 'o')} AS o, {occurrences('text', 'a')} AS a, {occurrences('text', 'e')} AS e, "
+        f"replace(text, 'o', 'o{_P}') AS ins FROM {source}), "
+        "cent AS (SELECT *, CASE WHEN kind = 3 AND o > 0 THEN ins ELSE text END AS centre, CASE WHEN kind = 3 AND o > 0 THEN 1 ELSE 0 END AS centre_index, "
+        "[4, 3, 2, 5][kind + 1] AS k, CASE kind WHEN 0 THEN 2 * o ELSE 0 END AS inserted, CASE kind WHEN 3 THEN ins ELSE text END AS fused, "
+        "CASE kind WHEN 0 THEN 2 * o + a WHEN 1 THEN e WHEN 2 THEN a ELSE o + a END AS disputed, CASE kind WHEN 0 THEN o WHEN 1 THEN e WHEN 2 THEN a ELSE 0 END AS tied, "
+        f"CASE kind WHEN 0 THEN o * {share(4, 2, 2)} + (o + a) * {share(4, 3, 1)} WHEN 1 THEN e * {share(3, 1, 1, 1)} WHEN 2 THEN a * {share(2, 1, 1)} "
+        f"ELSE o * {share(5, 3, 2)} + a * {share(5, 4, 1)} END / nullif(length(CASE WHEN kind = 3 THEN ins ELSE text END) + CASE kind WHEN 0 THEN 2 * o ELSE 0 END, 0) AS ce FROM vary), "
+        "symbols AS (SELECT run_manifest_id, evaluation_unit_id, kind, a, unnest(list_zip(regexp_extract_all(centre, '(?s).'), range(length(centre)))) AS z FROM cent), "
+        "entries AS (SELECT run_manifest_id, evaluation_unit_id, unnest(CASE "
+        f"WHEN kind = 0 AND ch = 'o' THEN [{entry('pos + 1', 0, '1', quoted(_P))}, {entry('pos + 1', 0, '2', quoted(_P))}, {entry('pos + 1', 1, '2', quoted(_Q))}] "
+        f"WHEN kind = 0 AND ch = 'a' THEN [{at('3', gap)}] WHEN kind = 1 AND ch = 'e' THEN [{at('1', quoted(_R))}, {at('2', quoted(_S))}] "
+        f"WHEN kind = 2 AND ch = 'a' THEN [{at('1', gap)}] WHEN kind = 3 AND ch = 'a' THEN [{at('4', gap)}] "
+        f"WHEN kind = 3 AND ch = '{_P}' THEN CASE WHEN a = 0 THEN [{at('0,4', gap)}] ELSE [{at('0', gap)}, {at('4', gap)}] END "
+        "ELSE [] END, recursive := true) FROM (SELECT *, z[1] AS ch, z[2] AS pos FROM symbols))"
+    )
+
+
+def artifact_ctes() -> str:
+    """CTE ``art``: every unit's artifact address, from ``cent`` and ``entries``."""
+    return (
+        "blocks AS (SELECT run_manifest_id, evaluation_unit_id, slot // 256 AS sb, 0 AS lb, count(*) AS n, sha256(string_agg('[' || slot || ',' || "
+        f"CASE WHEN lane = 2147483647 THEN 'null' ELSE lane::VARCHAR END || ',[' || ranks || '],' || {js('symbol')} || ']', ',' ORDER BY slot, lane, ranks)) AS h FROM entries GROUP BY ALL), "
+        "roots AS (SELECT evaluation_unit_id, sum(n)::BIGINT AS n, sha256(string_agg(sb || ':' || lb || ':' || h, ',' ORDER BY sb, lb)) AS root FROM blocks GROUP BY ALL), "
+        "art AS (SELECT c.*, coalesce(r.n, 0)::BIGINT AS departure_count, (length(centre) + inserted)::BIGINT AS column_count, sha256('{\"center_index\":' || centre_index || "
+        "',\"center_text_sha256\":\"' || sha256(centre) || '\",\"column_count\":' || (length(centre) + inserted) || ',\"contributor_result_ids\":[' || "
+        "array_to_string(list_transform(range(k), lambda p: '\"result-' || evaluation_unit_id || '-' || p || '\"'), ',') || '],\"departure_count\":' || coalesce(r.n, 0)::BIGINT || "
+        "',\"departures_sha256\":\"' || coalesce(root, sha256('')) || '\",\"hypothesis_count\":' || k || ',\"text_policy_id\":\"text_policy_v1\"}') AS alignment_artifact_sha256 "
+        "FROM cent c LEFT JOIN roots r USING (evaluation_unit_id))"
+    )
+
+
 def scored(source: str) -> str:
     return stacked("hyps", source, "translate(text,'ou','#~')", "translate(text,'e','3')", "replace(text,'th','tli')")
 

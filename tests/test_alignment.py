@@ -1,5 +1,3 @@
-import hashlib
-import json
 import math
 import random
 
@@ -7,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordis.operators import alignment as al
+from concordis.operators import artifacts
 from tests.plain_dp import plain_script
 
 
@@ -159,24 +158,6 @@ def test_random_units_match_a_plain_merge(spark):
     assert not detail
 
 
-def test_artifact_is_canonical_and_content_addressed(spark):
-    units = [("cat", "cats"), ("cat", "cut"), tuple(f'a"{i}\n' for i in range(11))]
-    a = aligned(spark, units)
-    found = {int(r.evaluation_unit_id): r for r in al.alignment_artifacts(a).collect()}
-    for u, texts in enumerate(units):
-        centre, rows = plain_matrix(texts)
-        payload = {
-            "text_policy_id": "text_policy_v1", "hypothesis_count": len(texts), "center_index": centre,
-            "contributor_result_ids": [f"res-{u}-{p}" for p in range(len(texts))],
-            "columns": [
-                {"index": c, "symbols": {str(i): rows[i][c] for i in range(len(texts))}} for c in range(len(rows[0]))
-            ],
-        }
-        body = json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        assert found[u].artifact_json == body and found[u].complete
-        assert found[u].alignment_artifact_sha256 == hashlib.sha256(body.encode()).hexdigest()
-
-
 def test_partition_count_does_not_change_results(spark):
     df = spark.createDataFrame(
         unit_rows(GOLDEN), "run_manifest_id string, evaluation_unit_id string, page_model_result_id string, position int, text string"
@@ -190,7 +171,7 @@ def test_partition_count_does_not_change_results(spark):
 
 def test_consensus_records(spark):
     a = aligned(spark, [("cat", "cot"), ("solo",)])
-    consensus, fused = al.consensus_records(a, al.alignment_artifacts(a), "file:/x", "2026-01-01T00:00:00Z")
+    consensus, fused = al.consensus_records(a, artifacts.build(a).headers, "file:/x", "2026-01-01T00:00:00Z")
     c = {r.evaluation_unit_id: r for r in consensus.collect()}
     f = {r.evaluation_unit_id: r for r in fused.collect()}
     assert c["0"].consensus_result_id == f["0"].consensus_result_id
