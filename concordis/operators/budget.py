@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,90 @@ def admit_batches(requests: DataFrame, headrooms: DataFrame) -> DataFrame:
     )
 
 
+def _components(pairs: DataFrame) -> DataFrame:
+    """ledger, component: ledgers that some batch names together share their least name.
+
+    ``pairs`` holds (batch_id, ledger).  Names spread through batches and then through the names
+    themselves, so a round doubles their reach; each is stored in the shared folder.
+    """
+    linked = stored(pairs.select("batch_id", "ledger").distinct())
+    names = stored(linked.select("ledger").distinct().withColumn("component", F.col("ledger")))
+    while True:
+        least = linked.join(names, "ledger").groupBy("batch_id").agg(F.min("component").alias("component"))
+        spread_out = linked.join(least, "batch_id").groupBy("ledger").agg(F.min("component").alias("near"))
+        hop = names.select(F.col("ledger").alias("near"), F.col("component").alias("far"))
+        reached = stored(
+            names.join(spread_out, "ledger").join(hop, "near").select("ledger", "component", F.least("component", "near", "far").alias("next"))
+        )
+        if reached.where(F.col("next") < F.col("component")).isEmpty():
+            return names
+        names = reached.select("ledger", F.col("next").alias("component"))
+
+
+def _admit_in_order(batches):
+    """Rows by component and batch; a batch is admitted whole, against what earlier ones left."""
+    component, left, batch, asked = None, {}, None, []
+
+    def judged():
+        short = sum(amount > left[ledger] for ledger, amount in asked)
+        if not short:
+            for ledger, amount in asked:
+                left[ledger] -= amount
+        return batch, not short, short
+
+    for rows in batches:
+        done = []
+        names = ("component", "batch_id", "ledger", "asked_usd", "headroom_usd")
+        for at, name, ledger, amount, headroom in zip(*(rows[c].to_pylist() for c in names)):
+            if batch is not None and (at, name) != (component, batch):
+                done.append(judged())
+                asked = []
+            if at != component:
+                left = {}
+            component, batch = at, name
+            left.setdefault(ledger, headroom)
+            asked.append((ledger, amount))
+        yield _verdicts(done)
+    if batch is not None:
+        yield _verdicts([judged()])
+
+
+def _verdicts(rows) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [(), (), ()]
+    types = (("batch_id", pa.string()), ("admitted", pa.bool_()), ("short_ledgers", pa.int64()))
+    return pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(types, columns)})
+
+
+def admit_in_sequence(requests: DataFrame, headrooms: DataFrame) -> DataFrame:
+    """As ``admit_batches``, batch after batch by ``batch_seq``: what one reserves the next ones lack.
+
+    A ledger that can carry all that is asked of it never refuses and is left out, like unlimited
+    and unknown ones.  Batches that share a remaining ledger depend on one another and are
+    judged in order, streaming through one task that keeps one amount per ledger; those of separate
+    ledgers are judged apart.  ``short_ledgers`` counts at the batch's turn.
+    """
+    asked = (
+        requests.select("batch_id", "batch_seq", "amount_usd", F.explode_outer("ledger_names").alias("ledger"))
+        .groupBy("batch_id", "ledger")
+        .agg(F.min("batch_seq").alias("batch_seq"), F.sum("amount_usd").cast(MONEY).alias("asked_usd"))
+    )
+    asked = stored(asked)
+    limits = headrooms.where(F.col("headroom_usd").isNotNull()).select("ledger", F.col("headroom_usd").cast(MONEY).alias("headroom_usd"))
+    # Amounts may be negative in a correction, so only the positive ones decide whether a ledger can run short.
+    most = asked.groupBy("ledger").agg(F.sum(F.greatest("asked_usd", F.lit(0).cast(MONEY))).alias("most_usd"))
+    scarce = limits.join(most, "ledger").where(F.col("most_usd") > F.col("headroom_usd")).select("ledger", "headroom_usd")
+    limited = stored(asked.join(scarce, "ledger"))
+    ordered = (
+        limited.join(_components(limited), "ledger")
+        .repartition("component")
+        .sortWithinPartitions("component", "batch_seq", "batch_id", "ledger")
+        .select("component", "batch_id", "ledger", "asked_usd", "headroom_usd")
+    )
+    judged = ordered.mapInArrow(_admit_in_order, "batch_id string, admitted boolean, short_ledgers long")
+    free = asked.select("batch_id").distinct().join(limited.select("batch_id").distinct(), "batch_id", "left_anti")
+    return judged.unionByName(free.select("batch_id", F.lit(True).alias("admitted"), F.lit(0).cast("long").alias("short_ledgers")))
+
+
 def judged_events(events: DataFrame) -> DataFrame:
     """Ledger events with the reserved amount and a verdict.
 

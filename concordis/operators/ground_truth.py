@@ -6,13 +6,15 @@ import hashlib
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from concordis.functions.identity import canonical_value, record_sha256, seal
 from concordis.operators.digest import set_digest
 from concordis.schemas import RECORD_TYPES
+from concordis.sources.stores import read_table, stored
 
 RESOLVER_POLICY_VERSION = "gt_resolver_v1"
 
@@ -25,12 +27,13 @@ def _member(df: DataFrame, *names: str) -> Column:
     return F.concat(*parts)
 
 
-def append_chains(actions: DataFrame, order_by: str = "sequence") -> DataFrame:
+def append_chains(actions: DataFrame, order_by: str = "sequence", heads: DataFrame | None = None) -> DataFrame:
     """Number, link and seal the events of each assertion's journal.
 
     Each event holds the full-record hash of the one before it, so a chain is worked
     through in order.  Rows stream through a task sorted by chain; only the last hash is
-    kept, never a whole chain.
+    kept, never a whole chain.  ``heads`` (see ``chain_heads``) names where stored chains
+    end; their new events go on from there.
     """
     record = RECORD_TYPES["ground_truth_event"]
     schema = record.schema
@@ -48,10 +51,13 @@ def append_chains(actions: DataFrame, order_by: str = "sequence") -> DataFrame:
         chain, number, prior = None, 0, None
         for batch in batches:
             columns = batch.to_pydict()
-            ids, numbers, priors = [], [], []
+            ids, numbers, priors, kept = [], [], [], []
             for i, assertion in enumerate(columns["assertion_id"]):
                 if assertion != chain:
                     chain, number, prior = assertion, 0, None
+                if columns["_stored_hash"][i] is not None:
+                    number, prior = columns["_stored_sequence"][i] + 1, columns["_stored_hash"][i]
+                    continue
                 head, made, source = columns["_head"][i], columns["_made"][i], columns["_from"][i]
                 tail = (
                     f'{source},"prior_event_hash":{json.dumps(prior)},{columns["_why"][i]},'
@@ -62,17 +68,108 @@ def append_chains(actions: DataFrame, order_by: str = "sequence") -> DataFrame:
                 ids.append(event_id)
                 numbers.append(number)
                 priors.append(prior)
+                kept.append(i)
                 prior = hashlib.sha256(f'{{{head},{made},"event_id":"{event_id}",{tail}'.encode()).hexdigest()
                 number += 1
-            made_columns = {**{c: columns[c] for c in carried}, "event_id": ids, "sequence": numbers, "prior_event_hash": priors}
+            made_columns = {c: [columns[c][i] for i in kept] for c in carried}
+            made_columns |= {"event_id": ids, "sequence": numbers, "prior_event_hash": priors}
             yield pa.RecordBatch.from_pydict({f.name: made_columns[f.name] for f in arrow_schema}, schema=arrow_schema)
 
-    prepared = actions.select(*carried, F.col(order_by).alias("_order"), *[c.alias(n) for n, c in pieces.items()])
+    prepared = actions.select(
+        *carried, F.col(order_by).alias("_order"), *[c.alias(n) for n, c in pieces.items()],
+        F.lit(None).cast("long").alias("_stored_sequence"), F.lit(None).cast("string").alias("_stored_hash"),
+    )
+    if heads is not None:
+        touched = heads.join(actions.select("assertion_id").distinct(), "assertion_id", "left_semi")
+        prepared = prepared.unionByName(
+            touched.select(
+                "assertion_id", F.col("sequence").cast("long").alias("_stored_sequence"), F.col("record_sha256").alias("_stored_hash")
+            ),
+            allowMissingColumns=True,
+        )
+    # A stored head sorts before the new events of its chain.
+    placed = prepared.withColumn("_new", F.col("_stored_hash").isNull())
     return (
-        prepared.repartition("assertion_id").sortWithinPartitions("assertion_id", "_order").mapInArrow(link, schema)
+        placed.repartition("assertion_id").sortWithinPartitions("assertion_id", "_new", "_order").mapInArrow(link, schema)
+    )
+
+
+HEADS = "assertion_id string, sequence long, record_sha256 string"
+
+
+def chain_heads(events: DataFrame) -> DataFrame:
+    """Last sequence of each chain and the full-record hash of that event."""
+    record = RECORD_TYPES["ground_truth_event"]
+    hashed = events.select(
+        "assertion_id", F.col("sequence").cast("long").alias("sequence"), record_sha256(events, record.schema.names).alias("record_sha256")
+    )
+    return latest_heads(hashed)
+
+
+def latest_heads(heads: DataFrame) -> DataFrame:
+    return heads.groupBy("assertion_id").agg(
+        F.max("sequence").alias("sequence"), F.max_by("record_sha256", "sequence").alias("record_sha256")
     )
 
 
+def refused_actions(actions: DataFrame, assertions: DataFrame) -> DataFrame:
+    """``actions`` with a ``refusal``: NULL where the action may be appended.
+
+    A human workflow needs another approver than the assertion's author; an imported approval
+    needs an authorization, and nothing else may name one.
+    """
+    authors = assertions.select("assertion_id", "author_actor_id").distinct()
+    approves = F.col("action") == "approve"
+    imported = approves & (F.col("event_source") == "dataset_import")
+    named = F.col("approval_authorization_id").isNotNull()
+    refusal = (
+        F.when(imported & ~named, "authorization_missing")
+        .when(~imported & named, "authorization_forbidden")
+        .when(approves & (F.col("event_source") == "human_workflow") & F.col("actor_id").eqNullSafe(F.col("author_actor_id")), "self_approval")
+    )
+    return actions.join(authors, "assertion_id", "left").withColumn("refusal", refusal).drop("author_actor_id")
+
+
+class ChainStore:
+    """Stored chains that grow by calls: an events table and a table of heads, both parted by call.
+
+    A call writes its events first and their heads last.  A call counts once its heads are
+    there, so one that was cut off in between is done again under the same number and replaces what it left.
+    Neither earlier events nor earlier hashes are read again; only heads are.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.events_path, self.heads_path = (f"{root.rstrip('/')}/{n}" for n in ("gt_events", "gt_heads"))
+
+    def _heads(self) -> DataFrame:
+        return read_table(self.spark, self.heads_path, HEADS + ", call int")
+
+    def _write(self, rows: DataFrame, path: str, call: int) -> None:
+        marked = rows.withColumn("call", F.lit(call))
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("call").parquet(path)
+
+    def heads(self) -> DataFrame:
+        return latest_heads(self._heads())
+
+    def append(self, actions: DataFrame, assertions: DataFrame | None = None, order_by: str = "sequence") -> DataFrame:
+        """Append what may be appended; returns the refused actions, which no chain gets."""
+        call = (self._heads().agg(F.max("call")).head()[0] or 0) + 1
+        judged = stored(refused_actions(actions, assertions)) if assertions is not None else actions.withColumn("refusal", F.lit(None).cast("string"))
+        events = append_chains(judged.where(F.col("refusal").isNull()).drop("refusal"), order_by, self.heads())
+        self._write(events, self.events_path, call)
+        written = read_table(self.spark, self.events_path, [*RECORD_TYPES["ground_truth_event"].schema.fields, T.StructField("call", T.IntegerType())])
+        self._write(chain_heads(written.where(F.col("call") == call)), self.heads_path, call)
+        return judged.where(F.col("refusal").isNotNull())
+
+    def events(self) -> DataFrame:
+        """Events of all finished calls."""
+        last = self._heads().agg(F.max("call")).head()[0] or 0
+        schema = RECORD_TYPES["ground_truth_event"].schema
+        rows = read_table(self.spark, self.events_path, [*schema.fields, T.StructField("call", T.IntegerType())])
+        return rows.where(F.col("call") <= last).select(*schema.names)
+
+
 def broken_links(events: DataFrame) -> DataFrame:
     """Events whose place in their chain does not hold.
 

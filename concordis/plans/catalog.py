@@ -789,6 +789,23 @@ def p5(spark, sf):
     )
 
 
+@query(
+    "p5_sequence",
+    "WITH RECURSIVE " + ", ".join((
+        sql.ORDERS,
+        "ask AS (SELECT o_custkey, ledger, ceiling, sum(amt) AS a, row_number() OVER (PARTITION BY ledger ORDER BY o_custkey) AS n FROM "
+        "(SELECT *, 'nation-' || c_nationkey AS ledger FROM ord) JOIN lg USING (ledger) GROUP BY o_custkey, ledger, ceiling)",
+        "walk AS (SELECT o_custkey, ledger, n, a <= ceiling AS admitted, CASE WHEN a <= ceiling THEN a ELSE 0 END AS held FROM ask WHERE n = 1 UNION ALL "
+        "SELECT k.o_custkey, k.ledger, k.n, w.held + k.a <= k.ceiling, CASE WHEN w.held + k.a <= k.ceiling THEN w.held + k.a ELSE w.held END "
+        "FROM walk w JOIN ask k ON k.ledger = w.ledger AND k.n = w.n + 1)",
+    ))
+    + " SELECT 'batch-' || o_custkey AS batch_id, admitted, CASE WHEN admitted THEN 0 ELSE 1 END::BIGINT AS short_ledgers FROM walk",
+)
+def p5_sequence(spark, sf):
+    requests = fx.reserve_requests(spark, sf).withColumn("batch_seq", F.substring("batch_id", 7, 20).cast("long"))
+    return budget.admit_in_sequence(requests, fx.ledgers(spark, sf).withColumnRenamed("ceiling_usd", "headroom_usd"))
+
+
 @query(
     "p6_running_balances",
     sql.with_(sql.LEDGER)
@@ -924,6 +941,16 @@ def g1(spark, sf):
     return ground_truth.append_chains(fx.turn_actions(spark, sf)).select("assertion_id", "sequence", "event_id", "prior_event_hash")
 
 
+@query("g1_append", ORACLES["g1_event_chains"])
+def g1_append(spark, sf):
+    """The same chains in two calls: each conversation's first two turns, then the rest."""
+    actions = fx.turn_actions(spark, sf)
+    chains = ground_truth.ChainStore(spark, work_folder(spark, "chains"))
+    chains.append(actions.where(F.col("sequence") < 2))
+    chains.append(actions.where(F.col("sequence") >= 2))
+    return chains.events().select("assertion_id", "sequence", "event_id", "prior_event_hash")
+
+
 @query(
     "g2_chain_check",
     "SELECT 'assertion-' || conv_id AS assertion_id, n + 1 AS sequence, 'prior_hash_mismatch' AS problem FROM "
@@ -1288,31 +1315,29 @@ def n3(spark, sf):
 # -- streaming -----------------------------------------------------------------------
 
 
+_MOST = "(SELECT max(CASE WHEN event_type IN ('signup', 'click') THEN ts ELSE ts + INTERVAL 90 SECOND END) FROM events) - INTERVAL 10 MINUTE"
+_CLICKED = "(SELECT max(ts + INTERVAL 2 HOUR) FROM events WHERE event_type = 'click') - INTERVAL 10 MINUTE"
+
+
 @query(
     "w1_journal_follow",
-    "WITH ev AS (SELECT event_id, ts, event_type, ts + INTERVAL 1 HOUR < (SELECT least(max(ts), max(CASE event_type WHEN 'signup' THEN NULL "
-    "WHEN 'click' THEN ts + INTERVAL 2 HOUR ELSE ts + INTERVAL 90 SECOND END)) - INTERVAL 10 MINUTE FROM events) AS given_up FROM events) "
-    "SELECT event_id AS attempt_id, CASE WHEN event_type NOT IN ('signup', 'click') THEN event_type WHEN given_up THEN 'indeterminate' END AS streamed, "
-    "CASE WHEN event_type <> 'signup' THEN event_type WHEN given_up THEN 'indeterminate' ELSE 'open' END AS state FROM ev",
+    f"WITH ev AS (SELECT event_id, event_type, ts + INTERVAL 1 HOUR <= {_MOST} AS given_up, ts + INTERVAL 1 HOUR <= greatest({_MOST}, coalesce({_CLICKED}, {_MOST})) AS given_up_later FROM events) "
+    "SELECT event_id::VARCHAR AS attempt_id, CASE WHEN event_type <> 'signup' THEN event_type WHEN given_up_later THEN 'indeterminate' ELSE 'open' END AS state, "
+    "CASE event_type WHEN 'signup' THEN CASE WHEN given_up_later THEN 2 ELSE 1 END WHEN 'click' THEN CASE WHEN given_up THEN 3 ELSE 2 END ELSE 1 END::INT AS changes, "
+    "event_type = 'click' AND given_up AS corrected FROM ev",
 )
 def w1(spark, sf):
-    """Every event is an attempt: sign-ups never finish and clicks finish too late for the stream."""
-
-    def parts(events):
-        started = events.select(F.col("event_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("started_ts"))
-        wait = F.when(F.col("event_type") == "click", F.expr("interval 2 hours")).otherwise(F.expr("interval 90 seconds"))
-        finished = events.where(F.col("event_type") != "signup").select(
-            F.col("event_id").alias("attempt_id"), (F.col("ts").cast("timestamp") + wait).alias("finished_ts"),
-            F.col("event_type").alias("outcome"),
-        )
-        return started, finished
-
-    stored = fx.table(spark, sf, "events")
-    stream = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    path = work_folder(spark, "follow")
-    followed = journal_follow.follow_attempts(*parts(stream)).select("attempt_id", "state")
-    journal_follow.drain(followed, path, work_folder(spark, "follow-checkpoint"))
-    out = stores.read_table(spark, path, followed.schema)
-    return journal_follow.settled(*parts(stored), out).join(
-        out.select("attempt_id", F.col("state").alias("streamed")), "attempt_id", "left"
-    ).select("attempt_id", "streamed", "state")
+    """Every event is an attempt; sign-ups never finish, and clicks finish in a part of the journal that comes later."""
+    rows = fx.table(spark, sf, "events").select(F.col("event_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    late = F.col("event_type") == "click"
+    wait = F.when(late, F.expr("interval 2 hours")).otherwise(F.expr("interval 90 seconds"))
+    starts = rows.select("attempt_id", F.lit("attempt_started").alias("kind"), F.col("ts").alias("event_ts"), F.lit(None).cast("string").alias("outcome"))
+    finishes = lambda which: rows.where(which).select(
+        "attempt_id", F.lit("attempt_finished").alias("kind"), (F.col("ts") + wait).alias("event_ts"), F.col("event_type").alias("outcome")
+    )
+    folder, path, checkpoint = (work_folder(spark, f"follow-{n}") for n in ("journal", "changes", "checkpoint"))
+    for part in (starts.unionByName(finishes(~late & (F.col("event_type") != "signup"))), finishes(late)):
+        stores.append_journal(part, folder)
+        stream = spark.readStream.schema(part.schema).parquet(folder)
+        journal_follow.drain(journal_follow.follow_journal(stream), path, checkpoint)
+    return journal_follow.latest_states(stores.read_table(spark, path, journal_follow.CHANGES))

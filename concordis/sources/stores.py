@@ -50,7 +50,7 @@ def _to_stored(value: Column, data_type: T.DataType) -> Column:
 
 
 def _parsed(schema) -> T.StructType:
-    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType(list(schema))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:

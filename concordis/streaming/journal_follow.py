@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def follow_attempts(starts: DataFrame, finishes: DataFrame, patience: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -26,42 +29,97 @@ def follow_attempts(starts: DataFrame, finishes: DataFrame, patience: str = "1 h
     )
 
 
-def open_attempts(starts: DataFrame, followed: DataFrame) -> DataFrame:
-    """Stored starts that the stream has put nothing out for: still waiting, or behind the watermark."""
-    seen = followed.select("attempt_id").distinct()
-    return starts.join(seen, "attempt_id", "left_anti").withColumn("state", F.lit("open"))
+class _Attempt(StatefulProcessor):
+    """One attempt's life: open, then its outcome or ``indeterminate``, then perhaps a correction."""
+
+    def __init__(self, patience_ms: int, retention_ms: int):
+        self.patience_ms, self.retention_ms = patience_ms, retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "started_ms long, changes int, state string, until_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        started, changes, state, until = self.seen.get() if self.seen.exists() else (None, 0, None, None)
+        arrived = sorted(rows, key=lambda r: (r.at_ms, r.kind != "attempt_started"))
+        starts = [r.at_ms for r in arrived if r.kind == "attempt_started"]
+        finishes = [r for r in arrived if r.kind == "attempt_finished"]
+        if started is None and starts:
+            started = starts[0]
+        before = state
+        if finishes:
+            # Of several finishes the one that arrives last counts, as in the stored journal.
+            state = finishes[-1].outcome
+        elif state is None and started is not None:
+            state = "open"
+        if started is not None and state is not None and (state != before or not changes):
+            changes += 1
+            yield Row(attempt_id=key[0], state=state, change_no=changes, at_ms=arrived[-1].at_ms, correction=before == "indeterminate")
+        due = (started if state == "open" else arrived[-1].at_ms) + (self.patience_ms if state == "open" else self.retention_ms)
+        if until is not None and due != until:
+            self.handle.deleteTimer(until)
+        if until != due:
+            self.handle.registerTimer(due)
+        self.seen.update((started, changes, state, due))
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        started, changes, state, _ = self.seen.get()
+        if state != "open":
+            self.seen.clear()
+            return
+        due = expiredTimerInfo.getExpiryTimeInMs() + self.retention_ms
+        self.handle.registerTimer(due)
+        self.seen.update((started, changes + 1, "indeterminate", due))
+        yield Row(
+            attempt_id=key[0], state="indeterminate", change_no=changes + 1, at_ms=expiredTimerInfo.getExpiryTimeInMs(), correction=False
+        )
+
+    def close(self) -> None:
+        pass
 
 
-def corrections(starts: DataFrame, finishes: DataFrame, followed: DataFrame) -> DataFrame:
-    """Attempts whose stored finish the stream did not take, with their true outcome.
+CHANGES = "attempt_id string, state string, change_no int, at_ms long, correction boolean"
 
-    The stream drops a finish that comes after ``patience`` or behind the watermark; the journal
-    keeps it.  Laid over what the stream put out, these rows give what the whole journal says.
+
+def follow_journal(
+    events: DataFrame, patience_ms: int = 3_600_000, retention_ms: int = 7 * 86_400_000, lateness: str = "10 minutes"
+) -> DataFrame:
+    """State changes of every attempt, as rows put out while the journal grows.
+
+    ``events`` has attempt_id, kind (``attempt_started`` or ``attempt_finished``), event_ts and outcome.  A start
+    gives ``open``.  Without a finish ``patience_ms`` later an event-time timer gives
+    ``indeterminate``; a finish gives its outcome, and one that follows ``indeterminate`` (or that replaces
+    another outcome) is a correction of it.  The time column is not kept as such, so rows behind the
+    watermark are not dropped: they correct what was put out.  State goes ``retention_ms`` of event time
+    after the last change.  A finish that arrives before its start waits for it.
+
+    Use ``drain``, which keeps the state in RocksDB, outside the heap.
     """
-    taken = followed.where(F.col("state") != "indeterminate").select("attempt_id").distinct()
-    return (
-        finishes.join(starts.select("attempt_id", "started_ts"), "attempt_id")
-        .join(taken, "attempt_id", "left_anti")
-        .select("attempt_id", "started_ts", "finished_ts", F.col("outcome").alias("state"))
+    timed = events.withWatermark("event_ts", lateness).select(
+        F.col("attempt_id").cast("string").alias("attempt_id"), "kind", F.unix_millis("event_ts").alias("at_ms"), "outcome"
+    )
+    return timed.groupBy("attempt_id").transformWithState(
+        _Attempt(patience_ms, retention_ms), CHANGES, outputMode="append", timeMode="EventTime"
     )
 
 
-def settled(starts: DataFrame, finishes: DataFrame, followed: DataFrame) -> DataFrame:
-    """One state for each stored start: the stream's, its correction, or ``open``."""
-    late = corrections(starts, finishes, followed).select("attempt_id", F.col("state").alias("late_state"))
-    streamed = followed.select("attempt_id", F.col("state").alias("stream_state"))
-    return (
-        starts.select("attempt_id")
-        .join(streamed, "attempt_id", "left")
-        .join(late, "attempt_id", "left")
-        .select("attempt_id", F.coalesce("late_state", "stream_state", F.lit("open")).alias("state"))
+def latest_states(changes: DataFrame) -> DataFrame:
+    """One row per attempt of what the stream put out: its last state, the number of changes, whether it was corrected."""
+    return changes.groupBy("attempt_id").agg(
+        F.max_by("state", "change_no").alias("state"), F.max("change_no").alias("changes"), F.bool_or("correction").alias("corrected")
     )
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything available now, appending to a Parquet table."""
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    """Process everything available now, appending to a Parquet table; state is kept in RocksDB."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set(name, before)

@@ -29,3 +29,31 @@ def test_starts_without_finish_become_indeterminate(spark, tmp_path):
     later = arrive([("z", at(300))], [("b", at(6), "timeout"), ("y", at(300), "timeout")])
     assert ("b", "timeout") in later and ("c", "indeterminate") in later
     assert len([x for x in later if x[0] == "b"]) == 1 and not [x for x in later if x[0] == "z"]
+
+
+EVENTS = "attempt_id string, kind string, event_ts timestamp, outcome string"
+
+
+def test_changes_and_corrections_come_from_the_stream(spark, tmp_path):
+    journal, out, checkpoint = (str(tmp_path / n) for n in ("journal", "changes", "checkpoint"))
+    start = lambda a, m: (a, "attempt_started", at(m), None)
+    finish = lambda a, m, o: (a, "attempt_finished", at(m), o)
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(journal)
+        # Every call starts a new query from the checkpoint.
+        stream = journal_follow.follow_journal(spark.readStream.schema(EVENTS).parquet(journal), retention_ms=10 * 3_600_000)
+        journal_follow.drain(stream, out, checkpoint)
+        changes = spark.read.schema(journal_follow.CHANGES).parquet(out)
+        return {r.attempt_id: (r.state, r.changes, r.corrected) for r in journal_follow.latest_states(changes).collect()}
+
+    first = arrive(start("a", 0), start("b", 1), finish("b", 3, "timeout"), start("c", 2), finish("d", 2, "early"))
+    assert first == {"a": ("open", 1, False), "b": ("timeout", 1, False), "c": ("open", 1, False)}
+    # Time moves on: a and c run out of patience; the start of d comes after its finish.
+    later = arrive(start("d", 1), start("z", 200))
+    assert later["a"] == later["c"] == ("indeterminate", 2, False) and later["d"] == ("early", 1, False) and later["z"][0] == "open"
+    # The finish of a, far behind the watermark, corrects; one that says the same again changes nothing.
+    last = arrive(finish("a", 5, "response_received"), finish("b", 3, "timeout"), finish("z", 210, "timeout"))
+    assert last["a"] == ("response_received", 3, True) and last["b"] == ("timeout", 1, False) and last["z"] == ("timeout", 2, False)
+    # State is dropped in the end; what was put out stays.
+    assert arrive(start("y", 5000))["c"] == ("indeterminate", 2, False)
