@@ -35,6 +35,7 @@ from concordis.llm.common import saved, table, whole
 from concordis.session import work_folder
 
 ARCHIVE_BYTES = 64 << 20
+MOST_TASKS = 20_000
 READ_BYTES = 1 << 16
 _END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -172,7 +173,20 @@ def records(stream):
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _shared(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: executors' own file systems need not be what Spark takes for the default one."""
+    if ":/" in folder:
+        return folder
+    default = spark.conf.get("spark.hadoop.fs.defaultFS", None)
+    if default:
+        return f"{default.rstrip('/')}/{folder.lstrip('/')}"
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name its file system, as in hdfs://host/folder")
+    return f"file://{folder}"
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -228,7 +242,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return archives.repartition("archive").mapInArrow(run, _READ)
+    # A list of names is tiny, whatever lies behind them, so the number of tasks is stated.
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    return archives.repartition(tasks, "archive").mapInArrow(run, _READ)
 
 
 def with_references(pages: DataFrame) -> DataFrame:
@@ -251,7 +267,7 @@ def with_references(pages: DataFrame) -> DataFrame:
 
 def archive_and_read(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages, read all archives, and give each record the length of its full payload."""
-    folder = work_folder(pages.sparkSession, "warc")
+    folder = _shared(pages.sparkSession, work_folder(pages.sparkSession, "warc"))
     found = saved(read_archives(write_archives(with_references(pages), folder, archive_bytes), folder), "records")
     # A revisit's payload is that of the response it names; both must state the same digest.
     answers = found.where("record_type = 'response' AND page_id IS NOT NULL").select(

@@ -95,3 +95,17 @@ def test_empty_table(spark):
 def test_url_longer_than_a_megabyte():
     data = warc.record(1, "http://a/" + " é" * 600_000, b"body", None) + warc.record(2, "b", b"other", None)
     assert len(list(warc.records(io.BytesIO(data)))) == 2
+
+
+def test_every_archive_may_have_a_reader_of_its_own(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(uuid(), 20) AS html", "CAST(NULL AS LONG) AS refers_to")
+    folder = f"file://{tmp_path}/archives"
+    archives = warc.write_archives(pages.repartition(8), folder, archive_bytes=8_000)
+    count = archives.count()
+    read = warc.read_archives(archives, folder)
+    tasks = read.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert count > 20 and read.count() == 400 and read.rdd.getNumPartitions() == count and tasks > count / 2
+
+
+def test_a_folder_without_scheme_is_not_guessed(spark):
+    assert warc._shared(spark, "hdfs://host/x") == "hdfs://host/x" and warc._shared(spark, "/x") == "file:///x"
