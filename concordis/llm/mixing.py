@@ -30,7 +30,9 @@ WEIGHTS = (5, 2, 1)
 RATIO = 1.5
 LIMIT = 2
 BLOCK_WORDS = 256
+BLANK = "[\\x20\\x09-\\x0D]*"
 SHARD_SLOTS = 4096
+TASK_ROWS, MOST_TASKS = 200_000, 20_000
 SEED = 20250101
 
 #: A source as two columns that are never null; the null source comes last.
@@ -106,7 +108,8 @@ def plan_slots(sources: DataFrame, block_words: int, seed: int = SEED) -> DataFr
     )
     own, short = _place(F.col("passes"), F.col("block"), seed), _place(F.col("passes"), F.col("blocks") - 1, seed)
     earlier = (own < short) | ((own == short) & (F.col("block") < F.col("blocks") - 1))
-    ranks = _counted(plans, "blocks", "block").groupBy(*SOURCE).agg(F.count_if(earlier).alias("short_rank"))
+    total = plans.agg(F.sum("blocks")).first()[0]
+    ranks = _counted(plans, "blocks", "block", total).groupBy(*SOURCE).agg(F.count_if(earlier).alias("short_rank"))
     lacking = F.col("blocks") * block_words - F.col("source_size")
     full = F.ceil(F.col("rest") / block_words).cast("long")
     most = F.ceil((F.col("rest") + lacking) / block_words).cast("long")
@@ -120,20 +123,24 @@ def plan_slots(sources: DataFrame, block_words: int, seed: int = SEED) -> DataFr
     )
 
 
-def _counted(sources: DataFrame, count: str, name: str) -> DataFrame:
-    """Rows 0 to count-1 of each source, dealt out in runs so that no row lists more than 10,000."""
-    run = 10_000
+def _counted(sources: DataFrame, count: str, name: str, total: int | None) -> DataFrame:
+    """Rows 0 to count-1 of each source, dealt out in runs so that no row lists more than 10,000.
+
+    The runs are few and short, so the number of tasks is stated: one for every ``TASK_ROWS`` of all ``total`` rows.
+    """
+    run, tasks = 10_000, max(1, min(-(-(total or 0) // TASK_ROWS), MOST_TASKS))
     runs = sources.where(F.col(count) > 0).select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / run))).alias("run_no")
     )
     ends = F.least((F.col("run_no") + 1) * run, F.col(count)) - 1
-    return runs.repartition(*SOURCE, "run_no").select("*", F.explode(F.sequence(F.col("run_no") * run, ends)).alias(name)).drop("run_no")
+    return runs.repartition(tasks, *SOURCE, "run_no").select("*", F.explode(F.sequence(F.col("run_no") * run, ends)).alias(name)).drop("run_no")
 
 
 def draw_counts(plans: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """Multinomial counts: slots of each source in each shard, with the first slot's number."""
     shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_slots)).cast("long")
-    drawn = _counted(plans.select(*SOURCE, "slots", shards.alias("shards")), "slots", "draw")
+    total = plans.agg(F.sum("slots")).first()[0]
+    drawn = _counted(plans.select(*SOURCE, "slots", shards.alias("shards")), "slots", "draw", total)
     shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), *SOURCE, "draw"), F.col("shards"))
     counts = drawn.groupBy(*SOURCE, shard.alias("shard")).agg(F.count(F.lit(1)).alias("slot_count"))
     # The shards of one source are few: one for every ``shard_slots`` slots of the output.
@@ -144,7 +151,8 @@ def draw_counts(plans: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SE
 def assign_blocks(plans: DataFrame, counts: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """Every slot's shard, pass, block and number of words taken from the block's front."""
     passes = plans.withColumn("all_passes", F.ceil(F.col("slots") / F.col("blocks")).cast("long"))
-    blocks = _counted(passes, "blocks", "block").select(
+    sizes = plans.agg(F.sum("blocks"), F.sum("slots")).first()
+    blocks = _counted(passes, "blocks", "block", sizes[0]).select(
         *SOURCE, "blocks", "slots", "last_words", "block",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_passes") - 1)).alias("pass_no"),
     )
@@ -154,7 +162,7 @@ def assign_blocks(plans: DataFrame, counts: DataFrame, block_words: int = BLOCK_
         F.when(F.col("pass_no") * F.col("blocks") + F.col("row_no") == F.col("slots") - 1, F.col("last_words"))
         .otherwise(F.lit(block_words)).alias("block_limit"),
     )
-    slots = _counted(counts, "slot_count", "at").select(*SOURCE, "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
+    slots = _counted(counts, "slot_count", "at", sizes[1]).select(*SOURCE, "shard", (F.col("first_slot") + F.col("at")).alias("slot"))
     # Both sides are as long as the output, whatever a planner makes of the few rows they spring from.
     return ranked.join(slots.hint("merge"), [*SOURCE, "slot"])
 
@@ -189,7 +197,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, limit=LIMIT, block_words=
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture as documents: one row for each pass in which words of a row were taken.
 
-    A row taken whole keeps its text; of others the taken words are kept, in order, joined by spaces.
+    A row taken whole keeps its text; of others the taken words are kept, in order, each with the white space after
+    it, but for the last one's.  Neighbouring words stay as they stood.
     """
     _, _, pieces = mix(docs, **options)
     key = ("doc_id", "text_hash", *SOURCE)
@@ -211,10 +220,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     for c in key:
         same = same & F.col(c).eqNullSafe(F.col(f"taken_{c}"))
     exploded = once.join(renamed, same).select(*columns, F.explode("takes").alias("take"))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    cut = F.array_join(
-        F.flatten(F.transform("take.ranges", lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), r["words"].cast("int")))), " "
-    )
+    words = F.regexp_extract_all("text", F.lit(f"({WORD}{BLANK})"), F.lit(1))
+    parts = F.flatten(F.transform("take.ranges", lambda r: F.slice(words, (r["from_word"] + 1).cast("int"), r["words"].cast("int"))))
+    cut = F.rtrim(F.array_join(parts, ""), F.lit(" \t\n\x0b\f\r"))
     out = exploded.withColumn("text", F.when(F.col("take.complete"), F.col("text")).otherwise(cut))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 

@@ -112,6 +112,28 @@ def test_mixed_documents(mixed):
         assert any(not Counter(r.text.split()) - h for h in have)
 
 
+def test_white_space_inside_a_take_stays(documents):
+    rng = np.random.default_rng(8)
+    texts = ["".join(f"w{k}" + rng.choice([" ", "\n", "\t\t", " \r\n", "\x0b"]) for k in range(int(rng.integers(1, 60)))) for _ in range(40)]
+    out = mixing.mixed_documents(documents([(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts)]), block_words=7, shard_slots=8).collect()
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)
+    partial = 0
+    for r in out:
+        own = iter(cut(texts[r.doc_id]))
+        *body, last = cut(r.text)
+        assert all(any(piece == o for o in own) for piece in body) and any(o.startswith(last) for o in own)
+        partial += r.text != texts[r.doc_id]
+    assert partial > 5
+
+
+def test_blocks_are_made_by_many_tasks(spark, documents):
+    _, sources, _ = mixing.mix(documents([(1, "a b c", "en", "s")]))
+    wide = sources.withColumn("blocks", F.lit(3_000_000).cast("long"))
+    made = mixing._counted(wide, "blocks", "block", 3_000_000)
+    tasks = made.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert sum(r["count"] for r in tasks) == 3_000_000 and len(tasks) >= 12 and max(r["count"] for r in tasks) < 1_000_000
+
+
 def test_odd_rows(documents, odd_texts):
     rows, sources, pieces = mixing.mix(documents(odd_texts), block_words=8)
     assert rows.count() == len(odd_texts)
