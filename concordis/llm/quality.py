@@ -15,8 +15,9 @@ probabilities of its own n-grams back, next to its texts, where they are summed
 
 Trusted texts are the labelled documents of good quality that are not toxic.  A hash of the id puts one in
 ``HOLD_OUT`` aside: those do not train the model but set the thresholds.  Each language's threshold is the
-``KEEP`` quantile of its held-out texts' log perplexity (by histogram with bins of ``BIN``, whatever their
-number), plus ``MARGIN``; languages with fewer than ``LEAST`` of them use the quantile over all.
+``KEEP`` quantile of its held-out texts' log perplexity (by histogram with bins of ``BIN``), plus ``MARGIN``.  To each
+language's texts ``PRIOR`` more are added that are spread as those of all languages, by one formula for any number of
+texts: few texts lean on all languages, many speak for themselves, and a language without any has the quantile over all.
 
 A document is kept if its log perplexity (nats per symbol) is at most the threshold.
 
@@ -31,8 +32,9 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordis.llm.common import DOCUMENT_COLUMNS, saved, slices, table, whole
@@ -43,7 +45,7 @@ HOLD_OUT = 5
 KEEP = 0.995
 BIN = 0.002
 MARGIN = 0.05
-LEAST = 50
+PRIOR = 50
 CHUNK = 1 << 20
 #: Code points there are; characters of a slice of documents.
 POINTS = 0x110000
@@ -345,25 +347,27 @@ def _scored(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFr
     return saved(scores, "scores")
 
 
-def thresholds(scores: DataFrame, keep: float = KEEP, margin: float = MARGIN, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, threshold) of languages with enough held-out texts, and the one over all."""
+def thresholds(scores: DataFrame, keep: float = KEEP, margin: float = MARGIN, prior: float = PRIOR) -> tuple[DataFrame, float]:
+    """(lang, threshold) of the languages with held-out texts, and the threshold of any other language."""
     bins = scores.where(F.col("log_perplexity").isNotNull()).select("lang", F.ceil(F.col("log_perplexity") / BIN).alias("bin"))
+    counted = saved(bins.groupBy("lang", "bin").count(), "bins")
+    # Log perplexity is at most the log of the least probability, so the number of bins is bounded.
+    overall = counted.groupBy("bin").agg(F.sum("count").alias("count")).orderBy("bin").collect()
+    every = np.array([r["bin"] for r in overall], dtype=np.int64)
+    share = np.array([r["count"] for r in overall], dtype=float)
+    share = share / share.sum() if len(share) else share
 
-    def quantile(keys):
-        counted = bins.groupBy(*keys, "bin").count()
-        up_to = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        # The bins of a language are bounded: log perplexity is at most the log of the smallest probability.
-        placed = counted.withColumns(
-            {"seen": F.sum("count").over(up_to), "total": F.sum("count").over(Window.partitionBy(*keys))}
-        )
-        return (
-            placed.where(F.col("seen") >= F.col("total") * keep)
-            .groupBy(*keys)
-            .agg((F.min("bin") * BIN + margin).alias("threshold"), F.max("total").alias("total"))
-        )
+    def quantile(weights: np.ndarray) -> float:
+        reached = np.cumsum(weights) >= keep * weights.sum() * (1 - 1e-12)
+        return float(every[reached][0] * BIN + margin)
+
+    def blended(rows: pd.DataFrame) -> pd.DataFrame:
+        weights = prior * share
+        weights[np.searchsorted(every, rows["bin"])] += rows["count"]
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "threshold": [quantile(weights)]})
 
-    by_language = quantile(["lang"]).where(F.col("total") >= least).select("lang", "threshold")
-    return by_language, quantile([]).where(F.col("total") > 0).select("threshold")
+    by_language = counted.groupBy("lang").applyInPandas(blended, "lang string, threshold double")
+    return by_language, quantile(share) if len(share) else float("inf")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]] | None:
@@ -374,15 +378,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[tuple[DataFrame, DataFrame]]
     return train_points(rows.join(known.hint("merge"), "doc_id", "left_semi"))
 
 
-def _limits(scores: DataFrame, labels: DataFrame) -> dict:
-    """Thresholds by language, from the scores of the trusted documents set aside."""
+def _judged(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores with their language's threshold, from the trusted documents set aside, and ``kept``."""
     known = trusted_ids(labels).where("held_out").select("doc_id")
-    by_language, overall = thresholds(scores.join(known, "doc_id", "left_semi"))
-    everywhere = overall.first()
-    return {
-        "all": everywhere["threshold"] if everywhere else float("inf"),
-        "by": {r["lang"]: r["threshold"] for r in by_language.collect()},  # one row per language
-    }
+    by_language, elsewhere = thresholds(scores.join(known, "doc_id", "left_semi"))
+    own = saved(by_language, "thresholds").withColumnsRenamed({"lang": "known_lang", "threshold": "own"})
+    return (
+        scores.join(own, F.col("lang").eqNullSafe(F.col("known_lang")), "left")
+        .withColumn("threshold", F.coalesce("own", F.lit(elsewhere)))
+        .withColumn("kept", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(False)))
+    )
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -395,15 +400,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             "doc_id", "lang", none.alias("log_perplexity"), none.alias("threshold"),
             (F.length(whole(F.col("text"))) > 0).alias("kept"),
         )
-    scores = _scored(rows, model)
-    limits = _limits(scores, labels)
-    own = docs.sparkSession.createDataFrame(list(limits["by"].items()), "known_lang string, own double")
-    joined = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("known_lang")), "left")  # one row per language
-    threshold = F.coalesce("own", F.lit(limits["all"]))
-    return joined.select(
-        "doc_id", "lang", "log_perplexity", threshold.alias("threshold"),
-        F.coalesce(F.col("log_perplexity") <= threshold, F.lit(False)).alias("kept"),
-    )
+    return _judged(_scored(rows, model), labels).select("doc_id", "lang", "log_perplexity", "threshold", "kept")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -412,12 +409,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(*DOCUMENT_COLUMNS)
     if model is None:
         return rows.where(F.length("text") > 0)
-    scores = _scored(docs, model)
-    limits = _limits(scores, labels)
-    own = docs.sparkSession.createDataFrame(list(limits["by"].items()), "known_lang string, own double")
-    judged = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("known_lang")), "left")  # one row per language
-    good = F.coalesce(F.col("log_perplexity") <= F.coalesce("own", F.lit(limits["all"])), F.lit(False))
-    left_out = judged.where(~good).select(
+    left_out = _judged(_scored(docs, model), labels).where(~F.col("kept")).select(
         F.col("doc_id").alias("out_id"), F.col("lang").alias("out_lang"), F.col("text_hash").alias("out_hash")
     ).distinct()
     same = (

@@ -95,11 +95,26 @@ def test_contradicting_labels_are_not_trusted(corpus):
 
 
 def test_thresholds_are_quantiles(spark):
-    rows = [("en", i / 1000) for i in range(1, 1001)] + [("fr", 5.0)] * 3 + [("en", None)]
-    by_language, overall = q.thresholds(spark.createDataFrame(rows, "lang string, log_perplexity double"), keep=0.9, margin=0.0)
-    found = {r.lang: r.threshold for r in by_language.collect()}
-    assert found == {"en": pytest.approx(0.9, abs=0.003)}
-    assert overall.first().threshold == pytest.approx(0.904, abs=0.003)
+    rows = [("en", i / 1000) for i in range(1, 1001)] + [("fr", 5.0)] * 3 + [(None, 0.5)] + [("en", None)]
+    frame = spark.createDataFrame(rows, "lang string, log_perplexity double")
+
+    def plain(lang, keep, prior):
+        known = [v for _, v in rows if v is not None]
+        weights = sorted([(v, 1.0) for n, v in rows if n == lang and v is not None] + [(v, prior / len(known)) for v in known])
+        total = sum(w for _, w in weights)
+        up_to = 0.0
+        for value, weight in weights:
+            up_to += weight
+            if up_to >= keep * total * (1 - 1e-12):
+                return value
+
+    for keep, prior in ((0.9, 50), (0.995, 50), (0.9, 2), (0.5, 500)):
+        by_language, elsewhere = q.thresholds(frame, keep=keep, margin=0.0, prior=prior)
+        found = {r.lang: r.threshold for r in by_language.collect()}
+        assert found == {n: pytest.approx(plain(n, keep, prior), abs=0.003) for n in ("en", "fr", None)}
+        assert elsewhere == pytest.approx(plain("none of them", keep, prior), abs=0.003)
+    none, elsewhere = q.thresholds(frame.where("log_perplexity > 9"))
+    assert none.collect() == [] and elsewhere == float("inf")
 
 
 def test_odd_rows(spark, documents, odd_texts):
