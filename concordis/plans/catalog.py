@@ -93,9 +93,22 @@ def s4(spark, sf):
     return stores.read_table(spark, path, events.schema).select("journal_seq", "attempt_id")
 
 
-@query("s5_corpus_scan")
+_SUFFIXES = (".png", ".JPG", ".Tiff", ".txt", "")
+
+
+@query(
+    "s5_corpus_scan",
+    "SELECT regexp_replace(url, '^https?://', '') || '-' || page_id || ['.png', '.JPG', '.Tiff'][(page_id % 5 + 1)::INT] AS dataset_item_id, length(html)::BIGINT AS length "
+    "FROM pages WHERE page_id % 5 < 3 AND page_id % 2 = 0",
+)
 def s5(spark, sf):
-    return corpus.scan_corpus(spark, sf, suffixes=(".parquet",)).select("dataset_item_id", "length")
+    """Listed paths of all pages, of which three suffixes in five are accepted and every second item is asked for."""
+    pages = fx.table(spark, sf, "pages")
+    suffix = F.get(F.array(*[F.lit(x) for x in _SUFFIXES]), F.pmod("page_id", F.lit(5)).cast("int"))
+    item = F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("-"), F.col("page_id").cast("string"), suffix)
+    listed = pages.select(F.concat(F.lit("file:///corpus/in/"), item).alias("path"), F.length("html").cast("long").alias("length"))
+    wanted = pages.where(F.pmod("page_id", F.lit(2)) == 0).select(item.alias("dataset_item_id"))
+    return corpus.accepted(listed, "file:/corpus/in", only=wanted).select("dataset_item_id", "length")
 
 
 _FILES = (
@@ -1181,6 +1194,34 @@ def c3_scores(spark, sf):
     return _fused_observations(spark, sf).select("subject_id", "cer", "wer", "consensus_entropy")
 
 
+_VARIED_CHARS = {
+    "cer": "round((CASE WHEN kind = 3 THEN o ELSE 0 END)::DOUBLE / nullif(length(text), 0), 9)", "reference_length_chars": "length(text)::BIGINT",
+    "char_insertions": "(CASE WHEN kind = 3 THEN o ELSE 0 END)::BIGINT",
+    "wer": f"round((CASE WHEN kind = 3 THEN len(list_filter({sql.words('text')}, lambda w: contains(w, 'o'))) ELSE 0 END)::DOUBLE / nullif(len({sql.words('text')}), 0), 9)",
+    "word_substitutions": f"(CASE WHEN kind = 3 THEN len(list_filter({sql.words('text')}, lambda w: contains(w, 'o'))) ELSE 0 END)::BIGINT",
+}
+
+
+@query(
+    "c3_varied_scores",
+    _VARIED + "SELECT evaluation_unit_id, " + ", ".join(f"{v} AS {n}" for n, v in _VARIED_CHARS.items())
+    + ", sha256(fused) AS hypothesis_text_sha256, round(ce, 9) AS consensus_entropy FROM art",
+)
+def c3_varied(spark, sf):
+    """Fused texts of members with insertions, deletions and ties, scored against the documents."""
+    a = al.materialized(al.align(fx.varied_documents(spark, sf)))
+    pairs = (
+        al.fused_texts(a).select(*UNIT, F.col("fused_text").alias("hypothesis_text"))
+        .join(al.consensus_entropy(a).select(*UNIT, "consensus_entropy"), list(UNIT))
+        .join(fx.documents(spark, sf).select(*UNIT, F.col("text").alias("gt_text"), F.lit("available").alias("gt_availability")), list(UNIT))
+    )
+    rows = scoring.compute_scores(pairs, ("evaluation_unit_id",))
+    return rows.select(
+        "evaluation_unit_id", F.round("cer", 9).alias("cer"), "reference_length_chars", "char_insertions", F.round("wer", 9).alias("wer"),
+        "word_substitutions", "hypothesis_text_sha256", F.round("consensus_entropy", 9).alias("consensus_entropy"),
+    )
+
+
 @query(
     "c4_observation_table",
     sql.with_(sql.GROUND_TRUTH, _ENTRIES, _SNAPSHOTS, sql.SCORES, _OBS) + f"{_MEMBER_FACTS} UNION ALL {_FUSED_FACTS}",

@@ -36,10 +36,12 @@ def scan_corpus(spark: SparkSession, root: str, suffixes=IMAGE_SUFFIXES, only: D
     ``content`` is read only where a later step uses it.  ``only`` restricts the scan to
     the listed ``dataset_item_id`` values.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .withColumn("dataset_item_id", item_id(F.col("path"), root))
-    )
+    return accepted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, suffixes, only)
+
+
+def accepted(files: DataFrame, root: str, suffixes=IMAGE_SUFFIXES, only: DataFrame | None = None) -> DataFrame:
+    """Of listed files (``path``) those with an accepted suffix, with their item ids."""
+    files = files.withColumn("dataset_item_id", item_id(F.col("path"), root))
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     found = files.where(suffix.isin(*suffixes))
     return found if only is None else found.join(only.select("dataset_item_id"), "dataset_item_id", "left_semi")
@@ -146,7 +148,7 @@ def evaluation_units(pages: DataFrame, settings: dict[str, str | None]) -> DataF
 
 
 # Bits per sample by colour mode; a fixed lookup.
-_MODE_BITS = {"1": 1, "L": 8, "LA": 8, "P": 8, "RGB": 8, "RGBA": 8, "I": 32, "F": 32}
+_MODE_BITS = {"1": 1, "L": 8, "LA": 8, "P": 8, "RGB": 8, "RGBA": 8}
 
 
 def decode_provenances(pages: DataFrame, decoder_id: str, decoder_version: str) -> DataFrame:
