@@ -13,6 +13,7 @@ from concordis.functions import text as txt
 from concordis.functions.edits import edit_counts, edit_distance
 from concordis.operators import alignment as al
 from concordis.operators import artifacts, budget, ground_truth, integrity, journal, manifest, report, scoring
+from concordis.plans import evaluation
 from concordis.plans import fixtures as fx
 from concordis.plans import sql
 from concordis.session import spread, work_folder
@@ -1353,6 +1354,71 @@ def n3(spark, sf):
     return report.report_lines(_summaries(spark, sf)).select("run_manifest_id", "subject_id", "line")
 
 
+# -- whole runs ----------------------------------------------------------------------
+
+
+def _evaluated(spark, sf):
+    """Run and root of an evaluation of all documents, and what names its units."""
+    inputs = fx.evaluation_inputs(spark, sf)
+    named, root = inputs.pop("named"), work_folder(spark, "run")
+    evaluation.evaluate(evaluation.RunInputs(**inputs), root, fx.CREATED_AT)
+    return root, inputs["manifests"].select("run_manifest_id"), named
+
+
+_MEMBER_EDITS = (
+    "read AS (SELECT *, unnest(range(5)) AS p FROM art), done AS (SELECT *, p < k AS tried, "
+    "CASE WHEN kind = 0 AND p = 1 OR kind = 3 AND p IN (1, 2, 3) THEN o WHEN kind = 0 AND p = 2 THEN 2 * o ELSE 0 END AS ci, "
+    "CASE WHEN kind = 1 AND p IN (1, 2) THEN e ELSE 0 END AS cs, "
+    "CASE WHEN p >= k THEN length(text) WHEN kind = 0 AND p = 3 OR kind = 2 AND p = 1 OR kind = 3 AND p = 4 THEN a ELSE 0 END AS cd FROM read)"
+)
+
+
+@query(
+    "run_evaluate",
+    _VARIED.rstrip() + f", {_MEMBER_EDITS} SELECT doc_id, 'page_model_result' AS subject_kind, p::INT AS ordinal, CASE WHEN tried THEN 'success' ELSE 'budget_refused' END AS outcome, "
+    "round(CASE WHEN length(text) = 0 THEN 0 ELSE (cs + ci + cd)::DOUBLE / length(text) END, 9) AS cer, cs::BIGINT AS char_substitutions, ci::BIGINT AS char_insertions, cd::BIGINT AS char_deletions, "
+    "NULL::DOUBLE AS consensus_entropy, NULL::INT AS eligible_hypothesis_count, CASE WHEN tried THEN '0.005' ELSE '0' END AS cost_usd, CASE WHEN tried THEN 5.0::DOUBLE ELSE 0 END AS latency_ms FROM done "
+    "UNION ALL SELECT doc_id, 'fused_hypothesis', NULL, 'success', round(CASE WHEN kind = 3 AND length(text) > 0 THEN o::DOUBLE / length(text) ELSE 0 END, 9), 0, CASE WHEN kind = 3 THEN o ELSE 0 END, 0, "
+    "round(ce, 9), k, regexp_replace((k * 0.005)::DECIMAL(18,6)::VARCHAR, '\\.?0+$', ''), k * 5.0 FROM art",
+)
+def run_evaluate(spark, sf):
+    """Everything from sealed files to the stored observations, for one run over all documents."""
+    root, _, named = _evaluated(spark, sf)
+    read = lambda name, record: stores.read_table(spark, f"{root}/{name}", ident.RECORD_TYPES[record].schema)
+    ordinals = (
+        read("page_model_results", "page_model_result").select(F.col("page_model_result_id").alias("subject_id"), "dispatch_intent_id")
+        .join(read("dispatch_intents", "dispatch_intent").select("dispatch_intent_id", F.col("ordinal").cast("int").alias("ordinal")), "dispatch_intent_id")
+    )
+    rows = read("benchmark_observations", "benchmark_observation").join(named, "evaluation_unit_id").join(ordinals.drop("dispatch_intent_id"), "subject_id", "left")
+    return rows.select(
+        "doc_id", "subject_kind", "ordinal", "outcome", F.round("cer", 9).alias("cer"), "char_substitutions", "char_insertions", "char_deletions",
+        F.round("consensus_entropy", 9).alias("consensus_entropy"), F.when(F.col("subject_kind") == "fused_hypothesis", F.col("eligible_hypothesis_count")).alias("eligible_hypothesis_count"),
+        money("attributed_cost_usd").alias("cost_usd"), F.col("attributed_latency_ms").alias("latency_ms"),
+    )
+
+
+@query(
+    "run_analyze",
+    _VARIED.rstrip() + f", {_MEMBER_EDITS}, shown AS (SELECT 'page_model_result' AS subject_kind, NULL::VARCHAR AS confidence_band, "
+    "CASE WHEN length(text) = 0 THEN 0 ELSE (cs + ci + cd)::DOUBLE / length(text) END AS cer FROM done UNION ALL SELECT 'fused_hypothesis', "
+    "CASE WHEN ce <= 0.1 THEN 'high_confidence' WHEN ce >= 0.3 THEN 'low_confidence' WHEN ce IS NOT NULL THEN 'medium_confidence' END, "
+    "CASE WHEN kind = 3 AND length(text) > 0 THEN o::DOUBLE / length(text) ELSE 0 END FROM art) "
+    "SELECT subject_kind, confidence_band, count(*) AS subjects, round(avg(cer), 6) AS mean_cer, 'pass' AS gate_status, 'complete' AS run_completion_status, "
+    "(SELECT 5 * count(*) FROM documents) AS expected_pair_count, (SELECT 5 * count(*) FROM documents) AS observed_result_count FROM shown GROUP BY ALL",
+)
+def run_analyze(spark, sf):
+    """The same run validated and analyzed: its gate, and its subjects by confidence band."""
+    root, runs, _ = _evaluated(spark, sf)
+    reports = evaluation.validate(spark, root, runs)
+    summaries, _ = evaluation.analyze(spark, root, reports, runs)
+    gate = reports.select("run_manifest_id", "gate_status", "run_completion_status", "expected_pair_count", "observed_result_count")
+    return (
+        summaries.join(gate, "run_manifest_id")
+        .groupBy("subject_kind", "confidence_band", *gate.columns[1:])
+        .agg(F.count(F.lit(1)).alias("subjects"), F.round(F.avg("cer"), 6).alias("mean_cer"))
+    )
+
+
 # -- streaming -----------------------------------------------------------------------
 
 

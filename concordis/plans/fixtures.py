@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordis.functions.identity import attempt_id
+from concordis.functions.identity import attempt_id, seal
+from concordis.operators import ground_truth, manifest
+from concordis.schemas import ATTEMPT_EVENTS
+from concordis.sources import corpus
+from concordis.sources.stores import stored
 
 CREATED_AT = "2026-01-01T00:00:00Z"
 
@@ -104,6 +108,99 @@ def varied_turns(spark, sf_dir) -> DataFrame:
     return varied(turns(spark, sf_dir), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)))
 
 
+_RUN_SETTINGS = (
+    "schema_version", "dataset_id", "dataset_version", "dataset_split_id", "config_snapshot_sha256", "taxonomy_registry_id",
+    "assessment_policy_id", "alignment_policy_id", "eligibility_policy_id", "fusion_policy_id", "metric_policy_id", "anomaly_policy_id",
+    "analysis_policy_id", "contamination_register_id", "pricing_registry_snapshot_id", "model_registry_snapshot_id",
+)
+
+
+def evaluation_inputs(spark, sf_dir) -> dict[str, DataFrame]:
+    """Sealed inputs and journals of one run over all documents with five members.
+
+    The members read what ``varied`` gives; those that a unit lacks were never dispatched.  The
+    approved ground truth is the document's own text.  Units name their document in ``doc_id`` of ``named``.
+    """
+    text = lambda value: F.lit(value).cast("string")
+    settings = {"dataset_id": "documents", "dataset_version": "1", "language": "en"}
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    item = F.concat(F.lit("D-COMP/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    header = F.unhex(F.lit("89504E470D0A1A0A0000000D4948445200000010000000200802000000"))
+    content = F.concat(header, F.encode("text", "UTF-8"))
+    files = docs.select(
+        F.concat(F.lit("file:/c/"), item).alias("path"), item.alias("dataset_item_id"), content.alias("content"),
+        F.length(content).cast("long").alias("length"),
+    )
+    pages = stored(corpus.source_pages(files, settings))
+    units = stored(corpus.evaluation_units(pages, settings))
+    variants = stored(corpus.input_variants(pages, units, corpus.decode_provenances(pages, "source", "1")))
+    roster = manifest.roster_members(
+        spark.range(5).select(
+            F.lit("run").alias("run_key"), F.col("id").cast("int").alias("position"), F.lit("e").alias("registry_entry_id"),
+            F.lit("member-model").alias("exact_model_id"), F.lit("local").alias("provider"), text(None).alias("router"),
+            F.lit("account").alias("billing_account_id"), F.lit("adapter").alias("adapter_id"), F.lit("1").alias("adapter_version"),
+            F.concat(F.lit("prompt-"), "id").alias("prompt_template_id"), F.lit("1" * 64).alias("prompt_sha256"),
+            F.create_map().cast("map<string,string>").alias("hyperparameters"),
+        )
+    )
+    in_key = lambda df: df.withColumn("run_key", F.lit("run"))
+    run_settings = spark.range(1).select(F.lit("run").alias("run_key")).withColumns(
+        {
+            **{c: text(c) for c in _RUN_SETTINGS}, "created_at": text(CREATED_AT), "corpus_evidence_kind": text("natural"),
+            "split_role": text("diagnostic"), "calibration_selection_id": text(None), "budget_policy": F.create_map(F.lit("run_ceiling_usd"), F.lit("1.00")),
+            "model_corpus_match": F.lit(False), "model_corpus_match_policy_id": text(None), "human_override_ids": F.array().cast("array<string>"),
+        }
+    )
+    run_units = in_key(variants).select("run_key", "evaluation_unit_id", "page_input_variant_id")
+    manifests = stored(manifest.run_manifests(run_settings, run_units, roster))
+    run_id = F.lit(manifests.head().run_manifest_id)
+    in_run = lambda df: df.withColumn("run_manifest_id", run_id)
+    intents = stored(manifest.dispatch_intents(in_run(variants), in_run(roster)))
+    named = stored(
+        units.join(pages.select("source_page_id", "dataset_item_id"), "source_page_id").select(
+            "evaluation_unit_id", F.regexp_extract("dataset_item_id", "([0-9]+)", 1).cast("long").alias("doc_id")
+        )
+    )
+    read = varied(
+        docs.join(named, "doc_id").withColumn("run_manifest_id", run_id), F.pmod("doc_id", F.lit(4))
+    ).select("evaluation_unit_id", F.col("position").alias("ordinal"), "text")
+    tried = intents.join(read, ["evaluation_unit_id", "ordinal"])
+    number, aid = F.xxhash64("dispatch_intent_id"), attempt_id(F.col("dispatch_intent_id"), F.lit(1))
+    started = tried.select(
+        "run_manifest_id", F.lit("attempt_started").alias("event_type"), "dispatch_intent_id", F.lit(1).alias("attempt_number"),
+        aid.alias("attempt_id"), number.alias("journal_seq"),
+    )
+    parsed = F.struct(
+        F.lit("transcription").alias("kind"), F.col("text"), F.lit("p").alias("parser_version"), F.lit(True).alias("complete")
+    )
+    finished = tried.select(
+        "run_manifest_id", F.lit("attempt_finished").alias("event_type"), aid.alias("attempt_id"), (number + 1).alias("journal_seq"),
+        F.lit("response_received").alias("outcome"), parsed.alias("parsed_output"), F.lit(5.0).alias("measured_duration_ms"),
+        F.struct(F.lit("reported").alias("availability"), F.lit("0.005").cast("decimal(18,6)").alias("value")).alias("actual_cost_usd"),
+    )
+    events = spark.createDataFrame([], ATTEMPT_EVENTS).withColumn("run_manifest_id", text(None))
+    events = events.unionByName(started, allowMissingColumns=True).unionByName(finished, allowMissingColumns=True)
+    claims = stored(
+        seal(
+            named.join(docs, "doc_id").select(
+                "evaluation_unit_id", F.lit("gold_full").alias("role"), F.lit("transcribable").alias("target_state"), "text",
+                F.lit("g").alias("guideline_id"), F.lit("s").alias("source"), F.lit("one").alias("author_actor_id"), F.lit(CREATED_AT).alias("created_at"),
+                text(None).alias("source_artifact_sha256"),
+            ),
+            "ground_truth_assertion",
+        )
+    )
+    actions = claims.select("assertion_id", F.posexplode(F.array(F.lit("submit"), F.lit("approve"))).alias("sequence", "action")).select(
+        "assertion_id", "sequence", "action", F.when(F.col("action") == "submit", "one").otherwise("two").alias("actor_id"),
+        F.lit("human_workflow").alias("event_source"), text(None).alias("approval_authorization_id"), text(None).alias("reason"),
+        text(None).alias("superseded_by_assertion_id"), F.lit(CREATED_AT).alias("created_at"),
+    )
+    return {
+        "manifests": manifests, "pages": pages, "units": units, "variants": in_run(variants), "roster": in_run(roster), "intents": intents,
+        "attempt_events": events, "assertions": in_run(claims), "gt_events": ground_truth.append_chains(actions), "named": named,
+    }
+
+
 def scored_texts(units: DataFrame) -> DataFrame:
     """Members whose edit counts have a closed form at character and word level."""
     return _hypotheses(
