@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from concordis.functions.text import hyperparameters_sha256
+from concordis.operators import scoring
 from concordis.operators.scoring import SCORES, compute_scores
 
 
@@ -37,3 +38,20 @@ def test_settings_digest_is_null_only_when_empty(spark):
     df = spark.createDataFrame([({},), ({"b": "1", "a": "it's"},)], "m map<string,string>")
     found = [r[0] for r in df.select(hyperparameters_sha256(F.col("m"))).collect()]
     assert found[0] is None and len(found[1]) == 64
+
+
+def test_subjects_without_their_inputs_are_found(spark):
+    results = spark.createDataFrame(
+        [("r", "u1", "v", "m1", "a"), ("r", "u1", "v", "m2", "b"), ("r", "u2", "v", "m1", "c"), ("s", "u1", "v", "m1", "d")],
+        "run_manifest_id string, evaluation_unit_id string, page_input_variant_id string, roster_member_config_id string, subject string",
+    )
+    context = spark.createDataFrame(
+        [("r", "u1", "v", 1)], "run_manifest_id string, evaluation_unit_id string, page_input_variant_id string, other int"
+    )
+    roster = spark.createDataFrame([("m1",), ("m1",)], "roster_member_config_id string")
+    found = {(r.run_manifest_id, r.subject, r.code, r.severity) for r in scoring.dropped_subjects(results, context, roster).collect()}
+    assert found == {
+        ("r", "b", "observation_without_roster_member", "fail"), ("r", "c", "observation_without_context", "fail"),
+        ("s", "d", "observation_without_context", "fail"),
+    }
+    assert {r.subject for r in scoring.dropped_subjects(results, context).collect()} == {"c", "d"}
