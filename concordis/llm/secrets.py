@@ -8,9 +8,14 @@ decoded by Viterbi over the whole text.  A text in which no token can gain from
 neighbours, has the all-O path as its best one and is not searched; the bound is exact.
 
 The field is trained by likelihood (forward-backward over stretches of ``STRETCH`` tokens) on about ``SAMPLE``
-documents, those of small id hash, labelled by the base patterns.  All their stretches with a secret take part, and
-every k-th of the others, counted k times, so that there are about ``STRETCHES``.  These bounds are parameters; all
-texts are decoded whole.
+documents of at most ``LONGEST`` characters, those of small hash of id and text, labelled by the base patterns.  All their
+stretches with a secret take part, and every k-th of the others, counted k times, so that there are about ``STRETCHES``.
+These bounds are parameters; all texts are decoded whole.
+
+So that the field learns more than the base patterns, every known secret also takes part in ``COPIES`` masked copies of each kind (``MASKS``), with
+``MARGIN`` characters around it: the credential word gone, the assigning mark gone, both gone, or another credential word
+in its place, and each time a value of a form that no base pattern names.  Stretches where something unknown follows a
+credential word and an assigning mark are no examples of either kind.
 
 Spans of the base patterns always stay.  The field adds spans of kind ``crf`` that overlap none of them.
 Positions count code points; ends are exclusive.
@@ -22,7 +27,9 @@ at a time if long; an empty table gives no rows (and trains nothing: the weights
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +41,9 @@ from concordis.llm.common import slices, table
 SAMPLE = 3000
 STRETCH = 32
 STRETCHES = 3000
+LONGEST = 50_000
+MARGIN = 400
+COPIES = 4
 EPOCHS = 60
 CHUNK = 1 << 20
 KINDS = ("assign", "access", "hex", "crf")
@@ -46,6 +56,17 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: Words that announce a credential; they include those of the assign pattern.
 CREDENTIAL = re.compile(r"pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private)_?key|credential|auth", re.I | re.A)
 
+#: What is hidden from the field in a masked copy of a secret.
+MASKS = ("word", "mark", "both", "other word")
+OTHER_WORDS = ("pwd", "passphrase", "private_key", "credential", "auth")
+JOINTS = ("=", ": ", " = ")
+#: Characters and lengths of made-up values; lower-case hexadecimal ones stay below the base pattern's limit.
+VALUE_FORMS = (
+    ("0123456789ABCDEF", 16, 40), ("0123456789abcdef", 14, 23),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 12, 40),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 16, 44),
+)
+
 _OUT, _BEGIN, _INSIDE = 0, 1, 2
 # Kinds of characters.
 _SPACE, _MARK, _QUOTE, _STOP, _LOWER, _UPPER, _DIGIT, _JOIN, _FOREIGN = range(9)
@@ -89,6 +110,31 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
     return sorted(values + keys + [m.span() for m in HEX.finditer(text)])
 
 
+def masked(text: str, rng: random.Random) -> list[tuple[str, str, tuple[int, int]]]:
+    """(mask, piece of text, place of the secret in it) for every known secret and mask."""
+    assigned = [m for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+    found = [(m.start(), m.end(), m[1], text[m.end(1) : m.start(2)]) for m in assigned]
+    for start, end in secret_parts(text):
+        if not any(m.start() < end and start < m.end() for m in assigned):
+            found.append((start, end, None, " "))
+    copies = []
+    for start, end, word, lead in found:
+        before, after = text[max(0, start - MARGIN) : start], text[end : end + MARGIN]
+        plain = [w for w in (before + " " + after).split() if w.isalpha() and not CREDENTIAL.search(w)] or ["value"]
+        for mask in MASKS if word else ("both",):
+            joint = rng.choice((lead, *JOINTS)) if word else lead
+            bare = re.sub("[:=]", " ", joint)
+            letters, least, most = rng.choice(VALUE_FORMS)
+            value = "".join(rng.choice(letters) for _ in range(rng.randint(least, most)))
+            head = {
+                "word": rng.choice(plain) + joint, "mark": f"{word}{bare}", "both": f"{rng.choice(plain)}{bare}",
+                "other word": rng.choice(OTHER_WORDS) + joint,
+            }[mask]
+            at = len(before) + len(head)
+            copies.append((mask, before + head + value + after, (at, at + len(value))))
+    return copies
+
+
 class Tokens:
     """Tokens of some texts laid end to end, with their feature numbers."""
 
@@ -214,10 +260,11 @@ class Field:
         return found
 
 
-def _labels(texts: list[str], tokens: Tokens) -> np.ndarray:
+def _labels(texts: list[str], tokens: Tokens, known: dict[int, tuple[int, int]]) -> np.ndarray:
+    """Tags by the base patterns, and by the places in ``known`` (by text number), which come first."""
     tags = np.zeros(len(tokens.start), dtype=np.int64)
     for t, text in enumerate(texts):
-        for start, end in secret_parts(text):
+        for start, end in ([known[t]] if t in known else []) + secret_parts(text):
             a = np.searchsorted(tokens.end, tokens.text_start[t] + start, side="right")
             b = np.searchsorted(tokens.start, tokens.text_start[t] + end)
             if a < b and tags[a] == _OUT:
@@ -234,10 +281,13 @@ def _add(x: np.ndarray, axis: int) -> np.ndarray:
 def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-8) -> Field:
     """Weights of greatest likelihood (Adam steps over all stretches at once)."""
     weights, moves = np.zeros((sum(FEATURES), 3)), np.zeros((3, 3))
+    copies = [c for t in texts for k in range(COPIES) for c in masked(t, random.Random(crc32(t.encode("utf-8", "replace"), k)))]
+    known = {len(texts) + k: place for k, (_, _, place) in enumerate(copies)}
+    texts = texts + [piece for _, piece, _ in copies]
     tokens = Tokens(texts)
     if not len(tokens.start):
         return Field(weights, moves)
-    tags = _labels(texts, tokens)
+    tags = _labels(texts, tokens, known)
     rows = -(-len(tags) // STRETCH)
     blank = rows * STRETCH - len(tags)
     grid = lambda x, fill: np.concatenate((x, np.full((blank, *x.shape[1:]), fill))).reshape(rows, STRETCH, *x.shape[1:])
@@ -245,8 +295,11 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.2, decay: floa
     offsets = np.concatenate(([0], np.cumsum(FEATURES)[:-1]))
     numbers = [grid(f + o, 0) for f, o in zip(tokens.features, offsets)]
     marked = gold.any(axis=1)
+    # What follows a credential word and a mark without a base pattern's match may be a secret or not: no example.
+    gap, back_one, back_two = tokens.features[1:4]
+    doubtful = grid((tags == _OUT) & (gap >= 2) & ((back_one == 1) | (back_two == 1)), False).any(axis=1)
     every = max(1, rows // STRETCHES)
-    chosen = np.flatnonzero(marked | (np.arange(rows) % every == 0))
+    chosen = np.flatnonzero((marked | (np.arange(rows) % every == 0)) & ~doubtful)
     gold, real = gold[chosen], real[chosen]
     times = np.where(marked[chosen], 1.0, float(every))[:, None]
     numbers = [n[chosen] for n in numbers]
@@ -288,7 +341,7 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.2, decay: floa
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field trained in one task on about ``sample`` documents, those of small id hash, and never over twice as many."""
+    """A field trained in one task on about ``sample`` documents of small hash, and never over twice as many."""
 
     def run(batches):
         texts = sorted(t or "" for batch in batches for t in batch.column("text").to_pylist())
@@ -297,10 +350,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
             [pa.array([field.weights.tobytes()], pa.binary()), pa.array([field.moves.tobytes()], pa.binary())], ["weights", "moves"]
         )
 
-    # Each task keeps its share of the sample, so what comes together does not grow with their number.
+    # Rows of equal hash are alike, so the least hashes are the same rows in every run.
     steps = 1 << 40
     share = min(steps, steps * sample // max(docs.count(), 1) + 1)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select("text").limit(2 * sample)
+    hashed = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).select("text", F.xxhash64("doc_id", "text").alias("hash"))
+    chosen = hashed.where(F.pmod("hash", F.lit(steps)) < share).orderBy("hash", "text").limit(2 * sample).select("text")
     rows = chosen.mapInArrow(run, "weights binary, moves binary").collect()  # one row of about 20 kB
     if not rows:
         return Field(np.zeros((sum(FEATURES), 3)), np.zeros((3, 3)))

@@ -97,3 +97,50 @@ def test_training_is_repeatable_and_may_have_no_text():
     a, b = sc.train(texts, epochs=5), sc.train(texts, epochs=5)
     assert (a.weights == b.weights).all() and (a.moves == b.moves).all()
     assert sc.train([]).spans(["x"], sc.Tokens(["x"])) == [[]]
+
+
+def test_masked_copies_hold_no_base_span_at_the_secret():
+    rng = random.Random(3)
+    text = 'a boat token = "' + "0a1b" * 10 + '" under AKIA' + "Q7" * 10 + " the sea " + "ab12" * 8
+    copies = sc.masked(text, rng)
+    assert [m for m, _, _ in copies] == [*sc.MASKS, "both", "both"]
+    for _, piece, (start, end) in copies:
+        assert not any(s < end and start < e for s, _, e in sc.base_spans(piece, True))
+        assert piece[start:end].isascii() and " " not in piece[start:end]
+
+
+def test_recall_of_masked_secrets_in_held_out_documents(spark):
+    """Trained on documents of odd id; those of even id hold secrets that no base pattern names."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    field = sc.train(sorted(r.text or "" for r in rows if r.doc_id % 2))
+    held_out = [r.text or "" for r in rows if r.doc_id % 2 == 0]
+    rng, hits, copies = random.Random(5), 0, 0
+    for text in held_out:
+        for _, piece, (start, end) in sc.masked(text, rng):
+            copies += 1
+            hits += any(s <= start and end <= e for s, e in field.spans([piece], sc.Tokens([piece]))[0])
+    assert copies >= 30 and hits >= 0.75 * copies
+    clean = [t for t in held_out if not sc.base_spans(t, True)]
+    assert not any(field.spans(clean, sc.Tokens(clean)))
+
+
+def test_scan_adds_spans_to_those_of_the_base_patterns(documents):
+    """End to end: the table holds secrets outside the base patterns, and rows without id."""
+    rng = random.Random(7)
+    rows = [(i, made_up(rng, 'token = "{}"' if i % 5 == 0 else "", 30)) for i in range(300)]
+    new = {1000 + i: made_up(rng, "passphrase = Zx{}Q", 16, 20) for i in range(20)}
+    table = documents(rows + list(new.items()) + [(None, t) for _, t in rows[:50]])
+    found = sc.scan(table).collect()
+    added = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("crf:")] for r in found if r.doc_id is not None}
+    places = {d: (t.index("Zx"), t.index("Zx") + len(next(w for w in t.split() if w.startswith("Zx")))) for d, t in new.items()}
+    whole = sum(any(int(s.split(":")[1]) <= a and b <= int(s.split(":")[2]) for s in added[d]) for d, (a, b) in places.items())
+    assert whole >= 18
+    assert sum(bool(added[d]) for d, t in rows if not sc.base_spans(t, True)) <= 2
+    again = sc.scan(table.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_sample_ignores_order_and_missing_ids(documents):
+    rows = [(None, f"text {i} token = abcdef0123456789 end") for i in range(40)] + [(i, f"line {i}") for i in range(40)]
+    first, second = sc.fit(documents(rows), 5), sc.fit(documents(rows[::-1]).repartition(5), 5)
+    assert (first.weights == second.weights).all() and (first.moves == second.moves).all()
