@@ -12,6 +12,8 @@ from concordis.session import work_folder
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A word is a run of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Parts into which the rows of one key are dealt where a key may hold a third of all rows.
+HOT_PARTS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,17 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_by_hot_key(rows: DataFrame, values: DataFrame, key: str, salt: Column) -> DataFrame:
+    """``rows`` joined with ``values`` (one row for each key) by ``key``, a key's rows dealt over tasks by ``salt``.
+
+    The values go to the (key, part) pairs that occur first: at most ``HOT_PARTS`` rows for a hot key, one for a
+    key of one row.  No key is told apart by its size.
+    """
+    dealt = rows.withColumn("hot_part", F.pmod(salt, F.lit(HOT_PARTS)))
+    parts = dealt.select(key, "hot_part").distinct().join(values, key)
+    return dealt.join(parts, [key, "hot_part"]).drop("hot_part")
+
+
 def numbered(rows: DataFrame, order: Sequence[str], group: Sequence[str] = (), sizes: Sequence[str] = ()) -> DataFrame:
     """Add ``row_no`` and ``<size>_before`` for each size: ranks and running sums without one big window.
 

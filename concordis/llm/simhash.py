@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concordis.llm.common import DOCUMENT_COLUMNS, saved, slices, table
+from concordis.llm.common import DOCUMENT_COLUMNS, joined_by_hot_key, saved, slices, table
 
 SHINGLE = 4
 DISTANCE = 4
@@ -249,7 +249,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         side = both if large else both.where(F.col("b") < F.col("a"))
         least = side.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        moved = side.join(least, "a")
+        moved = joined_by_hot_key(side, least, "a", F.xxhash64("b"))
         if large:
             moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         else:
@@ -270,7 +270,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, fp and component_id, the smallest id reachable over links."""
-    prints = saved(fingerprints(docs, shingle), "prints")
+    # A number of each row, stored with it, deals the copies of one text over tasks.
+    prints = saved(fingerprints(docs, shingle).withColumn("copy", F.xxhash64(F.monotonically_increasing_id())), "prints")
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     pairs = links(distinct, distance, block)
     # Nodes order like ids, those without one last, so the least node of a component has the smallest id reachable.
@@ -279,7 +280,7 @@ def clusters(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE,
     edges = pairs.join(nodes("a"), "a").join(nodes("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     found = components(edges).select(F.col("node.fp").alias("fp"), F.when(~F.col("component.unnamed"), F.col("component.id")).alias("component_id"))
     labelled = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(labelled, "fp")
+    return joined_by_hot_key(prints, labelled, "fp", F.col("copy")).drop("copy")
 
 
 def near_dedup(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:

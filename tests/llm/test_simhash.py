@@ -177,3 +177,22 @@ def test_texts_without_id_link_others(documents, monkeypatch):
         F.coalesce(*[F.when(F.col("text") == k, F.lit(v)) for k, v in prints.items()]).cast("long").alias("fp"),
     ))
     assert {r.doc_id: r.component_id for r in sh.near_dedup(documents(rows)).collect()} == {7: 7, None: 7, 9: 7}
+
+
+def test_rows_of_a_hot_key_are_dealt_over_tasks(spark):
+    from concordis.llm.common import joined_by_hot_key
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for key, value in zip(before, ("64", "false", "-1")):
+            spark.conf.set(key, value)
+        rows = spark.range(20000).select(F.when(F.col("id") < 10000, 0).otherwise(F.col("id")).alias("key"), "id")
+        values = rows.groupBy("key").agg(F.max("id").alias("most"))
+        found = joined_by_hot_key(rows, values, "key", F.xxhash64("id")).withColumn("task", F.spark_partition_id())
+        tasks = found.groupBy("task").count().collect()
+        assert len(tasks) == 64 and max(r["count"] for r in tasks) < 2 * 20000 / 64
+        assert found.columns == ["key", "id", "most", "task"] and found.count() == 20000
+        assert found.where("most <> if(key = 0, 9999, id)").count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
