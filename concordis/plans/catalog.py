@@ -771,6 +771,17 @@ def p3(spark, sf):
     return variants.select("source_page_id", "evaluation_unit_id", "page_input_variant_id", "width_px", "height_px")
 
 
+@query(
+    "p3_photo_sizes",
+    "SELECT page_id, 'D-GEO/' || page_id || CASE WHEN page_id % 3 = 0 THEN '.JPG' ELSE '.tiff' END AS dataset_item_id, "
+    "CASE WHEN page_id % 3 = 0 THEN 'image/jpeg' ELSE 'image/tiff' END AS media_type, (page_id % 60000 + 100)::INT AS width_px, "
+    "(length(html) % 60000 + 1)::INT AS height_px, CASE WHEN page_id % 3 = 0 THEN 'RGB' ELSE 'L' END AS color_mode FROM pages",
+)
+def p3_photo_sizes(spark, sf):
+    pages = corpus.source_pages(fx.photo_files(spark, sf), {"dataset_id": "pages", "dataset_version": "v1", "language": "en"})
+    return pages.select("page_id", "dataset_item_id", "media_type", "width_px", "height_px", "color_mode")
+
+
 @query(
     "p4_resume_worklist",
     sql.with_(

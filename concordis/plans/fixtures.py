@@ -538,6 +538,36 @@ def corpus_files(spark, sf_dir) -> DataFrame:
     )
 
 
+def photo_files(spark, sf_dir) -> DataFrame:
+    """JPEG and TIFF files of either byte order: each page's url before the size, its source after it."""
+    big = lambda n, size=4: F.lpad(F.hex(n), 2 * size, "0")
+    little = lambda n, size=4: F.concat(*[F.substring(big(n, size), 2 * k + 1, 2) for k in range(size)][::-1])
+    width, height = F.col("page_id") % 60000 + 100, F.length("html") % 60000 + 1
+    url = F.hex(F.encode("url", "UTF-8"))
+    before = F.octet_length("url")
+    jpeg = F.concat(
+        F.lit("FFD8FFE000104A46494600010100000100010000FFFFE1"), big(before + 2, 2), url,
+        F.lit("FFC0001108"), big(height, 2), big(width, 2), F.lit("03012200021101031101"),
+    )
+
+    def tiff(mark, number):
+        short = lambda tag, value: F.concat(number(F.lit(tag), 2), number(F.lit(3), 2), number(F.lit(1), 4), number(value, 2), F.lit("0000"))
+        long = lambda tag, value: F.concat(number(F.lit(tag), 2), number(F.lit(4), 2), number(F.lit(1), 4), number(value, 4))
+        return F.concat(
+            F.lit(mark), number(before + 8, 4), url, number(F.lit(5), 2), long(256, width), long(257, height),
+            short(258, F.lit(8)), short(262, F.lit(1)), short(277, F.lit(1)),
+        )
+
+    kind = F.col("page_id") % 3
+    header = F.when(kind == 0, jpeg).when(kind == 1, tiff("49492A00", little)).otherwise(tiff("4D4D002A", big))
+    item = F.concat(F.lit("D-GEO/"), F.col("page_id").cast("string"), F.when(kind == 0, ".JPG").otherwise(".tiff"))
+    content = F.concat(F.unhex(header), F.encode("html", "UTF-8"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("file:/corpus/"), item).alias("path"), item.alias("dataset_item_id"),
+        content.alias("content"), F.length(content).cast("bigint").alias("length"),
+    )
+
+
 # -- a scored run over all documents -------------------------------------------------
 
 

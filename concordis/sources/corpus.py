@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,11 +103,89 @@ def png_header(content: Column) -> Column:
     )
 
 
+_SIZE = "struct<width_px:int,height_px:int,color_mode:string>"
+_JPEG, _TIFF = ("FFD8FF",), ("49492A00", "4D4D002A")
+
+
+def jpeg_size(data: bytes) -> dict | None:
+    """Size and mode of the first frame header (SOF) among a JPEG's segments; None if it is cut off or broken."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD8:  # markers without a segment
+            at += 2
+        elif marker in (0xD9, 0xDA):
+            return None
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            if at + 10 > len(data):
+                return None
+            height, width = (int.from_bytes(data[at + k : at + k + 2], "big") for k in (5, 7))
+            return {"width_px": width, "height_px": height, "color_mode": {1: "L", 3: "RGB", 4: "CMYK"}.get(data[at + 9])}
+        else:
+            at += 2 + max(2, int.from_bytes(data[at + 2 : at + 4], "big"))
+    return None
+
+
+def tiff_size(data: bytes) -> dict | None:
+    """Size and mode from a byte-order mark (four bytes) and the entries of the first directory; None without a size."""
+    order = "little" if data[:2] == b"II" else "big"
+    number = lambda a, b: int.from_bytes(data[a:b], order)
+    tags = {}
+    for at in range(4, len(data) - 11, 12):
+        width = {1: 1, 3: 2, 4: 4}.get(number(at + 2, at + 4), 0)
+        inline = width * number(at + 4, at + 8) <= 4
+        tags[number(at, at + 2)] = number(at + 8, at + 8 + width) if inline else None
+    if not tags.get(256) or not tags.get(257) or max(tags[256], tags[257]) >= 1 << 31:
+        return None
+    bits, samples, light = tags.get(258, 1), tags.get(277, 1), tags.get(262)
+    if light in (0, 1):
+        mode = {1: "1", 8: "L", 16: "I;16"}.get(bits) if samples == 1 else "LA" if samples == 2 else None
+    else:
+        mode = {(2, 3): "RGB", (2, 4): "RGBA", (3, 1): "P", (5, 4): "CMYK", (6, 3): "YCbCr"}.get((light, samples))
+    return {"width_px": tags[256], "height_px": tags[257], "color_mode": mode}
+
+
+def _order_number(content: Column, little: Column, start: Column | int, size: int) -> Column:
+    """An unsigned number in the file's byte order; ``start`` counts from one."""
+    digits = [F.hex(F.substring(content, F.lit(start) + k, F.lit(1))) for k in range(size)]
+    return F.conv(F.when(little, F.concat(*digits[::-1])).otherwise(F.concat(*digits)), 16, 10).cast("long")
+
+
+def image_size(content: Column) -> Column:
+    """Width, height and mode from the header of a PNG, JPEG or TIFF file, by content; NULL for others.  Nothing is decoded.
+
+    A PNG's header has fixed places and stays in the JVM.  Of a TIFF only its first directory goes to
+    Python, wherever it lies; a JPEG goes whole, since its frame header may follow any number of segments.
+    """
+    magic = F.hex(F.substring(content, 1, 4))
+    is_jpeg, is_tiff = F.substring(magic, 1, 6).isin(*_JPEG), magic.isin(*_TIFF)
+    little = magic == _TIFF[0]
+    directory = _order_number(content, little, 5, 4)
+    inside = directory < F.octet_length(content)
+    first = F.when(inside, directory).cast("int")
+    entries = F.substring(content, first + 3, (12 * _order_number(content, little, first + 1, 2)).cast("int"))
+    sent = F.when(is_jpeg, content).when(is_tiff, F.concat(F.substring(content, 1, 4), entries))
+
+    @F.arrow_udf(_SIZE)
+    def parsed(files: pa.Array) -> pa.Array:
+        kind = pa.struct([("width_px", pa.int32()), ("height_px", pa.int32()), ("color_mode", pa.string())])
+        found = []
+        for file in files:
+            data = file.as_py()
+            found.append(None if data is None else jpeg_size(data) if data[:1] == b"\xff" else tiff_size(data))
+        return pa.array(found, kind)
+
+    png = png_header(content)
+    return F.coalesce(F.when(png.isNotNull(), F.struct(png["width_px"].alias("width_px"), png["height_px"].alias("height_px"), png["color_mode"].alias("color_mode"))), parsed(sent))
+
+
 def source_pages(files: DataFrame, settings: dict[str, str | None]) -> DataFrame:
     """Sealed source pages from scanned files; other columns of ``files`` are kept."""
     suffix = F.lower(F.regexp_extract("dataset_item_id", r"(\.[^./]*)$", 1))
     media = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
-    header = png_header(F.col("content"))
+    header = image_size(F.col("content"))
     text = lambda name: F.lit(settings.get(name)).cast("string")
     described = files.withColumn("_h", header).withColumns(
         {

@@ -120,3 +120,32 @@ def test_money_inside_arrays_and_maps_is_text(spark, tmp_path):
     stores.write_jsonl(rows, str(tmp_path / "j"))
     assert '{"cost":"0.5"}' in spark.read.text(str(tmp_path / "j")).head().value
     assert stores.read_jsonl(spark, str(tmp_path / "j"), schema).collect() == rows.collect()
+
+
+def jpeg(width, height, parts=3, between=b"", frame=0xC2):
+    return b"\xff\xd8" + between + bytes([0xFF, frame, 0, 17, 8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([parts]) + b"rest"
+
+
+def tiff(order, tags, before=b""):
+    number = lambda n, size: n.to_bytes(size, order)
+    entries = b"".join(number(t, 2) + number(3 if v < 65536 else 4, 2) + number(1, 4) + (number(v, 2) + b"\0\0" if v < 65536 else number(v, 4)) for t, v in tags.items())
+    mark = b"II*\0" if order == "little" else b"MM\0*"
+    return mark + number(8 + len(before), 4) + before + number(len(tags), 2) + entries + number(0, 4) + b"pixels"
+
+
+def test_sizes_of_photos(spark):
+    long = b"\xff\xe1\xff\xff" + b"\xff\xc0" * 32766 + b"\0"  # a full segment that holds what looks like a frame
+    table = b"\xff\xc4\x00\x04ab"
+    grey = {256: 70000, 257: 3, 258: 16, 262: 1, 277: 1}
+    cases = {
+        "jpeg": (jpeg(640, 480), (640, 480, "RGB")), "fill": (jpeg(5, 6, 1, b"\xff\xff\xff\xd0" + table), (5, 6, "L")),
+        "far": (jpeg(7, 8, 4, long * 3), (7, 8, "CMYK")), "cut": (jpeg(1, 2)[:8], None), "scan": (b"\xff\xd8\xff\xda\0\4ab" + jpeg(1, 2), None),
+        "broken": (b"\xff\xd8\xff\xe0\0\0\0\0", None), "start": (b"\xff\xd8\xff", None),
+        "little": (tiff("little", grey), (70000, 3, "I;16")), "end": (tiff("big", {**grey, 258: 1}, b"p" * 100_000), (70000, 3, "1")),
+        "colour": (tiff("big", {256: 9, 257: 8, 262: 2, 277: 3}), (9, 8, "RGB")), "palette": (tiff("little", {256: 9, 257: 8, 258: 8, 262: 3}), (9, 8, "P")),
+        "no size": (tiff("little", {262: 2}), None), "outside": (b"II*\0\xff\xff\xff\xff", None), "short": (b"MM\0*", None),
+        "png": (png(3, 4), (3, 4, "RGB")), "text": (b"text", None), "empty": (b"", None), "none": (None, None),
+    }
+    rows = spark.createDataFrame([(k, None if c is None else bytearray(c)) for k, (c, _) in cases.items()], "k string, c binary")
+    found = {r.k: r.s and tuple(r.s) for r in rows.select("k", corpus.image_size(F.col("c")).alias("s")).collect()}
+    assert found == {k: v for k, (_, v) in cases.items()}
