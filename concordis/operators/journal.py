@@ -29,18 +29,24 @@ def _latest_starts(events: DataFrame) -> DataFrame:
     )
 
 
+FINISH_FIELDS = ("outcome", "parsed_output", "actual_cost_usd", "measured_duration_ms")
+
+
 def attempts(events: DataFrame) -> DataFrame:
     """One row per intent and attempt number; a start without a finish has no outcome."""
-    finish = F.struct("outcome", "parsed_output", "actual_cost_usd", "measured_duration_ms")
     finishes = (
         events.where(F.col("event_type") == FINISHED)
         .groupBy("attempt_id")
-        .agg(F.max_by(finish, "journal_seq").alias("finish"))
+        .agg(F.max_by(F.struct(*FINISH_FIELDS), "journal_seq").alias("finish"))
     )
+    return attempt_rows(_latest_starts(events), finishes)
+
+
+def attempt_rows(starts: DataFrame, finishes: DataFrame) -> DataFrame:
+    """Attempts from one start per intent and number and one ``finish`` per attempt id."""
     cost = F.col("finish.actual_cost_usd")
     return (
-        _latest_starts(events)
-        .join(finishes, "attempt_id", "left")
+        starts.join(finishes, "attempt_id", "left")
         .select(
             "dispatch_intent_id", "attempt_number", "attempt_id",
             F.col("finish").isNotNull().alias("finished"),
@@ -76,10 +82,13 @@ def first_successes(attempt_rows: DataFrame) -> DataFrame:
 
 def outcomes(events: DataFrame) -> DataFrame:
     """Terminal outcome, selected attempt, text and totals of every intent in the journal."""
-    refusals = events.where(F.col("event_type") == REFUSED).select(
-        "dispatch_intent_id", F.lit(True).alias("refused")
-    )
-    rows = attempts(events).unionByName(refusals, allowMissingColumns=True)
+    return outcomes_of(attempts(events), events.where(F.col("event_type") == REFUSED).select("dispatch_intent_id"))
+
+
+def outcomes_of(attempt_rows: DataFrame, refused: DataFrame) -> DataFrame:
+    """Outcomes of the intents in ``attempt_rows`` and of those in ``refused`` (repeats allowed)."""
+    refusals = refused.select("dispatch_intent_id", F.lit(True).alias("refused"))
+    rows = attempt_rows.unionByName(refusals, allowMissingColumns=True)
     is_attempt = F.col("attempt_id").isNotNull()
     chosen = F.struct("attempt_number", "attempt_id", F.col("parsed_output.text").alias("text"))
     partial = F.struct(
@@ -133,7 +142,11 @@ def eligibility(outcome: Column) -> tuple[Column, Column]:
 
 def page_model_results(intents: DataFrame, events: DataFrame, created_at: str) -> DataFrame:
     """Exactly one sealed result per intent, also for intents the journal never mentions."""
-    joined = intents.join(outcomes(events), "dispatch_intent_id", "left").withColumns(
+    return sealed_results(intents, outcomes(events), created_at)
+
+
+def sealed_results(intents: DataFrame, outcome_rows: DataFrame, created_at: str) -> DataFrame:
+    joined = intents.join(outcome_rows, "dispatch_intent_id", "left").withColumns(
         {
             "terminal_outcome": F.coalesce("terminal_outcome", F.lit("budget_refused")),
             "attempt_ids": F.coalesce("attempt_ids", F.array().cast("array<string>")),
@@ -153,18 +166,23 @@ def resume_worklist(intents: DataFrame, events: DataFrame, max_attempts: int = M
     rate-limit finish was a response.  ``exhausted``: no attempt is left.  Otherwise
     ``ready`` with the next attempt number.
     """
-    telling = F.col("outcome").isin("response_received", "rate_limited")
     finishes = (
         events.where(F.col("event_type") == FINISHED)
         .groupBy("attempt_id")
-        .agg(
-            F.max(F.when(telling, F.struct("journal_seq", "outcome"))).alias("telling"),
-            F.lit(True).alias("finished"),
-        )
+        .agg(F.max(telling_finish()).alias("telling"), F.lit(True).alias("finished"))
     )
-    state = (
-        _latest_starts(events)
-        .join(finishes, "attempt_id", "left")
+    return worklist(intents, resume_states(_latest_starts(events), finishes), max_attempts)
+
+
+def telling_finish() -> Column:
+    """Journal place and outcome of a finish that tells whether to go on; NULL for the others."""
+    return F.when(F.col("outcome").isin("response_received", "rate_limited"), F.struct("journal_seq", "outcome"))
+
+
+def resume_states(starts: DataFrame, finishes: DataFrame) -> DataFrame:
+    """Highest attempt, open attempts and the last telling finish of each intent."""
+    return (
+        starts.join(finishes, "attempt_id", "left")
         .groupBy("dispatch_intent_id")
         .agg(
             F.max("attempt_number").alias("highest"),
@@ -172,6 +190,9 @@ def resume_worklist(intents: DataFrame, events: DataFrame, max_attempts: int = M
             F.max("telling").alias("telling"),
         )
     )
+
+
+def worklist(intents: DataFrame, state: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     highest = F.coalesce("highest", F.lit(0))
     status = (
         F.when(F.col("open"), "held")

@@ -12,7 +12,7 @@ from concordis.functions import identity as ident
 from concordis.functions import text as txt
 from concordis.functions.edits import edit_counts, edit_distance
 from concordis.operators import alignment as al
-from concordis.operators import artifacts, budget, ground_truth, integrity, journal, manifest, report, scoring
+from concordis.operators import artifacts, budget, ground_truth, integrity, journal, manifest, report, result_store, scoring
 from concordis.plans import evaluation
 from concordis.plans import fixtures as fx
 from concordis.plans import sql
@@ -935,6 +935,28 @@ def r6(spark, sf):
     return rows.select("page_model_result_id", "dispatch_intent_id", "terminal_outcome", F.size("attempt_ids").alias("attempts"))
 
 
+def _read_in_halves(spark, sf):
+    """Results stored from the journal's first half and then from its tail."""
+    events, folder = fx.journal_events(spark, sf), work_folder(spark, "journal")
+    middle = events.agg(F.expr("(min(journal_seq) + max(journal_seq)) div 2")).head()[0] or 0
+    results = result_store.ResultStore(spark, work_folder(spark, "results"))
+    for part in (events.where(F.col("journal_seq") <= middle), events.where(F.col("journal_seq") > middle)):
+        stores.append_journal(part, folder)
+        results.advance(spark.read.schema(events.schema).parquet(folder))
+    return results
+
+
+@query("r6_incremental", ORACLES["r6_page_model_results"])
+def r6_incremental(spark, sf):
+    rows = _read_in_halves(spark, sf).page_model_results(fx.journal_intents(spark, sf), fx.CREATED_AT)
+    return rows.select("page_model_result_id", "dispatch_intent_id", "terminal_outcome", F.size("attempt_ids").alias("attempts"))
+
+
+@query("p4_incremental", ORACLES["p4_resume_worklist"])
+def p4_incremental(spark, sf):
+    return _read_in_halves(spark, sf).resume_worklist(fx.journal_intents(spark, sf))
+
+
 # -- ground truth --------------------------------------------------------------------
 
 _EVENT_ID_JSON = sql.obj(
