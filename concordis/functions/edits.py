@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from concordis.functions._bitparallel import edit_distance as _distance
 from concordis.functions._bitparallel import edit_script as _script
+from concordis.functions._medoid import medoid as _medoid
 from concordis.functions.text import ILLEGIBLE_MARKER
 
 # Lane of a column that carries a centre token; insertion lanes before it count from 0.
@@ -86,6 +87,24 @@ def edit_distance(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(_solve_batch(left, right, _distance), pa.int32())
 
 
+CENTRE = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("solved_pairs", T.IntegerType())])
+
+
+@F.arrow_udf(CENTRE)
+def centre_of(texts: pa.Array, copies: pa.Array) -> pa.Array:
+    """Place of the medoid in an array of different texts, weighed by their copies, and the pairs solved for it; a null text counts as empty."""
+    places, solved = [], []
+    for row, weights in zip(texts, copies):
+        members = [text or "" for text in row.as_py()]
+        if any(ILLEGIBLE_MARKER in text for text in members):
+            members = [_MARKER_OR_CHAR.findall(text) for text in members]
+        place, pairs = _medoid(members, weights.as_py(), _distance)
+        places.append(place)
+        solved.append(pairs)
+    columns = [pa.array(values, to_arrow_type(f.dataType)) for values, f in zip((places, solved), CENTRE)]
+    return pa.StructArray.from_arrays(columns, names=CENTRE.names)
+
+
 @F.arrow_udf(EDIT_COUNTS)
 def edit_counts(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
     """Edits of each kind and the token counts; takes texts or arrays of words."""

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordis.functions.edits import CENTRE_LANE, edit_distance, edit_script
+from concordis.functions.edits import CENTRE_LANE, centre_of, edit_distance, edit_script
 from concordis.functions.identity import seal
 from concordis.functions.text import char_count, char_tokens, normalize_text, text_sha256
 from concordis.session import spread
@@ -112,14 +112,27 @@ def centre_ranks(distances: DataFrame, keys=KEYS) -> DataFrame:
     )
 
 
+def unit_centres(texts: DataFrame, keys=KEYS) -> DataFrame:
+    """The same centre as ``centre_ranks`` finds, without solving every pair; also counts the pairs solved.
+
+    One unit's different texts (a configured roster) meet in one row.  A pair is solved only
+    while the bounds of its distance leave open who wins.
+    """
+    copies = F.size("member_ranks").alias("copies")
+    roster = F.sort_array(F.collect_list(F.struct("hyp_index", copies, "text")))
+    return (
+        texts.groupBy(*keys)
+        .agg(roster.alias("roster"))
+        .withColumn("centre", centre_of("roster.text", "roster.copies"))
+        .select(*keys, F.col("roster.hyp_index")[F.col("centre.place")].alias("centre_index"), F.col("centre.solved_pairs").alias("solved_pairs"))
+    )
+
+
 def align(hypotheses: DataFrame, keys=KEYS) -> Alignment:
     """Pick each unit's centre and find where every other distinct text departs from it."""
     members = ranked_members(hypotheses, keys)
     texts = distinct_texts(members, keys)
-    # A unit whose members all agree has no pairs: its first member is the centre.
-    ranked = texts.join(centre_ranks(pair_distances(texts, keys), keys), list(keys), "left").withColumn(
-        "centre_index", F.coalesce("centre_index", F.lit(0))
-    )
+    ranked = texts.join(unit_centres(texts, keys).drop("solved_pairs"), list(keys))
     is_centre = F.col("hyp_index") == F.col("centre_index")
     centres = ranked.where(is_centre).select(
         *keys, "centre_index", "hypothesis_count", F.col("text").alias("centre_text"),
