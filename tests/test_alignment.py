@@ -178,3 +178,17 @@ def test_consensus_records(spark):
     assert c["0"].alignment_artifact_sha256 == f["0"].alignment_artifact_sha256
     assert f["0"].text == "cat" and c["1"].consensus_entropy is None
     assert c["0"].eligible_page_model_result_ids == ["res-0-0", "res-0-1"]
+
+
+def test_entropy_is_the_same_sum_in_any_order_of_rows(spark):
+    text = "abcdefgh" * 700
+    members = (text, text.replace("a", "x").replace("b", "y"), text.replace("a", "x").replace("c", "z"), text.replace("h", ""), text)
+    found = by_unit(al.consensus_entropy(aligned(spark, [members])), "consensus_entropy")[0]
+    share = lambda *votes: (math.log(5) - sum(n * math.log(n) for n in votes) / 5) / math.log(5)
+    # Bit for bit: equal columns are counted, so no sum runs over 700 of them.
+    assert found == (700 * share(4, 1) * 3 + 700 * share(2, 3)) / 5600 or found == (2100 * share(4, 1) + 700 * share(2, 3)) / 5600
+
+
+def test_spliced_text_keeps_markers_and_inserted_runs(spark):
+    units = [("a<ILLEGIBLE>cd", "a<ILLEGIBLE>cXYd", "a<ILLEGIBLE>cXYd"), ("", "ab", "ab"), ("ab", "", ""), ("é<b", "é<b", "<b")]
+    assert by_unit(al.fused_texts(aligned(spark, units)), "fused_text") == {0: "a<ILLEGIBLE>cXYd", 1: "ab", 2: "", 3: "é<b"}
