@@ -192,3 +192,16 @@ def test_entropy_is_the_same_sum_in_any_order_of_rows(spark):
 def test_spliced_text_keeps_markers_and_inserted_runs(spark):
     units = [("a<ILLEGIBLE>cd", "a<ILLEGIBLE>cXYd", "a<ILLEGIBLE>cXYd"), ("", "ab", "ab"), ("ab", "", ""), ("é<b", "é<b", "<b")]
     assert by_unit(al.fused_texts(aligned(spark, units)), "fused_text") == {0: "a<ILLEGIBLE>cXYd", 1: "ab", 2: "", 3: "é<b"}
+
+
+def test_fused_texts_take_the_winners_of_the_fusion_columns(spark):
+    rng = random.Random(23)
+    units = [[["".join(rng.choice("ab") for _ in range(rng.randrange(7)))][0] for _ in range(rng.randrange(1, 7))] for _ in range(120)]
+    alignment = aligned(spark, units)
+    winners = {}
+    for r in al.all_fusion_columns(alignment).collect():
+        winners.setdefault(int(r.evaluation_unit_id), []).append((r.slot, r.lane, r.winning_symbol or "", r.tie))
+    for unit, (text, tied) in by_unit(al.fused_texts(alignment), "fused_text", "tied_columns").items():
+        columns = sorted(winners.get(unit, []))
+        assert text == "".join(c[2] for c in columns)
+        assert tied == sum(c[3] for c in columns)
