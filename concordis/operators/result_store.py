@@ -70,10 +70,12 @@ class ResultStore:
         """Take in the journal's rows after the last place read; does nothing if there are none."""
         done, last_seq = self._state()
         new = F.lit(True) if last_seq is None else F.col("journal_seq") > last_seq
-        tail = stored(events.where(new).select(*_NEEDED))
+        tail = events.where(new).select(*_NEEDED)
         read, seq = tail.agg(F.count(F.lit(1)), F.max("journal_seq")).head()
         if read == 0:
             return
+        # The journal itself is read again, up to this place: what is appended meanwhile waits for the next call.
+        tail = tail.where(F.coalesce(F.col("journal_seq") <= F.lit(seq), F.lit(True)))
         call = done + 1
         kind = lambda name: tail.where(F.col("event_type") == name)
         last = F.max("journal_seq").alias("journal_seq")

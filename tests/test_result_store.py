@@ -3,10 +3,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from concordis.operators import journal
+from concordis.operators import journal, result_store
 from concordis.operators.result_store import ResultStore
 from concordis.schemas import ATTEMPT_EVENTS
-from concordis.sources.stores import append_journal
+from concordis.sources.stores import append_journal, stored
 from tests.test_journal import EVENTS, EXPECTED, finish, journal_frames, refused, start
 
 
@@ -107,3 +107,14 @@ def test_empty_journal(spark, tmp_path):
     store.advance(events.limit(0))
     assert store.calls().count() == 0
     same(store, intents, events.limit(0))
+
+
+def test_a_call_writes_no_copy_of_the_journal(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(result_store, "stored", lambda df: written.append(df.columns) or stored(df))
+    path = str(tmp_path / "journal")
+    append_journal(frame(spark, [start("i", 1), finish("i", 1, "timeout")]), path)
+    store = ResultStore(spark, str(tmp_path / "s"))
+    store.advance(spark.read.parquet(path))
+    assert store.outcomes().count() == 1
+    assert written and not any("event_type" in columns for columns in written)
