@@ -228,6 +228,26 @@ def test_rows_solve_each_script_once(spark):
     assert plan.count("edit_script(") == 1
 
 
+def test_entropy_makes_no_row_of_a_column(spark):
+    a = aligned(spark, [("cat", "cot", "cats"), ("solo",), ("", "ab")])
+    plan = al.consensus_entropy(a)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_scripts_of_the_search_for_the_centre_are_kept():
+    text = "the thin man on the moor and the other thing " * 8
+    roster = [text.replace("e", "3"), text.replace("th", "tli"), text.replace("o", "#"), text.replace("th", "tli").replace("o", "#")]
+    marked = ["a<ILLEGIBLE>bcd", "abxcd", "a<ILLEGIBLE>bxcdd", "zab<ILLEGIBLE>"]
+    for texts in (roster, marked):
+        found = edits.solved_centre.func(pa.array([texts]), pa.array([[1] * len(texts)])).to_pylist()[0]
+        place, kept = found["place"], found["scripts"]
+        assert kept[place] is None and any(kept)
+        rest = edits.roster_edit_script.func(pa.array([place]), pa.array([texts])).to_pylist()[0]
+        plain = edits.edit_script.func(pa.array([texts[place]] * len(texts)), pa.array(texts)).to_pylist()
+        assert rest == [None if k == place else script for k, script in enumerate(plain)]
+        assert all(script is None or script == rest[k] for k, script in enumerate(kept))
+
+
 def test_a_batch_of_scripts_is_not_held_as_lists():
     text = "abcdefgh" * 200
     pairs = [(f"{n}" + text, f"{n}" + text.replace("a", "#").replace("b", "$")) for n in range(2000)]
