@@ -29,50 +29,75 @@ def follow_attempts(starts: DataFrame, finishes: DataFrame, patience: str = "1 h
     )
 
 
-class _Attempt(StatefulProcessor):
-    """One attempt's life: open, then its outcome or ``indeterminate``, then perhaps a correction."""
+class _Attempts(StatefulProcessor):
+    """Lives of one group's attempts: open, then an outcome or ``indeterminate``, then perhaps a correction.
+
+    The group's state is one value and one timer, that of the attempt due first: each call to the state
+    costs a trip to the JVM, far more than a change of one attempt.
+    """
 
     def __init__(self, patience_ms: int, retention_ms: int):
         self.patience_ms, self.retention_ms = patience_ms, retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "started_ms long, changes int, state string, until_ms long")
+        self.seen = handle.getValueState("seen", "lives array<struct<attempt_id:string,started_ms:long,changes:int,state:string,due_ms:long>>, until_ms long")
+
+    def _read(self):
+        if not self.seen.exists():
+            return {}, None
+        lives, until = self.seen.get()
+        return {life[0]: tuple(life)[1:] for life in lives}, until
+
+    def _write(self, lives: dict, until: int | None, fired: bool = False) -> None:
+        """Store the lives; ``until`` is the timer registered before."""
+        due = min((life[3] for life in lives.values()), default=None)
+        if due != until or fired:
+            if until is not None and not fired:
+                self.handle.deleteTimer(until)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if lives:
+            self.seen.update(([(attempt, *life) for attempt, life in lives.items()], due))
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        started, changes, state, until = self.seen.get() if self.seen.exists() else (None, 0, None, None)
-        arrived = sorted(rows, key=lambda r: (r.at_ms, r.kind != "attempt_started"))
-        starts = [r.at_ms for r in arrived if r.kind == "attempt_started"]
-        finishes = [r for r in arrived if r.kind == "attempt_finished"]
-        if started is None and starts:
-            started = starts[0]
-        before = state
-        if finishes:
+        lives, until = self._read()
+        arrived: dict = {}
+        for row in rows:
+            arrived.setdefault(row.attempt_id, []).append(row)
+        for attempt, own in arrived.items():
+            own.sort(key=lambda r: (r.at_ms, r.kind != "attempt_started"))
+            started, changes, state, _ = lives.get(attempt, (None, 0, None, None))
+            if started is None:
+                started = next((r.at_ms for r in own if r.kind == "attempt_started"), None)
+            before = state
             # Of several finishes the one that arrives last counts, as in the stored journal.
-            state = finishes[-1].outcome
-        elif state is None and started is not None:
-            state = "open"
-        if started is not None and state is not None and (state != before or not changes):
-            changes += 1
-            yield Row(attempt_id=key[0], state=state, change_no=changes, at_ms=arrived[-1].at_ms, correction=before == "indeterminate")
-        due = (started if state == "open" else arrived[-1].at_ms) + (self.patience_ms if state == "open" else self.retention_ms)
-        if until is not None and due != until:
-            self.handle.deleteTimer(until)
-        if until != due:
-            self.handle.registerTimer(due)
-        self.seen.update((started, changes, state, due))
+            finish = next((r for r in reversed(own) if r.kind == "attempt_finished"), None)
+            if finish is not None:
+                state = finish.outcome
+            elif state is None and started is not None:
+                state = "open"
+            if started is not None and state is not None and (state != before or not changes):
+                changes += 1
+                yield Row(attempt_id=attempt, state=state, change_no=changes, at_ms=own[-1].at_ms, correction=before == "indeterminate")
+            due = started + self.patience_ms if state == "open" else own[-1].at_ms + self.retention_ms
+            lives[attempt] = (started, changes, state, due)
+        self._write(lives, until)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        started, changes, state, _ = self.seen.get()
-        if state != "open":
-            self.seen.clear()
-            return
-        due = expiredTimerInfo.getExpiryTimeInMs() + self.retention_ms
-        self.handle.registerTimer(due)
-        self.seen.update((started, changes + 1, "indeterminate", due))
-        yield Row(
-            attempt_id=key[0], state="indeterminate", change_no=changes + 1, at_ms=expiredTimerInfo.getExpiryTimeInMs(), correction=False
-        )
+        lives, until = self._read()
+        reached = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for attempt, (started, changes, state, due) in list(lives.items()):
+            if due > reached:
+                continue
+            if state != "open":
+                del lives[attempt]
+                continue
+            lives[attempt] = (started, changes + 1, "indeterminate", due + self.retention_ms)
+            yield Row(attempt_id=attempt, state="indeterminate", change_no=changes + 1, at_ms=due, correction=False)
+        self._write(lives, until, fired=True)
 
     def close(self) -> None:
         pass
@@ -81,8 +106,12 @@ class _Attempt(StatefulProcessor):
 CHANGES = "attempt_id string, state string, change_no int, at_ms long, correction boolean"
 
 
+#: Groups that the attempts are dealt into; at ten million attempts within the retention some 600 in each.
+GROUPS = 1 << 14
+
+
 def follow_journal(
-    events: DataFrame, patience_ms: int = 3_600_000, retention_ms: int = 7 * 86_400_000, lateness: str = "10 minutes"
+    events: DataFrame, patience_ms: int = 3_600_000, retention_ms: int = 7 * 86_400_000, lateness: str = "10 minutes", groups: int = GROUPS
 ) -> DataFrame:
     """State changes of every attempt, as rows put out while the journal grows.
 
@@ -93,13 +122,17 @@ def follow_journal(
     watermark are not dropped: they correct what was put out.  State goes ``retention_ms`` of event time
     after the last change.  A finish that arrives before its start waits for it.
 
+    Attempts are dealt by their hash into ``groups`` that share a state value, read and written once for all
+    rows of a batch; take more for longer journals.  A checkpoint keeps to the number it began with.
+
     Use ``drain``, which keeps the state in RocksDB, outside the heap.
     """
     timed = events.withWatermark("event_ts", lateness).select(
         F.col("attempt_id").cast("string").alias("attempt_id"), "kind", F.unix_millis("event_ts").alias("at_ms"), "outcome"
     )
-    return timed.groupBy("attempt_id").transformWithState(
-        _Attempt(patience_ms, retention_ms), CHANGES, outputMode="append", timeMode="EventTime"
+    dealt = timed.withColumn("attempts", F.pmod(F.xxhash64("attempt_id"), F.lit(groups)).cast("int"))
+    return dealt.groupBy("attempts").transformWithState(
+        _Attempts(patience_ms, retention_ms), CHANGES, outputMode="append", timeMode="EventTime"
     )
 
 

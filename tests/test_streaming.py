@@ -57,3 +57,27 @@ def test_changes_and_corrections_come_from_the_stream(spark, tmp_path):
     assert last["a"] == ("response_received", 3, True) and last["b"] == ("timeout", 1, False) and last["z"] == ("timeout", 2, False)
     # State is dropped in the end; what was put out stays.
     assert arrive(start("y", 5000))["c"] == ("indeterminate", 2, False)
+
+
+def test_attempts_that_share_a_group_keep_their_own_lives(spark, tmp_path):
+    def states(name, groups):
+        journal, out, checkpoint = (str(tmp_path / f"{name}-{n}") for n in ("journal", "changes", "checkpoint"))
+        found = []
+        for rows in (
+            [(f"a{n}", "attempt_started", at(n), None) for n in range(40)] + [(f"a{n}", "attempt_finished", at(n + 1), "timeout") for n in range(0, 40, 3)],
+            [("z", "attempt_started", at(85), None)],
+            [("a1", "attempt_finished", at(5), "early"), ("a39", "attempt_finished", at(90), "late"), ("a0", "attempt_finished", at(2), "timeout")],
+        ):
+            spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(journal)
+            stream = journal_follow.follow_journal(spark.readStream.schema(EVENTS).parquet(journal), groups=groups)
+            journal_follow.drain(stream, out, checkpoint)
+            changes = spark.read.schema(journal_follow.CHANGES).parquet(out)
+            found.append(sorted(map(tuple, journal_follow.latest_states(changes).collect())))
+        return found
+
+    together = states("one", 1)
+    assert together == states("many", 1 << 20)
+    last = {attempt: rest for attempt, *rest in together[-1]}
+    assert last["a0"] == ["timeout", 1, False] and last["a1"] == ["early", 3, True] and last["a2"] == ["indeterminate", 2, False]
+    # At 90 less ten minutes the starts up to 15 and 20 have run out of patience, not those after.
+    assert last["a14"] == ["indeterminate", 2, False] and last["a38"] == ["open", 1, False] and last["a39"] == ["late", 2, False]
