@@ -14,9 +14,11 @@ more than ``BLOCK`` fingerprints is dealt into blocks whose pairs are separate g
 Components come from the forest by alternating stars, each round stored in the shared folder.
 
 The pipeline's stage (``kept_documents``) asks for another nearness: five words and a Jaccard similarity of
-0.8.  There the fingerprints of 64 bits differ in about ten, further than keys of Golay words reach without
-joining unrelated texts, so candidates share one of ``BANDS`` keys of ``ROWS`` least shingles each and are
-compared by SimHash of ``STAGE_BITS`` bits inside the key.  Their links make coarse components; inside those every
+0.8.  There about every seventh bit differs, more than the nearest code word of a segment survives.  So the
+fingerprint is wider and its segments are decoded by their margins: a bit counts as much as the shingles' votes
+for it differ from a tie, since it is the close votes that an edit turns.  The ``LISTED`` code words nearest to each of two
+segments give the ``PROBES`` nearest pairs of code words, and these are the keys, ``STAGE_PAIRS`` times.  Rows that share a
+key are compared by ``STAGE_BITS`` bits inside it.  Their links make coarse components; inside those every
 pair within the radius is verified by its whole shingle sets, unless other verified links connect it already.
 
 Cases: a null text counts as empty; its fingerprint is zero and links like any other.
@@ -46,11 +48,15 @@ GOLAY = 0b101011100011
 #: The pipeline's stage: five words, a similarity of 0.8, and fingerprints wide enough to tell it.
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
-STAGE_BITS = 256
-#: At a similarity of 0.8 about 39 of 256 bits differ, with a deviation of 6; of unrelated texts 128.
-STAGE_RADIUS = 64
-#: A pair of similarity 0.8 shares none of the keys with probability (1 - 0.8^5)^25 = 0.00005.
-BANDS, ROWS = 25, 5
+STAGE_BITS = 192
+#: At a similarity of 0.8 about 29 of 192 bits differ, 36 if the sets have four and five shingles, with a deviation of 5; of unrelated texts 96.
+STAGE_RADIUS = 60
+#: A pair of similarity 0.8 shares a key of one segment pair with probability 0.78, measured, and none of all with 0.22^8 = 0.000006.
+STAGE_PAIRS, LISTED, PROBES = 8, 5, 16
+#: Bits whose votes are counted: 16 segments of 23, in words of 64.
+VOTED_BITS = 384
+#: Up to this many rows of a key all pairs are compared at once, in larger keys row by row.
+PAIRED = 32
 SET_BLOCK, SET_BLOCKS = 64, 32
 STAGE_WORDS = 300_000
 
@@ -321,53 +327,78 @@ def shingle_set(text: str | None, known: dict, shingle: int = STAGE_SHINGLE) ->
     return np.unique(hashes)
 
 
+def votes(grams: np.ndarray) -> np.ndarray:
+    """For each of ``VOTED_BITS`` bits: the different shingles that set it, less those that do not."""
+    ones = np.zeros(VOTED_BITS, np.int64)
+    salts = np.arange(1, VOTED_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for at in range(0, len(grams), 4096):
+        part = np.ascontiguousarray(_mixed(grams[at : at + 4096, None] ^ salts)).view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones * 2 - len(grams)
+
+
 def wide_simhash(grams: np.ndarray) -> bytes:
     """SimHash of ``STAGE_BITS`` bits over the different shingles, each with weight one."""
-    ones, places = np.zeros(STAGE_BITS, np.int64), 256 * np.arange(STAGE_BITS // 8)
-    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-    salts = np.arange(1, STAGE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for at in range(0, len(grams), 8192):
-        part = np.ascontiguousarray(_mixed(grams[at : at + 8192, None] ^ salts)).view(np.uint8)
-        counts = np.bincount((part + places).ravel(), minlength=32 * STAGE_BITS).reshape(-1, 256)
-        ones += (counts @ bits).ravel()
-    return np.packbits((ones * 2 > len(grams)).astype(np.uint8), bitorder="little").tobytes()
-
-
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """One key per band: texts of Jaccard similarity s share it with probability s^ROWS."""
-    factors = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(grams), 2048):
-        turned = grams[at : at + 2048] * factors[:, None]
-        least = np.minimum(least, (turned ^ (turned >> np.uint64(32))).min(axis=1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + row)
-    return keys.view(np.int64)
+    return np.packbits((votes(grams)[:STAGE_BITS] > 0).astype(np.uint8), bitorder="little").tobytes()
+
+
+def golay_signs() -> np.ndarray:
+    """23 x 2048 signs: the even code words; the others are their complements."""
+    words = [high << 11 ^ _remainder(high << 11) for high in range(4096)]
+    even = np.array([word for word in words if not word & 1], dtype=np.int64)
+    return ((even >> np.arange(23)[:, None] & 1) * 2 - 1).astype(np.float32)
+
+
+def nearest_words(margins: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``LISTED`` code words that agree most with each row of 23 margins: their numbers and agreements."""
+    agreement = margins @ signs
+    size, rows = np.abs(agreement), np.arange(len(margins))
+    numbers, best = np.empty((len(margins), LISTED), np.int32), np.empty((len(margins), LISTED), np.float32)
+    for at in range(LISTED):
+        top = size.argmax(axis=1)
+        numbers[:, at], best[:, at] = top * 2 + (agreement[rows, top] < 0), size[rows, top]
+        size[rows, top] = -1
+    return numbers, best
+
+
+def stage_keys(margins: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Rows of ``STAGE_PAIRS`` x ``PROBES`` keys: the pairs of code words nearest to two segments, for each two."""
+    keys = []
+    for at in range(0, len(margins), 256):
+        part, found = margins[at : at + 256].astype(np.float32), []
+        for pair in range(STAGE_PAIRS):
+            (a, near_a), (b, near_b) = (nearest_words(part[:, 23 * i : 23 * i + 23], signs) for i in (2 * pair, 2 * pair + 1))
+            both = (near_a[:, :, None] + near_b[:, None, :]).reshape(len(part), -1)
+            words = ((pair << 24) + (a[:, :, None] << 12) + b[:, None, :]).reshape(len(part), -1)
+            found.append(np.take_along_axis(words, np.argsort(-both, axis=1, kind="stable")[:, :PROBES], axis=1))
+        keys.append(np.concatenate(found, axis=1))
+    return np.concatenate(keys) if keys else np.empty((0, STAGE_PAIRS * PROBES), np.int32)
 
 
 def stage_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, a 128-bit digest of the shingle set, its wide fingerprint and its band keys."""
+    """doc_id, text_hash, a 128-bit digest of the shingle set, its wide fingerprint and its keys."""
 
     def run(batches):
         from xxhash import xxh128_digest
 
-        known = _Words()
+        known, signs = _Words(), golay_signs()
         for batch in slices(batches):
-            digests, fps, keys = [], [], []
-            for text in batch.column("text"):
+            digests, margins = [], np.empty((batch.num_rows, VOTED_BITS), np.int64)
+            for row, text in enumerate(batch.column("text")):
                 grams = shingle_set(text.as_py(), known)
                 digests.append(xxh128_digest(grams.tobytes()))
-                fps.append(wide_simhash(grams))
-                keys.append(band_keys(grams))
+                margins[row] = votes(grams)
+            fps = np.packbits((margins[:, :STAGE_BITS] > 0).astype(np.uint8), axis=1, bitorder="little")
+            keys = stage_keys(margins, signs)
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(digests, pa.binary()),
+                 pa.array([fp.tobytes() for fp in fps], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
                 ["doc_id", "text_hash", "digest", "fp", "keys"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, digest binary, fp binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, digest binary, fp binary, keys array<int>")
 
 
 def near_forest(fps: np.ndarray, alike=None, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -380,58 +411,76 @@ def near_forest(fps: np.ndarray, alike=None, apart: np.ndarray | None = None) ->
         near = np.bitwise_count(words[:i] ^ words[i]).sum(axis=1) <= STAGE_RADIUS
         if apart is not None:
             near &= apart[:i] != apart[i]
-        for j in np.flatnonzero(near).tolist():
+        at = np.flatnonzero(near)
+        if alike is None:  # one row of each tree will do
+            at = at[np.unique(parent[at], return_index=True)[1]]
+        for j in at.tolist():
             if parent[j] != parent[i] and (alike is None or alike(j, i)):
                 found.append((j, i))
                 parent[parent == parent[j]] = parent[i]
     return found
 
 
-def candidates(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of digests: a spanning forest of each band key's pairs within the radius."""
-    keyed = distinct.select(F.explode("keys").alias("key"), "digest", "fp").repartition("key")
+def near_pairs(groups: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Row numbers of pairs within the radius, rows sorted by group: all pairs of small groups, a forest of larger ones."""
+    starts = np.flatnonzero(np.append(True, (groups[1:] != groups[:-1]).any(axis=1)))
+    sizes = np.diff(np.append(starts, len(groups)))
+    last = np.repeat(starts + sizes, sizes)  # where the row's group ends
+    left, found = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRED), sizes)), [np.empty((0, 2), np.int64)]
+    for step in range(1, PAIRED):
+        left = left[left + step < last[left]]
+        if not left.size:
+            break
+        near = left[np.bitwise_count(words[left] ^ words[left + step]).sum(axis=1) <= STAGE_RADIUS]
+        found.append(np.stack((near, near + step), axis=1))
+    for start, size in zip(starts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
+        forest_of = near_forest(words[start : start + size])
+        found.append(np.array(forest_of, np.int64).reshape(-1, 2) + start)
+    return np.concatenate(found)
+
+
+def candidates(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of fingerprints that share a key and lie within the radius; a spanning forest in large keys."""
+    # Equal shingle sets have equal fingerprints and keys; different sets may share a fingerprint, but not its keys.
+    sets = prints.select("digest", "fp", "keys").dropDuplicates(["digest"])
+    keyed = sets.select(F.explode("keys").alias("key"), "fp").repartition("key")
     large = keyed.groupBy("key").count().where(F.col("count") > block)
     blocks = large.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     placed = keyed.join(blocks, "key", "left")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    plain = placed.where(F.col("blocks").isNull()).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "digest", "fp")
+    plain = placed.where(F.col("blocks").isNull()).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
     dealt = (
         placed.where(F.col("blocks").isNotNull())
-        .select("key", own.alias("own"), other.alias("other"), "digest", "fp")
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest", "fp")
+        .select("key", own.alias("own"), other.alias("other"), "fp")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
         .repartition("key", "i", "j")
     )
 
     def compare(batches):
-        group, digests, fps = None, [], []
+        groups, words = np.empty((0, 3), np.int32), np.empty((0, STAGE_BITS // 64), np.uint64)
 
-        def pairs():
-            if len(digests) < 2:
-                return None
-            found = near_forest(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
-            if not found:
-                return None
-            return pa.RecordBatch.from_arrays(
-                [pa.array([digests[i] for i, _ in found], pa.binary()), pa.array([digests[j] for _, j in found], pa.binary())], ["a", "b"]
-            )
+        def emit(end):
+            pairs = near_pairs(groups[:end], words[:end])
+            a, b = np.ascontiguousarray(words[pairs[:, 0]]), np.ascontiguousarray(words[pairs[:, 1]])
+            found = {(x.tobytes(), y.tobytes()) for x, y, far in zip(a, b, (a != b).any(axis=1)) if far}
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "digest", "fp")]
-            for key, i, j, digest, fp in zip(*columns):
-                if group != (key, i, j):
-                    if (rows := pairs()) is not None:
-                        yield rows
-                    group, digests, fps = (key, i, j), [], []
-                if not digests or digests[-1] != digest:
-                    digests.append(digest)
-                    fps.append(fp)
-        if (rows := pairs()) is not None:
-            yield rows
-
-    found = [
-        part.sortWithinPartitions("key", "i", "j", "digest").mapInArrow(compare, "a binary, b binary") for part in (plain, dealt)
-    ]
+            fps = batch.column("fp").cast(pa.binary(STAGE_BITS // 8))
+            held = np.frombuffer(fps.buffers()[1], np.uint64).reshape(-1, words.shape[1])[fps.offset : fps.offset + len(fps)]
+            groups = np.concatenate((groups, np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)))
+            words = np.concatenate((words, held))
+            # The last group may go on in the next batch.
+            before = np.flatnonzero((groups != groups[-1:]).any(axis=1))
+            if before.size:
+                end = int(before[-1]) + 1
+                yield emit(end)
+                groups, words = groups[end:], words[end:]
+        if len(groups):
+            yield emit(len(groups))
+
+    found = [part.sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a binary, b binary") for part in (plain, dealt)]
     return found[0].unionByName(found[1]).distinct()
 
 
@@ -444,7 +493,7 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, distinct: DataFrame, coarse: DataFrame, similarity: float = SIMILARITY, block: int = SET_BLOCK) -> DataFrame:
-    """Pairs (a, b) of digests: a forest of the pairs of one coarse component whose whole sets are similar enough.
+    """Pairs (a, b) of digests: a forest of the pairs of one coarse component (of fingerprints) whose whole sets are similar enough.
 
     A component of more than ``block`` sets is dealt into at most ``SET_BLOCKS`` blocks whose pairs are groups of their own.
     """
@@ -457,7 +506,7 @@ def verified(docs: DataFrame, distinct: DataFrame, coarse: DataFrame, similarity
                 [*(batch.column(c) for c in ("component", "digest", "fp")), pa.array(grams, pa.binary())], ["component", "digest", "fp", "grams"]
             )
 
-    chosen = distinct.join(coarse, F.col("digest") == F.col("node")).select("component", "digest", "fp", "kept_id", "kept_hash")
+    chosen = distinct.join(coarse, F.col("fp") == F.col("node")).select("component", "digest", "fp", "kept_id", "kept_hash")
     members = _texts(docs, chosen).select("component", "digest", "fp", "text")
     members = saved(members.mapInArrow(sets, "component binary, digest binary, fp binary, grams binary"), "sets")
     large = members.groupBy("component").count().where(F.col("count") > block)
@@ -517,14 +566,15 @@ def kept_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     prints = saved(stage_prints(docs), "stage_prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
     distinct = saved(
-        prints.groupBy("digest").agg(first, F.min("fp").alias("fp"), F.min("keys").alias("keys")).select(
-            "digest", "fp", "keys", F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")
+        prints.groupBy("digest").agg(first, F.min("fp").alias("fp")).select(
+            "digest", "fp", F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")
         ),
         "stage_distinct",
     )
-    pairs = candidates(distinct, block)
-    coarse = components(pairs)
-    inner = coarse.unionByName(coarse.select(F.col("component").alias("node"), "component")).distinct()
+    coarse = components(candidates(prints, block))
+    # Different sets of one fingerprint need no key to meet.
+    twins = distinct.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("node"), F.col("fp").alias("component"))
+    inner = coarse.unionByName(coarse.select(F.col("component").alias("node"), "component")).unionByName(twins).distinct()
     pairs = verified(docs, distinct, inner)
     # Nodes order like ids, those without one last, so the least node of a component is the row that stays.
     node = F.struct(F.col("kept_id").isNull().alias("unnamed"), F.coalesce("kept_id", F.lit(0)).alias("id"), "digest")

@@ -168,6 +168,85 @@ def test_wide_fingerprints_tell_the_similarity():
     assert near <= sh.STAGE_RADIUS < far
 
 
+@pytest.mark.parametrize("sizes", [(5, 4, 4), (10, 8, 8), (9, 9, 8), (45, 45, 40), (360, 360, 320), (500, 400, 400)])
+def test_sets_of_similarity_share_a_pair_of_code_words(sizes):
+    """At a similarity of exactly 0.8: a key of Golay words in common, and fingerprints within the radius."""
+    (first, second, both), rng = sizes, np.random.default_rng(sum(sizes))
+    grams = [rng.integers(0, 2**63, first + second - both).astype(np.uint64) for _ in range(1000)]
+    sides = [np.array([sh.votes(g[part]) for g in grams]) for part in (slice(first), slice(first - both, None))]
+    own, other = (sh.stage_keys(side, sh.golay_signs()) for side in sides)
+    assert all(np.intersect1d(a, b).size for a, b in zip(own, other))
+    bits = [side[:, : sh.STAGE_BITS] > 0 for side in sides]
+    assert (bits[0] != bits[1]).sum(axis=1).max() <= sh.STAGE_RADIUS
+
+
+def test_stage_keys_are_the_nearest_pairs_of_code_words():
+    rng, signs = np.random.default_rng(8), sh.golay_signs()
+    code = np.empty((4096, 23))
+    code[0::2], code[1::2] = signs.T, -signs.T
+    numbers = [sum(1 << b for b in range(23) if word[b] > 0) for word in code]
+    assert len(set(numbers)) == 4096 and not any(map(sh._remainder, numbers))
+    margins = rng.integers(-40, 41, (300, sh.VOTED_BITS))
+    agreement = np.stack([margins[:, 23 * i : 23 * i + 23] @ code.T for i in range(2 * sh.STAGE_PAIRS)])
+    listed = -np.sort(-agreement, axis=2)[:, :, : sh.LISTED]
+    keys = sh.stage_keys(margins, signs).reshape(300, sh.STAGE_PAIRS, sh.PROBES)
+    for row in range(300):
+        assert len(set(keys[row].ravel().tolist())) == sh.STAGE_PAIRS * sh.PROBES
+        for pair in range(sh.STAGE_PAIRS):
+            key = keys[row, pair]
+            assert (key >> 24 == pair).all()
+            found = agreement[2 * pair, row, key >> 12 & 4095] + agreement[2 * pair + 1, row, key & 4095]
+            sums = np.add.outer(listed[2 * pair, row], listed[2 * pair + 1, row]).ravel()
+            assert np.array_equal(np.sort(found), np.sort(sums)[-sh.PROBES :])
+
+
+def test_stage_takes_its_candidates_from_golay_keys(documents, monkeypatch):
+    """Near texts are joined, but not when they are given keys of their own instead of code words."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1]))]
+    assert [r.doc_id for r in sh.kept_documents(documents(rows)).collect()] == [1]
+    # The number of shingles is a margin's parity, so the two texts get different keys.
+    monkeypatch.setattr(sh, "stage_keys", lambda margins, signs: (margins[:, :1] % 2).astype(np.int32))
+    assert sorted(r.doc_id for r in sh.kept_documents(documents(rows)).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("paired", [32, 2])
+def test_pairs_of_sorted_keys(paired, monkeypatch):
+    """Small and large groups, neighbours of another group, against all pairs: equal components."""
+    monkeypatch.setattr(sh, "PAIRED", paired)
+    rng, groups, words = np.random.default_rng(paired), [], []
+    for group, size in enumerate([1, 2, 3, 1, 40, 2, 7, 31, 32, 33]):
+        centres = rng.integers(0, 2**63, (3, 3)).astype(np.uint64)
+        groups += [(group // 2, group % 2, 0)] * size
+        words += [centres[k % 3] ^ np.uint64(1 << int(rng.integers(60))) for k in range(size)]
+    groups, words = np.array(groups, np.int32), np.array(words)
+    names = [tuple(g) for g in groups.tolist()]
+
+    def components_of(pairs):
+        of = list(range(len(words)))
+        for i, j in pairs:
+            low, high = sorted((of[i], of[j]))
+            of = [low if x == high else x for x in of]
+        return of
+
+    near = [
+        (i, j) for j in range(len(words)) for i in range(j)
+        if names[i] == names[j] and int(np.bitwise_count(words[i] ^ words[j]).sum()) <= sh.STAGE_RADIUS
+    ]
+    found = [tuple(p) for p in sh.near_pairs(groups, words).tolist()]
+    assert set(found) <= set(near) and components_of(found) == components_of(near)
+
+
+def test_different_sets_of_one_fingerprint_meet(documents, monkeypatch):
+    """Two sets whose fingerprints are equal and whose keys differ are still compared."""
+    rng = np.random.default_rng(4)
+    words = [f"w{rng.integers(5000)}" for _ in range(600)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"]))]
+    monkeypatch.setattr(sh, "votes", lambda grams: np.full(sh.VOTED_BITS, len(grams), np.int64))
+    monkeypatch.setattr(sh, "stage_keys", lambda margins, signs: np.repeat(margins[:, :1].astype(np.int32), 2, axis=1))
+    assert [r.doc_id for r in sh.kept_documents(documents(rows)).collect()] == [1]
+
+
 def test_texts_without_id_link_others(documents, monkeypatch):
     """Two texts six bits apart are joined by one between them that has no id."""
     prints = {"left": 0, "between": 0b111, "right": 0b111111}
