@@ -28,6 +28,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,16 +178,20 @@ def _filesystem(uri: str):
 
 
 def _shared(spark: SparkSession, folder: str) -> str:
-    """The folder with its scheme: executors' own file systems need not be what Spark takes for the default one."""
+    """The folder with its scheme, as Spark itself resolves it: its default file system is set in more places than the session.
+
+    Spark names the whole path of an input that is not there; nothing is written for it.
+    """
     if ":/" in folder:
         return folder
-    default = spark.conf.get("spark.hadoop.fs.defaultFS", None)
-    if default:
-        return f"{default.rstrip('/')}/{folder.lstrip('/')}"
-    master = spark.conf.get("spark.master", "")
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name its file system, as in hdfs://host/folder")
-    return f"file://{folder}"
+    try:
+        spark.read.text(f"{folder.rstrip('/')}/{uuid.uuid4().hex}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        scheme, path = error.getMessageParameters()["path"].rsplit("/", 1)[0].split(":", 1)
+        return f"{scheme}:{path}" if path.startswith("//") else f"{scheme}://{path}"
+    raise ValueError(f"no file system found for {folder}")
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -109,3 +109,10 @@ def test_every_archive_may_have_a_reader_of_its_own(spark, tmp_path):
 
 def test_a_folder_without_scheme_is_not_guessed(spark):
     assert warc._shared(spark, "hdfs://host/x") == "hdfs://host/x" and warc._shared(spark, "/x") == "file:///x"
+
+
+def test_a_plain_folder_of_a_cluster_is_named_by_spark(spark):
+    class OnCluster:
+        conf, read = {"spark.master": "spark://host:7077", "spark.checkpoint.dir": "/y"}, spark.read
+
+    assert warc._shared(OnCluster, "/y/archives") == "file:///y/archives"
