@@ -280,3 +280,15 @@ def test_units_fold_copies_and_keep_null_texts():
     ]
     centres = edits.unit_centre.func(pa.array(rosters, pa.list_(pa.string()))).to_pylist()
     assert centres == [{k: r[k] for k in ("centre_index", "centre_ranks")} for r in found]
+
+
+def test_fused_text_and_entropy_come_from_one_pass(spark):
+    a = aligned(spark, [*GOLDEN, ("cat", "cot", "cats", "cot"), ("solo",), ("", "ab")])
+    both = al.fused_with_entropy(a)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("edit_script(") == 1 and "Join" not in plan
+    unit = lambda r: r.evaluation_unit_id
+    found = sorted(both.select("evaluation_unit_id", "fused_text", "tied_columns", "consensus_entropy", "column_count").collect(), key=unit)
+    fused, entropy = (sorted(rows.collect(), key=unit) for rows in (al.fused_texts(a), al.consensus_entropy(a)))
+    assert [(unit(r), r.fused_text, r.tied_columns) for r in found] == [(unit(r), r.fused_text, r.tied_columns) for r in fused]
+    assert [(r.consensus_entropy, r.column_count) for r in found] == [(r.consensus_entropy, r.column_count) for r in entropy]
