@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordis.functions import text as txt
-from concordis.functions.edits import edit_counts, edit_distance
+from concordis.functions.edits import edit_counts, edit_distance, text_edit_counts
+from concordis.operators import scoring
 
 SEPARATORS = [
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
@@ -62,3 +63,27 @@ def test_edit_functions(spark):
     found = df.select(edit_distance("a", "b").alias("d"), edit_counts("a", "b").alias("c")).collect()
     for (_, _, distance, counts), r in zip(rows, found):
         assert r.d == distance and tuple(r.c)[:3] == counts
+
+
+def test_words_of_texts_are_counted_as_lists_of_words_are(spark):
+    rows = [
+        ("one two three", "one three  three four"), ("a b　c\x1cd\x85e", "a b x d"), ("<ILLEGIBLE> by the sea", "at the <ILLEGIBLE>"),
+        ("", " \t"), ("same", "same"), (None, "x"), ("x", None), ("z​y", "z y"), (" ", "w\x0b"),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string")
+    found = df.select(
+        text_edit_counts("a", "b").alias("both"), edit_counts("a", "b").alias("chars"), edit_counts(txt.word_tokens(F.col("a")), txt.word_tokens(F.col("b"))).alias("words")
+    ).collect()
+    assert [(r.both.chars, r.both.words) for r in found] == [(r.chars, r.words) for r in found]
+    assert found[5].words is None and found[0].words.substitutions == 1
+
+
+def test_words_part_where_python_parts_them():
+    assert all(("a" + chr(c) + "b").split() == ["a", "b"] for c in SEPARATORS)
+    assert sum(not chr(c).split() for c in range(0x110000)) == len(SEPARATORS)
+
+
+def test_scores_send_no_list_of_words_to_python(spark):
+    pairs = spark.createDataFrame([("u", "s", "available", "one two", "one too")], "u string, s string, gt_availability string, gt_text string, hypothesis_text string")
+    plan = scoring.compute_scores(pairs, ("u", "s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text_edit_counts(") == 1 and " edit_counts(" not in plan
