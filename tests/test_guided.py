@@ -1,9 +1,11 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from concordis.functions import _bitparallel as bp
+from concordis.functions import edits
 from concordis.functions._guided import shared_tail, straight, walk
 from tests.plain_dp import plain_script
 
@@ -74,3 +76,16 @@ def test_many_plain_edits_cost_next_to_nothing():
     assert len(bp.edit_script(text, text.replace("a", "a01"))) == 2 * text.count("a")
     # The walk takes over five times this.
     assert time.process_time() - started < 0.8
+
+
+def test_plain_scripts_are_kept_as_arrays():
+    text = "the thin man é \U0001f600 on the moor " * 40
+    for other in (text.replace("a", "@"), text.replace("\U0001f600", "☃"), text.replace("o", "o\U0001f601"), text.replace("h", "")):
+        for left, right in ((text, other), (other, text)):
+            slots, inserted, codes = bp.plain_script(left, right)
+            script = [(s, i, None if c < 0 else chr(c)) for s, i, c in zip(slots.tolist(), inserted.tolist(), codes.tolist())]
+            assert script == bp.edit_script(left, right) and len(script) > 30
+            found = edits.edit_script.func(pa.array([left, None]), pa.array([right, right])).to_pylist()
+            laned = zip(*edits._laned(left, right, script))
+            assert found == [[dict(zip(("slot", "lane", "symbol", "centre_symbol"), entry)) for entry in laned], None]
+    assert bp.plain_script("abc", "abc") is None and bp.plain_script("", "x") is None
