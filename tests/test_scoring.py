@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from concordis.functions.text import hyperparameters_sha256
 from concordis.operators import scoring
 from concordis.operators.scoring import SCORES, compute_scores
+from concordis.plans import fixtures
 
 
 def scores(spark, rows):
@@ -55,3 +56,13 @@ def test_subjects_without_their_inputs_are_found(spark):
         ("s", "d", "observation_without_context", "fail"),
     }
     assert {r.subject for r in scoring.dropped_subjects(results, context).collect()} == {"c", "d"}
+
+
+def test_results_of_documents_move_no_text(spark, tmp_path):
+    rows = [(1, "the one", "fr", "s", 7), (2, "two", "en", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    results = fixtures.doc_results(spark, str(tmp_path))
+    assert "Join" not in results._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.page_input_variant_id, r.position, r.terminal_outcome, r.parsed_text) for r in results.where("position > 0").collect()) == [
+        ("variant-1", 1, "indeterminate", None), ("variant-1", 2, "success", "tlie one"), ("variant-2", 1, "success", "two"), ("variant-2", 2, "success", "two")
+    ]
